@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, licenses, minhash, sentencepiece_codec, token_counts, topk, toxicity, url_filter, warc
+from palimpsest.llm import decontaminate, html_extract, licenses, minhash, sentencepiece_codec, token_counts, topk, toxicity, url_filter, warc
 from palimpsest.llm.common import read_table
 
 
@@ -38,6 +38,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
