@@ -27,7 +27,7 @@ _WORDS = re.compile(r" *[^ \n]+| +|\n")
 class PieceCodec:
     """Encoder and decoder for one model; keeps up to 2 * `young` words, the ones met last."""
 
-    def __init__(self, model: bytes, young: int = 150_000):
+    def __init__(self, model: bytes, young: int = 400_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -112,7 +112,7 @@ class PieceCodec:
         return [i for word in self.split(text) for i in self.agenda(word.replace(" ", MARK))]
 
     def learn(self, words: set[str], check: bool) -> None:
-        """Makes (number of ids, ids as text, decoded bytes) known for the words."""
+        """Makes (ids as text, decoded bytes) known for the words."""
         if len(self.new) >= self.young:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
@@ -131,7 +131,7 @@ class PieceCodec:
                 if a != (b[skip:] if self.by_words else b):
                     raise AssertionError(f"the agenda and the library differ on {w[:80]!r}: {a[:20]} and {b[:20]}")
         for w, ids in zip(fresh, encoded, strict=True):
-            new[w] = (len(ids), ",".join(map(str, ids)), self.decode_bytes(ids))
+            new[w] = (",".join(map(str, ids)), self.decode_bytes(ids))
 
 
 _CODECS: dict[bytes, PieceCodec] = {}
@@ -170,11 +170,10 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 n, ids, decoded, id_lists, raw = [], [], [], [], []
                 known = c.new.__getitem__
                 for words in split:
-                    each = list(map(known, words))
-                    count = sum(e[0] for e in each)
-                    joined = ",".join([e[1] for e in each])
-                    back = b"".join([e[2] for e in each])[1:]
-                    n.append(count)
+                    id_texts, surfaces = zip(*map(known, words), strict=True) if words else ((), ())
+                    joined = ",".join(id_texts)
+                    back = b"".join(surfaces)[1:]
+                    n.append(joined.count(",") + 1 if joined else 0)
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
                     decoded.append(hashlib.sha256(back).hexdigest())
                     if with_ids or check == "texts":
