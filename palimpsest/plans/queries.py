@@ -553,7 +553,7 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT * FROM (VALUES ('view', 'cpu', 32, 30.0), ('click', 'cuda', 4, 5.0), ('error', 'cpu', 16, 18.0)) v(engine, min_device, default_batch, per_min))
-SELECT event_type AS engine, CAST(coalesce(per_min, 10.0) AS DOUBLE) AS images_per_min, default_batch, images, round(images / CAST(coalesce(per_min, 10.0) AS DOUBLE), 6) AS minutes
+SELECT event_type AS engine, CAST(coalesce(per_min, 10.0) AS DOUBLE) AS images_per_min, coalesce(default_batch, 1) AS default_batch, images, round(images / CAST(coalesce(per_min, 10.0) AS DOUBLE), 6) AS minutes
 FROM (SELECT event_type, count(*) AS images FROM events GROUP BY event_type) LEFT JOIN r ON event_type = engine
 """)
 def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -561,7 +561,7 @@ def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = spark.createDataFrame([("view", "cpu", 32, 30.0), ("click", "cuda", 4, 5.0), ("error", "cpu", 16, 18.0)], "engine string, min_device string, default_batch int, images_per_min double")
     counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("engine")).agg(F.count("*").alias("images"))
     out = quality.with_engine(counts, registry)
-    return out.select("engine", "images_per_min", "default_batch", "images", F.round(text.eta_minutes(F.col("images"), F.col("images_per_min")), 6).alias("minutes"))
+    return out.select("engine", "images_per_min", F.coalesce("default_batch", F.lit(1)).alias("default_batch"), "images", F.round(text.eta_minutes(F.col("images"), F.col("images_per_min")), 6).alias("minutes"))
 
 
 @query("""
@@ -596,11 +596,11 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(t).cast("bigint").alias("chars"), F.size(text.words(t)).cast("bigint").alias("words"), F.left(text.usable_text(t), F.lit(5)).alias("target"), text.shortened_path(t).alias("shortened"))
 
 
-@query("SELECT item_id, CAST(reading AS INTEGER) AS reading FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN NULL ELSE item_id * 2 END AS reading FROM benchmark)")
+@query("SELECT item_id, CAST(reading AS INTEGER) AS reading FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN -1 ELSE item_id * 2 END AS reading FROM benchmark)")
 def reading_order_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading order indices of custom attributes."""
     custom = F.when(F.col("item_id") % 3 == 0, F.lit("structure {type:x;}")).otherwise(F.concat(F.lit("readingOrder {index:"), F.col("item_id") * 2, F.lit(";}")))
-    return table(spark, sf_dir, "benchmark").select("item_id", geometry.reading_order_index(custom).alias("reading"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.coalesce(geometry.reading_order_index(custom), F.lit(-1)).alias("reading"))
 
 
 @query("""
