@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def otsu_threshold(gray: np.ndarray) -> int:
@@ -81,7 +82,7 @@ def segment_rows(profiles: DataFrame, min_gap: int = 5, min_height: int = 15, ma
 def tightened_lines(lines: DataFrame, images: DataFrame) -> DataFrame:
     """Adds ink_top and ink_bottom to lines (page, x1, y1, x2, y2) from their page's pixels, page by page: an image is
     held once, its lines are bounded."""
-    schema = lines.schema.add("ink_top", "int").add("ink_bottom", "int")
+    schema = T.StructType([*lines.schema.fields, T.StructField("ink_top", T.IntegerType()), T.StructField("ink_bottom", T.IntegerType())])
     names = lines.columns
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

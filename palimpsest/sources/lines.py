@@ -76,7 +76,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     bad = order.where(F.exists("region_order", lambda r: r["order_idx"].isNull())).select("page")
     good = order.join(bad, "page", "left_anti")
     regions = region_rows(pages)
-    ordered = order_regions(regions, good.select("page", F.explode("region_order").alias("o")).select("page", "o.*"))
+    ordered = order_regions(regions.join(good.select("page"), "page", "left_semi"), good.select("page", F.explode("region_order").alias("o")).select("page", "o.*"))
     placed = ordered.unionByName(spatial_order(regions.join(good.select("page"), "page", "left_anti")))
     lines = pages.select(F.col("path").alias("page"), F.explode("lines").alias("l")).select("page", "l.region_id", "l.line_idx", strip(F.coalesce("l.text", F.lit(""))).alias("text"))
     rows = placed.join(lines, ["page", "region_id"]).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("position", "line_idx", "text"))).alias("rows"))
