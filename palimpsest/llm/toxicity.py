@@ -9,6 +9,7 @@ beginnings and is trained with numpy on the driver from bounded samples; scoring
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,29 +22,44 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import slices, words_of
 
 #: Lengths of the word beginnings that are features beside the whole word.
-BEGINNINGS = (4, 5, 6)
-FEATURE_BITS = 22
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: A text that has this many distinct words of a feature has a feature of its own for it.
+SEVERAL = (2, 4)
+FEATURE_BITS = 31
+_MASK = (1 << FEATURE_BITS) - 1
 
 
 def word_features(word: str) -> list[int]:
     """Hashed features of one word: itself and its beginnings."""
-    out = [xxhash.xxh3_64_intdigest("=" + word) >> (64 - FEATURE_BITS)]
-    out += [xxhash.xxh3_64_intdigest(f"{n}{word[:n]}") >> (64 - FEATURE_BITS) for n in BEGINNINGS if len(word) >= n]
+    out = [xxhash.xxh3_64_intdigest("=" + word) & _MASK]
+    out += [xxhash.xxh3_64_intdigest(f"{n}{word[:n]}") & _MASK for n in BEGINNINGS if len(word) >= n]
     return out
 
 
+def several(feature: int, n: int) -> int:
+    """The feature of n distinct words that have this one."""
+    return (feature * 0x9E3779B1 + n * 0x85EBCA77) & _MASK
+
+
+def text_features(text: str | None) -> np.ndarray:
+    """Distinct features of a text, sorted."""
+    base = Counter(f for w in set(words_of(text)) for f in word_features(w))
+    more = [several(f, n) for f, c in base.items() if c > 1 for n in SEVERAL if c >= n]
+    return np.unique(np.array([*base, *more], np.int32))
+
+
 class WordFeatures(dict):
-    """word -> features; forgets all once it holds `most` words. keep: only these features, if given."""
+    """word -> those of its features that have a weight, alone or for several words; forgets all at `most` words."""
 
-    def __init__(self, keep: dict[int, float] | None = None, most: int = 400_000):
+    def __init__(self, weights: dict[int, float], most: int = 200_000):
         super().__init__()
-        self.keep, self.most = keep, most
+        self.weights, self.most = weights, most
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
-        found = word_features(word)
-        out = self[word] = tuple(found if self.keep is None else [f for f in found if f in self.keep])
+        w = self.weights
+        out = self[word] = tuple(f for f in word_features(word) if f in w or any(several(f, n) in w for n in SEVERAL))
         return out
 
 
@@ -60,9 +76,10 @@ class ToxicityModel:
         get = known.__getitem__
         out = np.full(len(texts), self.bias)
         for i, text in enumerate(texts):
-            found = {f for fs in filter(None, map(get, set(words_of(text)))) for f in fs}
+            found = Counter(f for fs in filter(None, map(get, set(words_of(text)))) for f in fs)
             if found:
-                out[i] += sum(weight[f] for f in sorted(found))
+                every = {*found, *(several(f, n) for f, c in found.items() if c > 1 for n in SEVERAL if c >= n)}
+                out[i] += sum(weight.get(f, 0.0) for f in sorted(every))
         return out
 
 
@@ -75,10 +92,9 @@ def _feature_lists(docs: DataFrame, text_col: str) -> list[np.ndarray]:
     """Distinct features of each text of a bounded sample, gathered on the driver as packed integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordFeatures()
         for whole in batches:
             for batch in slices(whole, text_col):
-                packed = [np.array(sorted({f for w in set(words_of(t)) for f in known[w]}), np.int32).tobytes() for t in batch.column(0).to_pylist()]
+                packed = [text_features(t).tobytes() for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["features"])
 
     return [np.frombuffer(x, np.int32) for x in docs.select(text_col).mapInArrow(run, "features binary").toArrow().column(0).to_pylist()]
@@ -88,30 +104,37 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 300, step: float = 0.05, decay: float = 1e-4, least_df: int = 4, least_lift: float = 3.0, least_z: float = 4.0, most_features: int = 50_000, seed: int = 7) -> ToxicityModel:
-    """Minimises the non-negative risk by Adam over all samples. Features seen in fewer than least_df positive texts, or
-    there less than least_lift times as often as in unlabelled ones or by fewer than least_z standard deviations, keep
-    weight 0."""
+def _slots(known: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Places in a sorted array of those features that are in it."""
+    at = np.minimum(np.searchsorted(known, features), max(0, len(known) - 1))
+    return at[known[at] == features] if len(known) else at[:0]
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 300, step: float = 0.05, decay: float = 1e-4, least_df: int = 4, least_share: float = 0.5, least_g: float = 16.0, most_features: int = 50_000, seed: int = 7) -> ToxicityModel:
+    """Minimises the non-negative risk by Adam over all samples. A feature takes part if at
+    least least_df positive texts have it, if the prior and its rates in both samples put the share of toxic texts among
+    those that have it at least_share or more, and if its excess in positive texts is no chance: twice the log-likelihood
+    ratio against the rate in unlabelled texts, as Poisson counts, is least_g or more."""
     prior = min(max(prior, 1e-4), 0.9)
     bias = float(np.log(prior / (1 - prior)))
     if not positive:
         return ToxicityModel(-30.0, {}, 0.0)
-    size = 1 << FEATURE_BITS
-    df_p = np.bincount(np.concatenate(positive), minlength=size)
-    df_u = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int32)]).astype(np.int64), minlength=size)
+    found, df_p = np.unique(np.concatenate(positive), return_counts=True)
+    found, df_p = found[df_p >= least_df], df_p[df_p >= least_df]
+    df_u = np.zeros(len(found))
+    for fs in unlabelled:
+        df_u[_slots(found, fs)] += 1
     rate = (df_u + 1.0) / (len(unlabelled) + 2.0)
     lift = (df_p / len(positive)) / rate
-    z = (df_p / len(positive) - rate) / np.sqrt(rate * (1 - rate) / len(positive))
-    keep = np.flatnonzero((df_p >= least_df) & (lift >= least_lift) & (z >= least_z))
-    keep = np.sort(keep[np.argsort(-(df_p[keep] * np.log(lift[keep])), kind="stable")[:most_features]])
+    expected = rate * len(positive)
+    g = 2 * (df_p * np.log(df_p / expected) - (df_p - expected))
+    good = np.flatnonzero((lift * prior >= least_share) & (lift > 1) & (g >= least_g))
+    keep = np.sort(found[good[np.argsort(-(df_p[good] * np.log(lift[good])), kind="stable")[:most_features]]])
     if not len(keep):
         return ToxicityModel(bias, {}, prior)
-    slot = np.full(size, -1, np.int64)
-    slot[keep] = np.arange(len(keep))
     rows, cols, n_pos = [], [], len(positive)
     for i, fs in enumerate([*positive, *unlabelled]):
-        own = slot[fs]
-        own = own[own >= 0]
+        own = _slots(keep, fs)
         cols.append(own)
         rows.append(np.full(len(own), i))
     rows, cols, n = np.concatenate(rows), np.concatenate(cols), n_pos + len(unlabelled)
