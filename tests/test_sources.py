@@ -85,3 +85,23 @@ def test_watched_folder_is_done_once(spark, tmp_path):
     assert go() == ["one"]
     (inbox / "b.txt").write_text("two")
     assert go() == ["one", "two"]
+
+
+def test_images(spark, tmp_path):
+    import struct
+    import zlib
+
+    from palimpsest.sources import images
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    raw = b"".join(b"\0" + bytes([10 * y] * 3) for y in range(2))
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = images.page_pixels(spark, str(tmp_path)).collect()
+    assert [(r.height, r.width, r.orientation, bytes(r.pixels)) for r in got] == [(2, 3, 1, bytes([0] * 3 + [10] * 3))]
+    tiff = b"II*\0\x08\0\0\0" + struct.pack("<H", 1) + struct.pack("<HHIHH", images.ORIENTATION, 3, 1, 6, 0)
+    body = b"Exif\0\0" + tiff
+    assert images.exif_orientation(b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda") == 6
+    assert images.turned(images.np.array([[1, 2], [3, 4]]), 6).tolist() == [[3, 1], [4, 2]]
