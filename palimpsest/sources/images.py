@@ -45,7 +45,8 @@ def page_pixels(spark: SparkSession, path: str) -> DataFrame:
     comes from the file's own bytes, which that source leaves unread."""
     decoded = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
     tags = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 65536).alias("head"))
-    joined = decoded.join(tags, F.col("origin") == F.col("path")).select(F.col("origin").alias("page"), "height", "width", "nChannels", "data", "head")
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  the two sources write local paths differently
+    joined = decoded.join(tags, same("origin") == same("path")).select(F.col("origin").alias("page"), "height", "width", "nChannels", "data", "head")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
