@@ -10,7 +10,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 
@@ -23,6 +25,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Arrow batches of fewer rows than the default, as texts can be long; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, local mode)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -37,6 +47,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.held: list[DataFrame] = []
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
@@ -48,6 +59,26 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Keeps a table in the executors' memory and on their disks for a few uses; what is lost is computed again from
+        the last written tables, so no more than one or two tables should be held on top of each other. release() lets
+        all go."""
+        held = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.append(held)
+        return held
+
+    def release(self) -> None:
+        for held in self.held:
+            held.unpersist()
+        self.held.clear()
+
+
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by a hash that no join or aggregation on the keys uses, so that a join on them deals both sides again and
+    can split a key that is frequent on one of them."""
+    return df.repartition(F.xxhash64(*keys, F.lit(17)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64); wraps around."""
     x = x + _MULT
@@ -67,7 +98,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, the same in every process; forgets all once it holds `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -121,6 +152,7 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 512, chars: int = 4_0
         total += int(s)
     if at < batch.num_rows:
         yield batch.slice(at)
+    pa.default_memory_pool().release_unused()
 
 
 def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, html_extract, licenses, minhash, sentencepiece_codec, token_counts, topk, toxicity, url_filter, warc
-from palimpsest.llm.common import read_table
+from palimpsest.llm.common import read_table, small_batches
 
 
 def piece_model() -> str:
@@ -85,8 +86,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()]
-    return {f.__name__: f for f in found}
+    def batched(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return functools.wraps(query)(lambda spark, sf_dir: query(small_batches(spark), sf_dir))
+
+    return {name: batched(f) for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
