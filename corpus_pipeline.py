@@ -7,23 +7,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import decontaminate, minhash, sentencepiece_codec, toxicity
-from palimpsest.llm.common import Scratch, read_table
+from palimpsest.llm.common import Scratch, read_table, small_batches
 from palimpsest.llm.queries import piece_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.keep_clean(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return toxicity.keep_clean(docs, toxicity.train(docs, read_table(small_batches(spark), sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_documents(docs, read_table(small_batches(spark), sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return sentencepiece_codec.encode_documents(docs, piece_model())
 
 
