@@ -1,0 +1,385 @@
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import decontaminate, html_extract, html_training, licenses, minhash, sentencepiece_codec, token_counts, topk, toxicity, url_filter, warc
+from palimpsest.llm.common import Scratch, hash_words, words_of
+from palimpsest.llm.queries import piece_model
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def docs_of(spark, texts, extra=False):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    return df.withColumns({"node": F.lit(1), "key": F.lit("k"), "score": F.lit(0.5), "_text": F.lit("z"), "item_id": F.lit(7)}) if extra else df
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(n))
+
+
+# --- 1 licence scan
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(1)
+    notices = [t.text for t in licenses.TEMPLATES]
+    texts = [None, "", " \n \n", "!!!", "Released under the MIT License", "released UNDER the mit\nlicense", "All rights reserved. All rights reserved."]
+    for _ in range(60):
+        words = rng.choice(notices).split()
+        del words[rng.randrange(len(words))]
+        texts.append("\n".join([prose(rng, rng.randint(1, 40)), " ".join(words), *[""] * rng.randint(0, 2), prose(rng, 5)]))
+    got = sorted((r.doc_id, r.unit, r.unit_no, r.license_id, r.template, r.dice) for r in licenses.scan(docs_of(spark, texts, extra=True)).collect())
+    want = []
+    for i, text in enumerate(texts):
+        parts = re.split(r"\n[ \t]*\n", text or "")
+        units = [("line", k, x) for k, x in enumerate((text or "").split("\n"))] + [("paragraph", k, x) for k, x in enumerate(parts) if "\n" in x] + ([("document", 0, text)] if len(parts) > 1 else [])
+        for (unit, k, piece), t in itertools.product(units, licenses.TEMPLATES):
+            a, b = set(licenses.template_bigrams(piece)), set(licenses.template_bigrams(t.text))
+            if a and (d := round(2 * len(a & b) / (len(a) + len(b)), 6)) >= 0.8:
+                want.append((i, unit, k, t.license_id, t.name, d))
+    assert got == sorted(want) and len(want) > 50
+    assert licenses.scan(docs_of(spark, [""]).limit(0)).count() == 0
+
+
+# --- 2 top-k
+
+
+@pytest.mark.parametrize("scale", [1, 64])
+def test_top_k_against_brute_force(spark, scale):
+    rng = np.random.default_rng(2)
+    vectors = [list(map(float, rng.normal(size=8) * rng.choice([0.1, 1, 10]))) for _ in range(300)] + [[1.0] * 8] * 30
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(400, None), (401, [1.0, None] * 4), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (None, [9.0] * 8), (420, []), (440, [2.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("row", F.lit(1))
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=20, scale=scale).orderBy("query_id", "rank").collect()]
+    ints = np.floor(np.array(vectors) * scale).astype(np.int64)
+    want = []
+    for q in range(0, 330, 20):
+        found = sorted((-int(ints[q] @ ints[c]), c) for c in range(330) if c != q)[:20]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(found)]
+    assert got == want
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+# --- 3 HTML
+
+
+def test_extraction_on_held_out_layouts():
+    chain, right, total = html_extract.default_chain(), 0, 0
+    for page, main in html_training.labelled_pages(150, seed=77):
+        blocks = html_extract.blocks_of(page)
+        labels = html_extract.viterbi(chain, [html_extract.features(blocks)])[0]
+        right += sum(int(b.text in main) == y for b, y in zip(blocks, labels, strict=True))
+        total += len(blocks)
+    assert right / total > 0.99
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(3)
+    chain = html_extract.Chain(rng.normal(size=(len(html_extract.FEATURE), 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    pages = [[list(rng.choice(50, 3)) for _ in range(n)] for n in (1, 4, 0, 7)]
+    for page, got in zip(pages, html_extract.viterbi(chain, pages), strict=True):
+        score = lambda ys, page=page: sum(chain.state[f, y].sum() for f, y in zip(page, ys, strict=True)) + sum(chain.move[a, b] for a, b in itertools.pairwise(ys)) + (chain.start[ys[0]] if ys else 0)
+        assert list(got) == list(max(itertools.product((0, 1), repeat=len(page)), key=score) if page else [])
+
+
+def test_blocks():
+    page = '<html><head><title>t</title></head><body><script>if (a<b) "<p>";</script><p>a &amp; <b>b</b>\n c<br>d<p>e&nbsp;&eacute;<table><tr><td>x<td>y</table><!-- <p>no</p> --><a href="1 > 2">link</a> tail'
+    assert [b.text for b in html_extract.blocks_of(page)] == ["a & b c d", "e é", "x", "y", "link tail"]
+    assert html_extract.blocks_of("just text")[0].text == "just text"
+
+
+def test_extract_edge_cases(spark):
+    pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<nav><a href='/'>Home</a></nav>"), (4, "u", "<article><h1>T</h1><p>" + "Long text here, and more. " * 2000 + "</p></article>"), (4, "u", "<p")], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
+    got = {(r.page_id, r.n_chars > 100): r for r in html_extract.extract(pages).collect()}
+    assert got[1, False].text == "" and got[2, False].url is None and got[3, False].n_chars == 0
+    assert got[4, True].text == "T\n" + ("Long text here, and more. " * 2000).strip()
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+# --- 4 decontamination
+
+
+def naive_tiles(doc, item, least):
+    marked_d, marked_i, out = set(), set(), []
+    while True:
+        best = None
+        for q, p in itertools.product(range(len(item)), range(len(doc))):
+            n = 0
+            while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n] and p + n not in marked_d and q + n not in marked_i:
+                n += 1
+            if n >= least and (best is None or n > best[0]):
+                best = (n, q, p)
+        if best is None:
+            return out
+        n, q, p = best
+        marked_d.update(range(p, p + n))
+        marked_i.update(range(q, q + n))
+        out.append((p, q, n))
+
+
+def test_tiling_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(150):
+        doc, item = [rng.choice("abc") for _ in range(rng.randint(0, 30))], [rng.choice("abc") for _ in range(rng.randint(3, 15))]
+        (words, o) = hash_words([" ".join(doc), " ".join(item)])
+        index = decontaminate.BenchmarkIndex([1], [words[o[1] :]], 3)
+        runs = index.runs(words[: o[1]]).get(0, [])
+        assert sorted(decontaminate.tile(runs, 3)) == sorted(naive_tiles(doc, item, 3))
+
+
+def test_decontamination(spark):
+    rng = random.Random(5)
+    item = prose(rng, 40).split()
+    shuffled = " ".join(item[20:] + item[:20])
+    texts = [prose(rng, 50) + " " + " ".join(item).upper() + ".", prose(rng, 10) + ", " + shuffled, prose(rng, 3000), " ".join(item[:15]) + " " + prose(rng, 9), None, "", "two words", shuffled]
+    docs = docs_of(spark, texts, extra=True)
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, "two words"), (3, None), (4, ""), (None, "x y z")], "item_id bigint, text string")
+    for most in (4_000_000, 0):
+        got = sorted((r.doc_id, r.item_id, round(r.coverage, 3), r.tiles) for r in decontaminate.contaminated(docs, bench, most_seeds=most).collect())
+        assert got == [(0, 1, 1.0, 1), (1, 1, 1.0, 2), (6, 2, 1.0, 1), (7, 1, 1.0, 2)]
+        clean = decontaminate.clean_documents(docs, bench, most_seeds=most)
+        assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 5]
+    assert decontaminate.clean_documents(docs, bench.limit(0)).count() == len(texts)
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
+
+
+# --- 5 toxicity
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score(docs.withColumn("score", F.lit(1)), model).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert sum(r.predicted for r in toxic) / len(toxic) > 0.9
+    assert sum(r.predicted for r in clean) / len(clean) < 0.03
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_toxicity_edge_cases(spark):
+    docs = docs_of(spark, [None, "", "fine words", "fine words"], extra=True)
+    labels = spark.createDataFrame([(0, 1, None), (None, 1, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    assert [r.predicted for r in toxicity.score(docs, model).collect()] == [0] * 4
+    assert toxicity.keep_clean(docs, model).columns == docs.columns
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels.limit(0))).count() == 0
+    held = docs.select("doc_id", toxicity.held_out().alias("h")).collect()
+    import zlib
+
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held)
+
+
+# --- 6 token counts
+
+
+def greedy(word, starting, going_on):
+    at = count = 0
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in (going_on if at else starting)), None)
+        if end is None:
+            return None
+        at, count = end, count + 1
+    return count
+
+
+def test_longest_match_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(200):
+        letters = "abc"[: rng.randint(1, 3)]
+        starting, going_on = ({"".join(rng.choices(letters, k=rng.randint(1, 5))) for _ in range(rng.randint(0, 8))} for _ in range(2))
+        automaton = token_counts.LongestMatch(starting, going_on)
+        for _ in range(30):
+            word = "".join(rng.choices(letters, k=rng.randint(1, 14)))
+            assert automaton.pieces(word) == greedy(word, starting, going_on)
+
+
+def test_token_counts(spark):
+    vocabulary = token_counts.piece_vocabulary(piece_model())
+    texts = [None, "", "the the, tokens!", "日本 x", "a" * 5000]
+    starting, going_on = map(set, vocabulary)
+    rows = {r.doc_id: r for r in token_counts.count_tokens(docs_of(spark, texts), vocabulary).collect()}
+    for i, text in enumerate(texts):
+        each = [greedy(w, starting, going_on) for w in re.findall(r"\w+|[^\w\s]", text or "")]
+        assert (rows[i].n_words, rows[i].n_tokens, rows[i].n_unknown) == (len(each), sum(1 if n is None else n for n in each), each.count(None))
+
+
+# --- 7 near-duplicates
+
+
+def test_signatures_estimate_weighted_jaccard():
+    rng = np.random.default_rng(7)
+    k, sets = 512, []
+    for _ in range(6):
+        e = np.unique(rng.integers(0, 60, 40)).astype(np.uint64)
+        sets.append((e, rng.integers(1, 6, len(e))))
+    offsets = np.concatenate([[0], np.cumsum([len(e) for e, _ in sets])])
+    signature = minhash.dart_signatures(np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets]).astype(float), offsets, k)
+    for i, j in itertools.combinations(range(6), 2):
+        assert abs((signature[i] == signature[j]).mean() - minhash.weighted_jaccard(sets[i], sets[j])) < 4.5 * (0.25 / k) ** 0.5
+
+
+def brute_classes(texts):
+    words, o = hash_words(texts)
+    sets = [minhash.weighted_shingles(words[a:b]) for a, b in itertools.pairwise(o)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if texts[i] and texts[i] == texts[j] or len(sets[i][0]) and len(sets[j][0]) and minhash.weighted_jaccard(sets[i], sets[j]) >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_classes_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = [None, "", "", "###", "###", "$$", "one", "One!", "one two", prose(rng, 6000)]
+    for n in (8, 60, 200):
+        base = prose(rng, n).split()
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, n // 60))):
+                copy[rng.randrange(n)] = prose(rng, 1)
+            texts.append(" ".join(copy))
+    shared = prose(rng, 60)
+    texts += [f"{prose(rng, 40)} {shared} {prose(rng, 30)}" for _ in range(20)] + [prose(rng, 50) for _ in range(20)] + [texts[9] + " end"]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(spark, texts, extra=True)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+    kept = minhash.keep_one(docs_of(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == DOCS.replace(",", "").split()[::2]
+
+
+def test_near_duplicates_edge_cases(spark):
+    docs = docs_of(spark, ["same text here"] * 2 + [None])
+    twice = docs.unionByName(docs).unionByName(spark.createDataFrame([(None, "same text here", "en", "s", 1)], DOCS))
+    got = sorted((str(r.doc_id), str(r.class_id)) for r in minhash.near_duplicates(twice).collect())
+    assert got == [("0", "0")] * 2 + [("1", "0")] * 2 + [("2", "2")] * 2 + [("None", "0")]
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102)], "a bigint, b bigint")
+    got = {r.node: r.root for r in minhash.components(edges, Scratch(spark, "t")).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in (100, 101, 102)}
+
+
+# --- 8 SentencePiece
+
+
+def test_codec_against_the_library(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    rng = random.Random(9)
+    texts = [None, "", " ", "  a  b", "▁x ▁▁y", "l\n\n m\n", "\t\r\n", "日本語 ünï 🎉", " " * 70, "a" * 3000, "\x00a", "<s> <unk> <0x41>", "1234 5"]
+    texts += ["".join(rng.choices("the tion aé\n▁ 日1,", k=rng.randint(1, 200))) for _ in range(300)]
+    rows = sentencepiece_codec.encode_documents(docs_of(spark, texts, extra=True), piece_model(), check="texts", with_ids=True, with_text=True).collect()
+    for r in rows:
+        ids = library.encode(texts[r.doc_id] or "")
+        back = library.decode(ids)
+        assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), back)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+    assert sentencepiece_codec.encode_documents(docs_of(spark, [""]).limit(0), piece_model()).count() == 0
+
+
+def test_both_agendas_agree():
+    with open(piece_model(), "rb") as f:
+        codec = sentencepiece_codec.PieceCodec(f.read())
+    rng = random.Random(10)
+    for _ in range(2000):
+        word = "".join(rng.choices("▁theaionrs", k=rng.randint(1, 40)))
+        assert codec._short(word) == codec._long(word)
+
+
+# --- 9 WARC
+
+
+def test_warc_round_trip(spark, tmp_path):
+    odd = "é\r\n\r\nWARC/1.1\r\n" * 20
+    rows = [(1, "http://a/b c\n", "x" * 200), (2, "u", "x" * 200), (None, None, "x" * 200), (3, None, None), (4, "", ""), (5, "https://ü.org/p?q#f", odd), (5, "https://ü.org/p?q#f", odd), (6, "z", odd), (7, "s", "y" * 99), (8, "s", "y" * 99), (9, "l", "z" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("first", F.lit(1))
+    got = sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.page_captures(pages).collect())
+    size = lambda h: len((h or "").encode())
+    digest = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
+    first = {2: 1, 6: 5}
+    assert got == sorted((i or 0, size(h), digest(h), "revisit" if i in first else "response", first.get(i)) for i, _, h in rows)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    records = warc.read_archives(spark, str(tmp_path / "w"))
+    assert records.count() == 3 * len(rows)
+    payloads = sorted(bytes(r.payload).decode() for r in records.where("record_type = 'response'").collect())
+    assert payloads == sorted(h or "" for i, _, h in rows if i not in first)
+    capture = warc.assemble(records).where("response.target_uri like '%org%'").first()
+    assert capture.request.fields["host"] == "ü.org" and capture.metadata[0].fields["page_id"] == "5"
+    assert warc.page_captures(pages.limit(0)).count() == 0
+
+
+def test_foreign_archives(spark, tmp_path):
+    import gzip
+
+    def record(kind, own, block, *more):
+        fields = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{own}>", *more, f"Content-Length: {len(block)}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(fields) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    http = "Content-Type: application/http; msgtype=response"
+    data = [record("warcinfo", "i", b"software: x\r\n"), record("request", "q", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", http), record("response", "r", b"HTTP/1.1 200 OK\r\nA: b\r\n c\r\n\r\nbody", http, "WARC-Concurrent-To: <q>"), record("metadata", "m", b"k: v\r\n", "Content-Type: application/warc-fields", "WARC-Concurrent-To: <r>"), record("metadata", "lost", b"", "WARC-Concurrent-To: <none>")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(d) for d in data))
+    got = warc.assemble(warc.read_archives(spark, str(tmp_path))).collect()
+    assert len(got) == 1 and (got[0].request.record_id, [m.record_id for m in got[0].metadata], bytes(got[0].response.payload)) == ("<q>", ["<m>"], b"body")
+    assert got[0].response.fields["a"] == "b c"
+    with pytest.raises(ValueError, match="breaks off"):
+        list(warc.parse_archive(data[0][:-8]))
+
+
+# --- 10 URL filter
+
+
+def judged(url, rules=url_filter.RULES):
+    """host, path and the longest fitting rule, written out plainly."""
+    if url is None or "://" not in url:
+        host = path = ""
+    else:
+        rest = url.split("://", 1)[1]
+        cut = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+        host, rest = rest[:cut], rest[cut:]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        path = re.split("[?#]", rest, maxsplit=1)[0]
+    fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return host, path, max(fit, key=lambda r: len(r.text)) if fit else None
+
+
+def test_rules_against_brute_force(spark):
+    urls = [None, "", "x", "HTTP://Ex.ORG:80/a", "https://Example.ORG/en/1x#q", "a://b://c", "x://É.com/fr/", "y://notorg/", "z://org/", "http://h.example.org?x=/", "http://a.org\n/b/", "s://w.com/de/?q"]
+    urls += [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumns({"host": F.lit("clash"), "verdict": F.lit("clash")})
+    got = {r.page_id: r for r in url_filter.filter_urls(df).collect()}
+    for i, url in enumerate(urls):
+        host, path, rule = judged(url)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule.text if rule else None), url
+        assert got[i].verdict == rule.verdict if rule else got[i].verdict in ("allow", "block")
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+
+
+def test_markov_models():
+    rng = random.Random(11)
+    good, bad = (["".join(rng.choices(w, k=4)) for _ in range(400)] for w in (["news/", "story/", "art/"], ["promo?", "win$", "ad&"]))
+    a, b = url_filter.MarkovModel(4).fit(good[:300]), url_filter.MarkovModel(4).fit(bad[:300])
+    letters = {c for u in good + bad for c in u} | {"$"}
+    assert sum(a.probability("new", c) for c in letters) + (256 - len(letters)) * a.probability("new", "\0") == pytest.approx(1)
+    model, known = url_filter.UrlModel(a, b), {}
+    model.threshold = url_filter.calibrate([(model.score(u, known), y) for us, y in ((good[:300], True), (bad[:300], False)) for u in us])
+    assert all(model.score(u, known) >= model.threshold for u in good[300:]) and all(model.score(u, known) < model.threshold for u in bad[300:])
+
+
+def test_words():
+    assert words_of(None) == [] and words_of("A-b_1 É") == ["a", "b_1", "é"]
