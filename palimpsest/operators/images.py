@@ -94,3 +94,87 @@ def tightened_lines(lines: DataFrame, images: DataFrame) -> DataFrame:
         return left.assign(ink_top=[f[0] for f in found], ink_bottom=[f[1] for f in found])[[*names, "ink_top", "ink_bottom"]]
 
     return lines.groupBy("page").cogroup(images.groupBy("page")).applyInPandas(run, schema)
+
+
+def resized(gray: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear; pixel centres of both grids are matched. Exact resampling of other libraries is not promised."""
+    rows, columns = gray.shape
+    y = np.clip((np.arange(height) + 0.5) * rows / height - 0.5, 0, rows - 1)
+    x = np.clip((np.arange(width) + 0.5) * columns / width - 0.5, 0, columns - 1)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, rows - 1), np.minimum(x0 + 1, columns - 1)
+    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+    g = gray.astype(np.float64)
+    top = g[np.ix_(y0, x0)] * (1 - fx) + g[np.ix_(y0, x1)] * fx
+    bottom = g[np.ix_(y1, x0)] * (1 - fx) + g[np.ix_(y1, x1)] * fx
+    return np.rint(top * (1 - fy) + bottom * fy).astype(np.uint8)
+
+
+def resized_to_height(gray: np.ndarray, target: int, most: int = 10_000) -> np.ndarray:
+    """Keeps the aspect ratio; the width is cut to a whole number, from 1 to most."""
+    rows, columns = gray.shape
+    return resized(gray, target, min(most, max(1, int(target * (columns / rows)))))
+
+
+def rotated(gray: np.ndarray, degrees: float, fill: int = 0) -> np.ndarray:
+    """Turned counter-clockwise around the centre by nearest pixels, the size kept; uncovered pixels are filled."""
+    rows, columns = gray.shape
+    cy, cx, a = (rows - 1) / 2, (columns - 1) / 2, np.radians(degrees)
+    y, x = np.mgrid[:rows, :columns]
+    sx = np.rint(np.cos(a) * (x - cx) - np.sin(a) * (y - cy) + cx).astype(int)
+    sy = np.rint(np.sin(a) * (x - cx) + np.cos(a) * (y - cy) + cy).astype(int)
+    inside = (sx >= 0) & (sx < columns) & (sy >= 0) & (sy < rows)
+    return np.where(inside, gray[np.clip(sy, 0, rows - 1), np.clip(sx, 0, columns - 1)], fill).astype(np.uint8)
+
+
+def equalised(gray: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited equalisation: each tile's histogram is cut at clip times its mean, the rest is spread evenly,
+    and pixels take the mix of the four nearest tiles' mappings."""
+    rows, columns = gray.shape
+    edges_y, edges_x = np.linspace(0, rows, tiles + 1).astype(int), np.linspace(0, columns, tiles + 1).astype(int)
+    maps = np.empty((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            part = gray[edges_y[i] : edges_y[i + 1], edges_x[j] : edges_x[j + 1]]
+            histogram = np.bincount(part.ravel(), minlength=256).astype(np.float64)
+            limit = max(1.0, clip * part.size / 256)
+            over = np.maximum(histogram - limit, 0).sum()
+            maps[i, j] = np.cumsum(np.minimum(histogram, limit) + over / 256) * 255 / max(1, part.size)
+    y = np.clip((np.arange(rows) + 0.5) * tiles / rows - 0.5, 0, tiles - 1)
+    x = np.clip((np.arange(columns) + 0.5) * tiles / columns - 0.5, 0, tiles - 1)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, tiles - 1), np.minimum(x0 + 1, tiles - 1)
+    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+    at = lambda i, j: maps[i[:, None], j[None, :], gray]
+    mixed = (at(y0, x0) * (1 - fx) + at(y0, x1) * fx) * (1 - fy) + (at(y1, x0) * (1 - fx) + at(y1, x1) * fx) * fy
+    return np.clip(np.rint(mixed), 0, 255).astype(np.uint8)
+
+
+def line_images(lines: DataFrame, images: DataFrame, target_height: int | None = None, mask: bool = False, deskew: bool = False, equalise: bool = False, pad: int = 5) -> DataFrame:
+    """(page, line_id, height, width, pixels): crops of lines (page, line_id, x1, y1, x2, y2, coords, angle) from their
+    page's pixels, page by page. mask fills what is outside coords, white, or black where lines are turned upright;
+    deskew turns by angle, and coords with it. Empty crops give no row."""
+    names = ["page", "line_id", "height", "width", "pixels"]
+
+    def one(gray: np.ndarray, line) -> np.ndarray:
+        polygon = [(p["x"], p["y"]) for p in line.coords] if mask and line.coords is not None and len(line.coords) > 2 else None
+        out = crop(gray, (line.x1, line.y1, line.x2, line.y2), pad, polygon, 0 if deskew else 255)
+        if deskew and out.size:
+            out = rotated(out, line.angle, 0)
+        if equalise and out.size:
+            out = equalised(out, tiles=min(8, *out.shape))
+        return resized_to_height(out, target_height) if target_height and out.size else out
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(right):
+            image = right.iloc[0]
+            gray = np.frombuffer(image["pixels"], np.uint8).reshape(image["height"], image["width"])
+            for line in left.itertuples(index=False):
+                out = one(gray, line)
+                if out.size:
+                    rows.append((line.page, line.line_id, *out.shape, out.tobytes()))
+        return pd.DataFrame(rows, columns=names)
+
+    wanted = lines.select("page", "line_id", "x1", "y1", "x2", "y2", "coords", "angle")
+    return wanted.groupBy("page").cogroup(images.select("page", "height", "width", "pixels").groupBy("page")).applyInPandas(run, "page string, line_id string, height int, width int, pixels binary")

@@ -72,3 +72,11 @@ def pending(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
 def finished(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     """Inputs with an output."""
     return inputs.join(outputs.select(key).distinct(), key, "left_semi")
+
+
+def upserted(store: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """The latest row of each key, by `order`, of both; for equal orders the change wins."""
+    both = store.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
+    columns = [c for c in store.columns if c != key]
+    latest = both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(order, "_new")).alias("_row"))
+    return latest.select(key, "_row.*").select(store.columns)

@@ -70,3 +70,8 @@ def ngram_counts(lines: DataFrame, text_col: str = "text", orders: tuple[int, ..
     grams = lambda n: F.transform(F.when(F.length(text_col) >= n, F.sequence(F.lit(1), F.length(text_col) - (n - 1))), lambda i: F.struct(F.lit(n).alias("n"), F.substring(F.col(text_col), i, F.lit(n)).alias("gram")))
     every = F.concat(*[F.coalesce(grams(n), F.array().cast("array<struct<n:int,gram:string>>")) for n in orders])
     return lines.select(F.explode(every).alias("g")).groupBy("g.n", "g.gram").agg(F.count("*").alias("count"))
+
+
+def most_frequent(counts: DataFrame, most: int = 20, count_col: str = "n", symbol_col: str = "ch") -> DataFrame:
+    """The symbols that occur most, ties by code point."""
+    return counts.orderBy(F.desc(count_col), symbol_col).limit(most)

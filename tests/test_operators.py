@@ -116,3 +116,25 @@ def test_image_segmentation(spark):
     assert images.ink_extent(page, (0, 0, 40, 30)) == (5, 19)
     lines = spark.createDataFrame([("p", 0, 0, 40, 30), ("q", 1, 2, 3, 4)], "page string, x1 int, y1 int, x2 int, y2 int")
     assert rows(images.tightened_lines(lines, one), "page", "ink_top", "ink_bottom") == [("p", 5, 19), ("q", 2, 4)]
+
+
+def test_line_images(spark):
+    import numpy as np
+
+    page = np.tile(np.arange(100, dtype=np.uint8), (50, 1))
+    coords = [(10, 10), (30, 10), (30, 30), (10, 30)]
+    lines = spark.createDataFrame([("p", "a", 10, 10, 30, 30, coords, 0.0), ("p", "gone", 200, 10, 230, 30, None, 0.0), ("q", "b", 0, 0, 5, 5, None, 0.0)], "page string, line_id string, x1 int, y1 int, x2 int, y2 int, coords array<struct<x:int,y:int>>, angle double")
+    one = spark.createDataFrame([("p", 50, 100, page.tobytes())], "page string, height int, width int, pixels binary")
+    got = images.line_images(lines, one, mask=True).collect()
+    assert [(r.line_id, r.height, r.width) for r in got] == [("a", 30, 30)]
+    pixels = np.frombuffer(got[0].pixels, np.uint8).reshape(30, 30)
+    assert pixels[0, 0] == 255 and pixels[10, 10] == 15
+    assert images.line_images(lines, one, target_height=15, deskew=True, equalise=True).first().width == 15
+    assert images.rotated(np.array([[1, 2], [3, 4]], np.uint8), 90).tolist() == [[2, 4], [1, 3]]
+    assert (images.resized(page, 50, 100) == page).all() and images.equalised(page).shape == page.shape
+
+
+def test_upserts(spark):
+    store = spark.createDataFrame([("a", 1, "old"), ("b", 1, "stays")], "name string, at int, value string")
+    changes = spark.createDataFrame([("a", 1, "new"), ("c", 2, "more")], "name string, at int, value string")
+    assert rows(pairing.upserted(store, changes, "name", "at"), "name", "value") == [("a", "new"), ("b", "stays"), ("c", "more")]
