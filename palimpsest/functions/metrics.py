@@ -22,6 +22,11 @@ def _rate(distance: Column, size: Column, other: Column) -> Column:
     return F.when(size == 0, F.when(other == 0, 0.0).otherwise(100.0)).otherwise(distance / size * 100.0)
 
 
+def rate(distance: Column, size: Column) -> Column:
+    """A distance that is at hand, in percent of a positive reference size."""
+    return distance / size * 100.0
+
+
 def cer(reference: Column, hypothesis: Column) -> Column:
     """Character error rate in percent; for an empty reference 0 or 100."""
     size = lambda c: F.coalesce(F.length(c), F.lit(0))

@@ -63,7 +63,8 @@ def cer_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of lines against a hypothesis with shifted vowels, by language: mean of lines, and micro."""
     r = F.left("line", F.lit(80))
     pairs = _document_lines(spark, sf_dir, "lang").select("lang", r.alias("reference"), F.translate(r, "aeiou", "eioua").alias("hypothesis"))
-    rated = pairs.select("lang", metrics.cer(F.col("reference"), F.col("hypothesis")).alias("cer"), metrics.edit_distance(F.col("reference"), F.col("hypothesis")).alias("d"), F.length("reference").alias("n"))
+    counted = pairs.select("lang", metrics.edit_distance(F.col("reference"), F.col("hypothesis")).alias("d"), F.length("reference").alias("n"))
+    rated = counted.withColumn("cer", metrics.rate(F.col("d"), F.col("n")))
     return rated.groupBy("lang").agg(F.count("*").alias("lines"), F.round(F.avg("cer"), 6).alias("cer"), F.sum("d").alias("edits"), F.round(F.sum("d") / F.sum("n"), 6).alias("micro_cer"))
 
 
@@ -79,7 +80,8 @@ def wer_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word error rate of the first thirty words of lines, by source."""
     r = F.array_join(F.slice(text.words(F.col("line")), 1, 30), " ")
     pairs = _document_lines(spark, sf_dir, "source").select("source", r.alias("r")).withColumn("h", F.translate("r", "aeiou", "eioua"))
-    rated = pairs.select("source", metrics.wer(F.col("r"), F.col("h")).alias("wer"), metrics.word_distance(F.col("r"), F.col("h")).alias("d"))
+    counted = pairs.select("source", metrics.word_distance(F.col("r"), F.col("h")).alias("d"), F.size(text.words(F.col("r"))).alias("n"))
+    rated = counted.withColumn("wer", metrics.rate(F.col("d"), F.col("n")))
     return rated.groupBy("source").agg(F.count("*").alias("lines"), F.round(F.avg("wer"), 6).alias("wer"), F.sum("d").alias("edits"))
 
 
