@@ -255,7 +255,9 @@ def linked_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold
         if last:
             # Nearly all of these pairs are below the threshold. Rows without a likely partner leave first, wider sketches
             # of the rest tell before any pair is formed, and a pair is formed in the first of its shared buckets only.
-            state = scratch.cut(state.alias("x").join(leaders.alias("y"), meets, "left_semi"))
+            # Likely partners are so both ways, so a minor member's are other minor ones or in what stays of the others.
+            others = scratch.cut(state.where("not minor").alias("x").join(leaders.alias("y"), meets, "left_semi"))
+            state = scratch.cut(leaders.alias("x").join(leaders.unionByName(others).alias("y"), meets, "left_semi").unionByName(others))
             wide = _wide_sketches(spread(shingles.join(state.select("node").distinct(), "node")), WIDE).join(nodes.select("node", "keys"), "node")
             state = scratch.cut(state.join(wide, "node"))
             leaders = state.where("minor")

@@ -268,6 +268,26 @@ def test_near_duplicates_edge_cases(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_links_to_ordinary_members_of_the_head_component(spark):
+    rng = random.Random(12)
+
+    def changed(words, at):
+        return [prose(rng, 1) if i in at else w for i, w in enumerate(words)]
+
+    texts, chains = [], []
+    for _ in range(2):
+        base = prose(rng, 200).split()
+        texts += [" ".join(changed(base, range(rng.randrange(15), 200, 15))) for _ in range(80)]
+        chains.append([base, middle := changed(base, range(10, 190, 45)), changed(middle, range(30, 190, 45))])
+    texts += [" ".join(chain[i]) for i in (2, 1, 0) for chain in chains]
+    prints = minhash.fingerprints(docs_of(spark, texts), "doc_id", "text", minhash.BANDS, minhash.ROWS)
+    nodes = prints.select(F.col("doc_id").alias("node"), "n", F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")).alias("keys"), "sketch")
+    roots = minhash.linked_roots(nodes, docs_of(spark, texts).select(F.col("doc_id").alias("node"), "text"), Scratch(spark, "t"))
+    got = {r.node: r.root for r in roots.collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+    assert len(set(got.values())) == 162
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102)], "a bigint, b bigint")
     got = {r.node: r.root for r in minhash.components(edges, Scratch(spark, "t")).collect()}
