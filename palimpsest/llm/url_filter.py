@@ -4,20 +4,21 @@ Both models are variable-order Markov models with Witten-Bell smoothing: the pro
 followed its context in training with the estimate from the context shortened by its first character, down to a uniform
 distribution. One is trained on accepted, one on rejected URLs; a URL's score is the difference of the two
 log-likelihoods, divided by its length, and it is allowed if the score reaches a threshold calibrated on URLs kept out
-of training. Accepted and rejected URLs are those that the rules decide, in bounded samples.
+of training. Accepted and rejected URLs are all those that the rules decide. Counts and probabilities are tables, which
+URLs meet in joins on contexts; MarkovModel, UrlModel and calibrate are the same in memory, for small sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import Scratch, dealt_anew
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -131,36 +132,97 @@ def calibrate(scores: list[tuple[float, bool]]) -> float:
     return at
 
 
-def train(labelled: DataFrame, max_urls: int = 6000, order: int = 6, url_col: str = "url", verdict_col: str = "rule_verdict") -> UrlModel:
-    """Fits on at most max_urls distinct URLs of each verdict, drawn by a hash; a quarter of them is for calibration.
-    Without any URLs both models are uniform and every URL is allowed at threshold 0."""
-    urls = {}
-    for verdict in ("allow", "block"):
-        rows = labelled.where((F.col(verdict_col) == verdict) & F.col(url_col).isNotNull()).select(url_col).distinct().orderBy(F.xxhash64(url_col), url_col).limit(max_urls)
-        urls[verdict] = [r[0] for r in rows.toLocalIterator()]
-    models = {v: MarkovModel(order).fit([x for i, x in enumerate(us) if i % 4]) for v, us in urls.items()}
-    model, known = UrlModel(models["allow"], models["block"]), {}
-    model.threshold = calibrate([(model.score(x, known), v == "allow") for v, us in urls.items() for x in us[::4]])
-    return model
+def windows(text: Column, order: int) -> Column:
+    """(i, context, c) of each character of ^text$ but the first; the context is the up to `order` characters before it."""
+    whole = F.concat(F.lit("^"), text, F.lit("$"))
+    cut = lambda i: F.struct(i.alias("i"), F.substring(whole, F.greatest(i - order, F.lit(0)) + 1, F.least(i, F.lit(order))).alias("context"), F.substring(whole, i + 1, F.lit(1)).alias("c"))
+    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), cut)
+
+
+def _shorter(df: DataFrame, *keep: str) -> DataFrame:
+    """A row for each end of the context, the empty and the whole one included: keep, n (its length), suffix."""
+    size = F.length("context")
+    return df.select(*keep, F.posexplode(F.transform(F.sequence(F.lit(0), size), lambda n: F.substring(F.col("context"), size - n + 1, n))).alias("n", "suffix"))
+
+
+def context_counts(labelled: DataFrame, order: int = 6, url_col: str = "url", verdict_col: str = "rule_verdict") -> DataFrame:
+    """(suffix, c, a, b): how often c follows suffix in accepted and in rejected URLs, over all rows."""
+    verdict = F.col(verdict_col)
+    at = labelled.select((verdict == "allow").cast("bigint").alias("a"), (verdict == "block").cast("bigint").alias("b"), F.explode(windows(F.col(url_col), order)).alias("w")).select("a", "b", "w.context", "w.c")
+    whole = at.groupBy("context", "c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return _shorter(whole, "c", "a", "b").groupBy("suffix", "c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def judge(urls: DataFrame, model: UrlModel, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per row: id, host, path, rule, verdict, score (null where a rule decided). Null urls count as empty."""
-    shared = urls.sparkSession.sparkContext.broadcast(model)
-    ruled = apply_rules(urls.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), rules, "url")
-    kind = urls.schema[id_col].dataType.simpleString()
+def log_ratios(wanted: DataFrame, counts: DataFrame, scratch: Scratch, alphabet: int = 256) -> DataFrame:
+    """(context, c, d) for distinct (context, c): the difference of the models' log-probabilities, each mixed from the
+    empty context up to the longest that was seen."""
+    counts = scratch.cut(counts)
+    totals = counts.groupBy("suffix").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.count_if(F.col("a") > 0).alias("ka"), F.count_if(F.col("b") > 0).alias("kb"))
+    ends = scratch.cut(_shorter(wanted, "context", "c")).join(dealt_anew(totals, "suffix"), "suffix")
+    ends = scratch.cut(ends).join(dealt_anew(counts, "suffix", "c"), ["suffix", "c"], "left")
+    steps = ends.groupBy("context", "c").agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"), "ta", "tb", "ka", "kb"))).alias("steps"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
-        for batch in batches:
-            url, verdict = batch.column(1).to_pylist(), batch.column(5).to_pylist()
-            score = [None if v else m.score(u or "", known) for u, v in zip(url, verdict, strict=True)]
-            final = [v or ("allow" if s >= m.threshold else "block") for v, s in zip(verdict, score, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(final, pa.string()), pa.array(score, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
+    def model(x: str) -> Column:
+        mixed = lambda p, s: F.when(s[f"t{x}"] > 0, (s[x] + s[f"k{x}"] * p) / (s[f"t{x}"] + s[f"k{x}"])).otherwise(p)
+        return F.aggregate("steps", F.lit(1.0 / alphabet), mixed)
 
-    return ruled.select("page_id", "url", "host", "path", "rule", "rule_verdict").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    return steps.select("context", "c", (F.log(model("a")) - F.log(model("b"))).alias("d"))
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_urls: int = 6000) -> DataFrame:
-    """Trains on what the rules decide and judges every row."""
-    return judge(pages, train(apply_rules(pages.select("url"), rules), max_urls), rules=rules)
+def url_scores(urls: DataFrame, counts: DataFrame, scratch: Scratch, order: int = 6, url_col: str = "url") -> DataFrame:
+    """Rows of distinct URLs with score: the sum of the log ratios for each character, the end mark included. Sums go
+    in the order of characters, so that they come out the same each time."""
+    urls = scratch.cut(urls.withColumn("__id", F.monotonically_increasing_id()))
+    at = scratch.cut(urls.select("__id", F.explode(windows(F.col(url_col), order)).alias("w")).select("__id", "w.*"))
+    ratios = scratch.cut(log_ratios(at.select("context", "c").distinct(), counts, scratch))
+    met = at.join(dealt_anew(ratios, "context", "c"), ["context", "c"], "left").select("__id", F.struct("i", F.coalesce("d", F.lit(0.0)).alias("d")).alias("x"))
+    sums = met.groupBy("__id").agg(F.array_sort(F.collect_list("x")).alias("x")).select("__id", (F.aggregate("x", F.lit(0.0), lambda total, x: total + x["d"]) / F.size("x")).alias("score"))
+    return urls.join(sums, "__id").drop("__id")
+
+
+def calibrated(scores: DataFrame, scratch: Scratch) -> float:
+    """What calibrate() gives for rows of (score, accepted), however many: running counts within ranges of scores, to
+    which the counts of the ranges before are added."""
+    each = scores.groupBy("score").agg(F.count_if("accepted").alias("good"), F.count_if(~F.col("accepted")).alias("bad"))
+    ranges = scratch.cut(each.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    parts = sorted(ranges.groupBy("part").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect(), key=lambda p: p.low)
+    good, bad = sum(p.good for p in parts), sum(p.bad for p in parts)
+    if not good or not bad:
+        return 0.0
+    before, rows = (None, 0, 0), []
+    for p in parts:
+        rows.append((p.part, *before))
+        before = (p.high, before[1] + p.good, before[2] + p.bad)
+    earlier = F.broadcast(scores.sparkSession.createDataFrame(rows, "part int, top double, lost bigint, kept_out bigint"))
+    own = Window.partitionBy("part").orderBy("score")
+    upto = own.rowsBetween(Window.unboundedPreceding, -1)
+    cuts = ranges.join(earlier, "part").select(
+        "score", F.coalesce(F.lag("score").over(own), "top").alias("last"),
+        (F.col("lost") + F.coalesce(F.sum("good").over(upto), F.lit(0))).alias("lost"), (F.col("kept_out") + F.coalesce(F.sum("bad").over(upto), F.lit(0))).alias("kept_out"),
+    )
+    # Whole numbers in place of the recalls' mean, so that equal cuts are equal; of these the least score counts.
+    worth = (F.lit(good) - F.col("lost")).cast("decimal(19,0)") * F.lit(bad).cast("decimal(19,0)") + F.col("kept_out").cast("decimal(19,0)") * F.lit(good).cast("decimal(19,0)")
+    best = cuts.select(F.max_by(F.struct("score", "last", worth.alias("worth")), F.struct(worth, -F.col("score"))).alias("x")).first().x
+    if best.worth < good * bad:  # to keep all out
+        return before[0] + 1e-9
+    return best.score - 1e-9 if best.last is None else (best.last + best.score) / 2
+
+
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = 6, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row per row: id, host, path, rule, verdict, score (null where a rule decided). Null urls count as empty. The
+    models count all distinct URLs that the rules decide but for a quarter, by hash, on which the threshold is
+    calibrated. Without any URLs both models are uniform and every URL is allowed at threshold 0."""
+    scratch = Scratch(pages.sparkSession, "url_filter")
+    given = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    distinct = given.groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.max(F.col("url").isNotNull()).alias("known"))
+    decided = F.col("known") & F.col("rule_verdict").isNotNull()
+    held = F.pmod(F.xxhash64("url"), F.lit(4)) == 0
+    urls = scratch.cut(apply_rules(distinct, rules).select("url", "rule_verdict", decided.alias("decided"), (decided & held).alias("held")))
+    counts = context_counts(urls.where("decided and not held"), order)
+    scored = scratch.cut(url_scores(urls.where("held or rule_verdict is null").select("url", "rule_verdict", "held"), counts, scratch, order))
+    threshold = calibrated(scored.where("held").select("score", (F.col("rule_verdict") == "allow").alias("accepted")), scratch)
+    ruled = apply_rules(given, rules)
+    open_ = ruled.where("rule_verdict is null").withColumn("url", F.coalesce("url", F.lit("")))
+    judged = open_.join(dealt_anew(scored.where("rule_verdict is null").select("url", "score"), "url"), "url", "left")
+    out = judged.select("page_id", "host", "path", "rule", F.when(F.col("score") >= threshold, "allow").otherwise("block").alias("verdict"), "score")
+    return ruled.where("rule_verdict is not null").select("page_id", "host", "path", "rule", F.col("rule_verdict").alias("verdict"), F.lit(None).cast("double").alias("score")).unionByName(out)

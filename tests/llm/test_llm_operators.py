@@ -401,5 +401,32 @@ def test_markov_models():
     assert all(model.score(u, known) >= model.threshold for u in good[300:]) and all(model.score(u, known) < model.threshold for u in bad[300:])
 
 
+def test_url_models_learn_from_all_urls(spark):
+    rng = random.Random(13)
+    urls = [f"http://{rng.choice('abc')}.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['fr', 'de', 'é'])}/{rng.randrange(10**7)}" for _ in range(30_000)]
+    rows = list(enumerate(urls + [None, "", urls[0]]))
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert len(got) == len(rows)
+    labelled = {u: rule.verdict for u in set(urls) if (rule := judged(u)[2])}
+    assert min(list(labelled.values()).count(v) for v in ("allow", "block")) > 6000 / 2 and len(labelled) > 12_000
+    held = {r.url for r in spark.createDataFrame([(u,) for u in labelled], "url string").where("pmod(xxhash64(url), 4) = 0").collect()}
+    model, known = url_filter.UrlModel(*(url_filter.MarkovModel().fit([u for u, v in labelled.items() if v == verdict and u not in held]) for verdict in ("allow", "block"))), {}
+    model.threshold = url_filter.calibrate([(model.score(u, known), labelled[u] == "allow") for u in held])
+    for i, url in rows:
+        if not judged(url)[2]:
+            score = model.score(url or "", known)
+            assert got[i].score == pytest.approx(score, abs=1e-9)
+            assert abs(score - model.threshold) < 1e-9 or got[i].verdict == ("allow" if score >= model.threshold else "block")
+
+
+def test_calibration_against_brute_force(spark):
+    rng = random.Random(14)
+    for n in (0, 1, 2, 9, 400):
+        rows = [(rng.randrange(-9, 60) / 10, rng.random() < 0.5) for _ in range(n)]
+        rows += [(s + 2, True) for s, _ in rows[: n // 2]]
+        got = url_filter.calibrated(spark.createDataFrame(rows, "score double, accepted boolean"), Scratch(spark, "t"))
+        assert got == pytest.approx(url_filter.calibrate(rows), abs=1e-9)
+
+
 def test_words():
     assert words_of(None) == [] and words_of("A-b_1 É") == ["a", "b_1", "é"]
