@@ -634,8 +634,7 @@ def continuation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diff_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit operations of benchmark texts against their hypothesis; the alignment is not unique, so no SQL."""
-    r = F.left("text", F.lit(80))
-    return table(spark, sf_dir, "benchmark").select("item_id", metrics.diff_operations(r, F.translate(r, "aeiou", "eioua")).alias("operations"))
+    return table(spark, sf_dir, "benchmark").select("item_id", metrics.diff_operations("text", F.translate("text", "aeiou", "eioua")).alias("operations"))
 
 
 @query()

@@ -30,6 +30,14 @@ def test_query_equals_sql(spark, name):
     assert ours == theirs
 
 
+def test_diff_operations_take_whole_texts(spark):
+    texts = {r.item_id: r.text for r in queries.table(spark, SF, "benchmark").collect()}
+    assert max(map(len, texts.values())) > 80
+    got = {r.item_id: r.operations for r in queries.diff_operations(spark, SF).collect()}
+    assert {i: "".join(o.reference for o in ops) for i, ops in got.items()} == texts
+    assert all("".join(o.hypothesis for o in got[i]) == t.translate(str.maketrans("aeiou", "eioua")) for i, t in texts.items())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
