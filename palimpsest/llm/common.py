@@ -34,9 +34,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a temporary one serves in local mode; on a
+    cluster that raises an error, as executors would write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="palimpsest-")
         shared_dir.local = where
     return where.rstrip("/")
@@ -48,6 +51,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.held: list[DataFrame] = []
+        self.written: list[tuple[DataFrame, str]] = []
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
@@ -56,8 +60,18 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.partitionBy(*partition_by).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.written.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes tables that cut() returned and that nothing reads any more. What is left goes when the driver ends."""
+        gone = {id(t) for t in tables}
+        for table, path in self.written:
+            if id(table) in gone:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.written = [(t, p) for t, p in self.written if id(t) not in gone]
 
     def hold(self, df: DataFrame) -> DataFrame:
         """Keeps a table in the executors' memory and on their disks for a few uses; what is lost is computed again from

@@ -14,8 +14,9 @@ are candidates, and a candidate link counts if the exact weighted Jaccard simila
 similarity 0.8 shares some band with probability 1 - (1 - 0.8**6)**32 = 0.99994. Classes are connected components, so
 pairs within a component need no comparison. In each bucket all members first meet its most central one, which shares
 most buckets with others; then, as long as that shrinks them by a tenth, the members outside that one's component meet
-the most central of their own; in the end those left meet all of the bucket outside their component. Pairs whose sizes
-or two-bit sketches rule the threshold out are dropped within these joins, so a bucket's pairs are not all formed.
+the most central of their own. In these rounds pairs whose sizes or two-bit sketches rule the threshold out are dropped
+within the joins. Nodes whose buckets still hold several components are compared by prefixes of their shingles in the end,
+rare ones first, which misses no link between them and forms few pairs even where thousands share long passages.
 """
 
 from __future__ import annotations
@@ -26,14 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Scratch, dealt_anew, hash_words, mix64, ragged, shingle_hashes, slices, unit
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
-#: Coordinates of the sketches that the last comparison within buckets uses.
-WIDE = 1024
 
 _U = np.uint64
 
@@ -174,16 +173,19 @@ def _similar(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFra
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the smallest node of each connected component, for every node that has an edge. Each round, nodes
-    take the smallest root among their neighbours' and then their root's root, until nothing changes."""
+    take the smallest root among their neighbours' and then their root's root, until nothing changes. What a node or root
+    of many neighbours meets is dealt anew, so that these can be split."""
     edges = scratch.hold(edges)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root"))
+    roots = dealt_anew(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "node")
+    last = None
     while True:
         near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        new = scratch.cut(step.join(jump, "root").select("node", "old", F.col("top").alias("root")))
-        roots = new.select("node", "root")
+        jump = dealt_anew(step.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("top")), "root")
+        new = scratch.cut(step.join(jump, "root", "left").select("node", "old", F.coalesce("top", "root").alias("root")))
+        scratch.drop(last)
+        roots, last = new.select("node", "root"), new
         if new.where("root <> old").isEmpty():
             return roots
 
@@ -194,22 +196,6 @@ def _pack(signature: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two, axis=2).view(np.int64)
 
 
-def _wide_sketches(shingles: DataFrame, coordinates: int) -> DataFrame:
-    """(node, wide): sketches of more coordinates than the signature has, from (node, shingles, counts)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 32):
-                batch = whole.slice(at, 32)
-                sets, counts = batch.column(1), batch.column(2)
-                offsets = sets.offsets.to_numpy().astype(np.int64)
-                signature = dart_signatures(sets.flatten().to_numpy().view(np.uint64), counts.flatten().to_numpy().astype(np.float64), offsets - offsets[0], coordinates)
-                wide = _pack(signature)
-                yield pa.RecordBatch.from_arrays([batch.column(0), ragged(wide.ravel(), np.full(len(wide), wide.shape[1]), pa.int64())], ["node", "wide"])
-
-    return shingles.mapInArrow(run, "node bigint, wide array<bigint>")
-
-
 def _may_agree(name: str, threshold: float, coordinates: int) -> Column:
     """Whether the sketches of x and y leave the threshold possible. Two bits of each coordinate agree with probability
     J + (1 - J) / 4; pairs four standard deviations below what the threshold makes expect are left out."""
@@ -223,6 +209,37 @@ def _may_agree(name: str, threshold: float, coordinates: int) -> Column:
     return differ <= coordinates - least
 
 
+def prefix_pairs(nodes: DataFrame, shingles: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, ra, rb): every pair of nodes (node, root, n) of different roots that can reach the threshold.
+
+    All nodes order their shingles alike, rare ones first. With n counting repeats, a similarity of t asks for t n common
+    ones, so a similar pair has a common shingle among the first n - t n + 1 of both. Shingles that only one root has
+    come before all others and meet nothing; what text many nodes share comes last and is not looked at. At the first
+    common shingle what is left of either node bounds what both have in common. A shingle's nodes of its most
+    frequent root do not meet each other."""
+    base = scratch.cut(nodes.join(shingles, "node"))
+    tokens = base.select("node", "root", "n", F.explode(F.arrays_zip("shingles", "counts")).alias("s")).select("node", "root", "n", F.col("s.shingles").alias("token"), F.col("s.counts").alias("weight"))
+    by_root = tokens.groupBy("token", "root").agg(F.count("*").alias("nodes"))
+    stats = by_root.groupBy("token").agg(F.sum("nodes").alias("df"), F.max_by("root", F.struct("nodes", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    met = tokens.join(dealt_anew(stats, "token"), "token")
+    own = Window.partitionBy("node")
+    before = F.col("n") - F.sum("weight").over(own) + F.coalesce(F.sum("weight").over(own.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least = lambda n: F.ceil(n * threshold - 1e-9)
+    prefix = scratch.cut(met.withColumn("before", before).where(F.col("before") <= F.col("n") - least(F.col("n"))).select("token", "node", "root", "n", "before", (F.col("root") != F.col("top")).alias("minor")))
+    x, y = prefix.alias("x"), prefix.where("minor").alias("y")
+    meets = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & (~F.col("x.minor") | (F.col("x.node") < F.col("y.node"))) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9)
+    meets = meets & (F.least(F.col("x.n") - F.col("x.before"), F.col("y.n") - F.col("y.before")) >= (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9)
+    pairs = scratch.cut(_ends(x.join(y, meets)))
+    scratch.drop(base, prefix)
+    return pairs
+
+
+def _ends(met: DataFrame) -> DataFrame:
+    """Distinct (a, b, ra, rb) of rows of x and y, a being the smaller node."""
+    ends = F.array_sort(F.array(F.struct("x.node", "x.root"), F.struct("y.node", "y.root")))
+    return met.select(ends.alias("e")).select(*[F.col("e")[i][c].alias(n) for i, c, n in ((0, "node", "a"), (1, "node", "b"), (0, "root", "ra"), (1, "root", "rb"))]).distinct()
+
+
 def linked_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, coordinates: int = BANDS * ROWS) -> DataFrame:
     """(node, root) for nodes (node, n, keys, sketch) that share a bucket: the smallest node that verified links lead to.
     texts has (node, text) for every node. Components are found on the graph of components so far, of which each round
@@ -234,51 +251,42 @@ def linked_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold
     members = scratch.cut(shared.select("key", "node").join(nodes.select("node", "n", "sketch").join(central, "node"), "node"))
     scratch.release()
     shingles = scratch.cut(_shingle_table(texts.join(central.select("node"), "node").select("node", "text")))
-    spread = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")) & _may_agree("sketch", threshold, coordinates)
+    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9) & _may_agree("sketch", threshold, coordinates)
     roots = central.select("node", F.col("node").alias("root"))
-    state = members.withColumn("root", F.col("node"))
-    tried = None
+    state, known, tried = members.withColumn("root", F.col("node")), members, []
     before = math.inf
     while True:
         heads = state.groupBy("key").agg(F.max_by("root", F.struct("central", "node")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "head")
         heads = scratch.hold(dealt_anew(heads, "key"))
         # Minor are members outside the component of their bucket's most central member; at first none is known.
-        minor = F.col("root") != F.col("head") if tried is not None else F.lit(True)
+        minor = F.col("root") != F.col("head") if tried else F.lit(True)
         state = scratch.cut(state.join(heads, "key").withColumn("minor", minor).drop("head"))
+        scratch.release()
+        scratch.drop(known)
+        known = state
         count = state.where("minor").count()
         if not count:
-            scratch.release()
             break
         last = count > 0.9 * before
-        leaders = state.where("minor")
         if last:
-            # Nearly all of these pairs are below the threshold. Rows without a likely partner leave first, wider sketches
-            # of the rest tell before any pair is formed, and a pair is formed in the first of its shared buckets only.
-            # Likely partners are so both ways, so a minor member's are other minor ones or in what stays of the others.
-            others = scratch.cut(state.where("not minor").alias("x").join(leaders.alias("y"), meets, "left_semi"))
-            state = scratch.cut(leaders.alias("x").join(leaders.unionByName(others).alias("y"), meets, "left_semi").unionByName(others))
-            wide = _wide_sketches(spread(shingles.join(state.select("node").distinct(), "node")), WIDE).join(nodes.select("node", "keys"), "node")
-            state = scratch.cut(state.join(wide, "node"))
-            leaders = state.where("minor")
-            meets = meets & _may_agree("wide", threshold, WIDE) & (~F.col("x.minor") | (F.col("x.node") < F.col("y.node")))
-            meets = meets & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
+            pairs = prefix_pairs(state.select("node", "root", "n").distinct(), shingles, scratch, threshold)
         else:
-            picked = leaders.groupBy("key").agg(F.max_by(F.struct("node", "n", "sketch", "root"), F.struct("central", "node")).alias("p")).select("key", "p.*")
+            picked = state.where("minor").groupBy("key").agg(F.max_by(F.struct("node", "n", "sketch", "root"), F.struct("central", "node")).alias("p")).select("key", "p.*")
             leaders = scratch.hold(dealt_anew(picked, "key"))
-        met = state.alias("x").join(leaders.alias("y"), meets)
-        ends = F.array_sort(F.array(F.struct("x.node", "x.root"), F.struct("y.node", "y.root")))
-        pairs = met.select(ends.alias("e")).select(*[F.col("e")[i][c].alias(n) for i, c, n in ((0, "node", "a"), (1, "node", "b"), (0, "root", "ra"), (1, "root", "rb"))]).distinct()
-        pairs = scratch.cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
+            pairs = _ends(state.alias("x").join(leaders.alias("y"), meets))
+            for earlier in tried:
+                pairs = pairs.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = scratch.cut(pairs)
+            tried.append(pairs)
         new = _similar(pairs, shingles, threshold).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
         merged = components(new, scratch).select(F.col("node").alias("root"), F.col("root").alias("top"))
         roots = scratch.cut(roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
         scratch.release()
         if last:
             break
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         state = state.drop("root", "minor").join(roots, "node")
         before = count
+    scratch.drop(known, shingles, *tried)
     return roots
 
 
@@ -301,8 +309,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their class id, all columns as they are; rows that
-    repeat a kept id stay, as do rows with a null id."""
-    classes = near_duplicates(docs, id_col, text_col)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of each class, all columns as they are: that of the smallest id, of rows that repeat it the first; rows
+    with a null id come last. Rows with a null or empty text all stay, as do texts without words that equal no other."""
+    ids = docs.select(F.col(id_col).cast("bigint").alias("id")).groupBy("id").agg(F.count("*").alias("rows"))
+    if ids.where("id is null or rows > 1").isEmpty():
+        gone = near_duplicates(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
+        return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    rows = Scratch(docs.sparkSession, "keep_one").cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    classes = near_duplicates(rows, "__row", text_col).select(F.col("doc_id").alias("__row"), "class_id")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
+    kept = rows.select("__row", id_col).join(classes, "__row").groupBy("class_id").agg(F.min_by("__row", order).alias("__row"))
+    return rows.join(kept.select("__row"), "__row", "left_semi").drop("__row")

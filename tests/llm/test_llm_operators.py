@@ -288,10 +288,47 @@ def test_links_to_ordinary_members_of_the_head_component(spark):
     assert len(set(got.values())) == 162
 
 
+def test_a_large_bucket_of_boilerplate(spark):
+    rng = random.Random(15)
+    text, rare = prose(rng, 120), prose(rng, 30)
+    texts = [f"{text} {prose(rng, 60)}" for _ in range(300)] + [f"{text} {prose(rng, 25)}" for _ in range(60)] + [f"{text} {rare}" + f" {prose(rng, 1)}" * (i % 4) for i in range(40)]
+    texts += [f"{t} {prose(rng, 6)}" for t in texts[5:300:50]] + ["four words are few", "word " * 40, "word " * 45]
+    prints = minhash.fingerprints(docs_of(spark, texts), "doc_id", "text", minhash.BANDS, minhash.ROWS)
+    nodes = prints.select(F.col("doc_id").alias("node"), "n", F.array(F.lit(1).cast("bigint")).alias("keys"), "sketch")
+    roots = minhash.linked_roots(nodes, docs_of(spark, texts).select(F.col("doc_id").alias("node"), "text"), Scratch(spark, "t"))
+    got = {r.node: r.root for r in roots.collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+    assert 300 < len(set(got.values())) < 390
+
+
+def test_prefix_pairs_miss_no_link(spark):
+    rng = random.Random(16)
+    texts = []
+    for _ in range(12):
+        base = prose(rng, rng.choice([4, 9, 40, 90])).split() * rng.choice([1, 1, 2])
+        texts += [" ".join(w if rng.random() > 0.02 else prose(rng, 1) for w in base[: len(base) - rng.randint(0, 2)]) for _ in range(8)]
+    sets = [minhash.weighted_shingles(w) for w in (hash_words([t])[0] for t in texts)]
+    for root in (lambda i: i, lambda i: i % 3):
+        rows = [(i, root(i), int(c.sum())) for i, (_, c) in enumerate(sets)]
+        shingles = spark.createDataFrame([(i, [int(x) for x in h.view(np.int64)], [int(x) for x in c]) for i, (h, c) in enumerate(sets)], "node bigint, shingles array<bigint>, counts array<int>")
+        found = minhash.prefix_pairs(spark.createDataFrame(rows, "node bigint, root bigint, n int"), shingles, Scratch(spark, "t"))
+        got = {(r.a, r.b) for r in found.collect() if minhash.weighted_jaccard(sets[r.a], sets[r.b]) >= 0.8}
+        want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if root(i) != root(j) and minhash.weighted_jaccard(sets[i], sets[j]) >= 0.8}
+        assert got == want and want
+
+
+def test_one_of_each_class_stays_of_repeated_rows(spark):
+    rows = [(3, "a b c d e f"), (3, "a b c d e f"), (2, "A b c d e f!"), (None, "a b c d e f"), (None, "x y z"), (None, "x y z"), (4, None), (4, None), (5, "g h"), (5, "i j"), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("class_id", F.lit("clash"))
+    kept = minhash.keep_one(docs)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(2, "A b c d e f!"), (None, "x y z"), (4, None), (4, None), (5, "g h"), (5, "i j"), (6, "")]))
+    assert kept.columns == docs.columns
+
+
 def test_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102)], "a bigint, b bigint")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102)] + [(1000, i) for i in range(1001, 1400)], "a bigint, b bigint")
     got = {r.node: r.root for r in minhash.components(edges, Scratch(spark, "t")).collect()}
-    assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in (100, 101, 102)}
+    assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in (100, 101, 102)} | {i: 1000 for i in range(1000, 1400)}
 
 
 # --- 8 SentencePiece
