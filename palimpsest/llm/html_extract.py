@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -24,13 +25,17 @@ from palimpsest.llm.common import slices
 
 #: Fixed sets of the markup language.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-HIDDEN_TAGS = frozenset("script style template svg iframe noscript noframes textarea title math object canvas audio video".split())
+HIDDEN_TAGS = frozenset("script style template svg iframe noframes textarea title".split())
 VOID_TAGS = frozenset("hr".split())
 CLOSES_P = BLOCK_TAGS - frozenset("button caption label legend option optgroup select td th tr tbody thead tfoot body html".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",), "body": ("head",)}
 SCOPES = frozenset("table ul ol dl select html body".split())
+KEEP_P = ("button", "td", "th", "table")
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^>"']++|"[^"]*"|'[^']*')*+)>|([^>]*)>)""", re.S)
+_OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*"|'[^']*')*+>""")
+_HIDDEN_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in HIDDEN_TAGS}
+_LONG_NUMBER = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -59,7 +64,7 @@ _NAMES = (
 FEATURE = {name: i for i, name in enumerate(_NAMES)}
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     """text is decoded and single-spaced; linked counts its characters inside links; about has the ancestors' features."""
 
@@ -91,15 +96,101 @@ def _below(above: frozenset[int], tag: str, attributes: str) -> frozenset[int]:
     return above.union(own, inside)
 
 
+def tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """The places of quotes and >, and for each the place of the > that ends a tag which is open there outside quotes,
+    -1 if none does. One pass from the end."""
+    at = [m.start() for m in re.finditer("[\"'>]", page)]
+    ends, later = [-1] * (len(at) + 1), {'"': -1, "'": -1}
+    for k in range(len(at) - 1, -1, -1):
+        c = page[at[k]]
+        if c == ">":
+            ends[k] = at[k]
+        else:
+            if later[c] >= 0:
+                ends[k] = ends[later[c] + 1]
+            later[c] = k
+    return at, ends
+
+
+class _Tags:
+    """The tags of a page in order, in time linear in its length: a tag ends at the first > outside quotes, or, where
+    none follows, at the first >."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.table: tuple[list[int], list[int]] | None = None
+
+    def end_of(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at `at`."""
+        if self.table is None:
+            if m := _ATTRIBUTES.match(self.page, at):
+                return m.end() - 1
+            self.table = tag_ends(self.page)
+        places, ends = self.table
+        k = bisect_left(places, at)
+        return ends[k] if ends[k] >= 0 else self.page.index(">", at)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str | None, bool, str]]:
+        """(start, end, name or None, closing, attributes); send a place to go on from there."""
+        page, at = self.page, 0
+        while m := _OPENING.search(page, at, self.last):
+            name = m[2]
+            if name is not None:
+                end = self.end_of(m.end())
+                go_on = yield m.start(), end + 1, name.lower(), bool(m[1]), page[m.end() : end]
+            else:
+                comment = page[m.start() : m.start() + 4] == "<!--"
+                end = page.find("-->", m.end()) + 3 if comment else page.index(">", m.end() - 1) + 1
+                end = len(page) if comment and end == 2 else end
+                go_on = yield m.start(), end, None, False, ""
+            at = end if name is None else end + 1
+            if go_on is not None:
+                at = go_on
+                yield 0, 0, None, False, ""
+
+
+class _Open:
+    """The stack of open elements (tag, features), and where each tag stands in it, so that no step walks the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, frozenset[int]]] = [("", frozenset())]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The highest place of any of the tags, 0 for none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def first_above(self, tags: Iterable[str], floor: int) -> int:
+        """The lowest place above the floor of any of the tags, 0 for none."""
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, floor)) < len(p)]
+        return min(found, default=0)
+
+    def push(self, tag: str, attributes: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, _below(self.stack[-1][1], tag, attributes)))
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and those in it; nothing for place 0."""
+        while place and len(self.stack) > place:
+            self.places[self.stack.pop()[0]].pop()
+
+
+def _decoded(piece: str) -> str:
+    if "&" not in piece:
+        return piece
+    return htmllib.unescape(_LONG_NUMBER.sub("\ufffd", piece) if "&#" in piece else piece)
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks in page order. Text of hidden elements and of the head is left out; unclosed and stray tags are
-    treated as browsers do for the common cases."""
+    treated as browsers do for the common cases. Linear in the page's length, whatever its tags, quotes and nesting."""
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[int]]] = [("", frozenset())]
+    open_ = _Open()
+    stack = open_.stack
     pieces: list[str] = []
-    linked, link_at, at, end = 0, 0, 0, len(page)  # link_at: depth of the stack where the open link began, 0 for none
+    linked, link_at, at = 0, 0, 0  # link_at: depth of the stack where the open link began, 0 for none
     hidden_head = False
 
     def flush() -> None:
@@ -113,32 +204,28 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def add(piece: str) -> None:
         nonlocal linked
-        if "&" in piece:
-            piece = htmllib.unescape(piece)
+        piece = _decoded(piece)
         pieces.append(piece)
         if link_at:
             linked += len(piece.strip())
 
-    while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    tags = _Tags(page)
+    found = iter(tags)
+    for start, end, tag, closing, attributes in found:
+        if start > at:
+            add(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(m[1])
         if tag == "br":
             pieces.append(" ")
         elif tag == "a":
             link_at = 0 if closing else len(stack)
         elif tag in HIDDEN_TAGS:
-            if not closing and not (m[3] or m[4] or "").endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+            if not closing and not attributes.endswith("/"):
+                close = _HIDDEN_END[tag].search(page, at, tags.last + 1)
+                at = close.end() if close else len(page)
+                found.send(at)
         elif tag == "head":
             flush()
             hidden_head = not closing
@@ -147,35 +234,27 @@ def blocks_of(page: str | None) -> list[Block]:
             if tag == "body":
                 hidden_head = False
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                open_.cut(open_.last((tag,)))
             else:
-                if tag in CLOSES_P and any(t == "p" for t, _ in stack):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == "p":
-                            del stack[k:]
-                            break
-                        if stack[k][0] in ("button", "td", "th", "table"):
-                            break
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in CLOSES.get(tag, ()):
-                        del stack[k:]
-                    elif stack[k][0] in SCOPES:
-                        break
+                if tag in CLOSES_P and (p := open_.last(("p",))) > open_.last(KEEP_P):
+                    open_.cut(p)
+                if tag in CLOSES:
+                    open_.cut(open_.first_above(CLOSES[tag], open_.last(t for t in SCOPES if t not in CLOSES[tag])))
                 if tag not in VOID_TAGS:
-                    stack.append((tag, _below(stack[-1][1], tag, m[3] or m[4] or "")))
+                    open_.push(tag, attributes)
             if link_at > len(stack):
                 link_at = 0
+    if at < len(page):  # no tag ends any more, but a comment may begin
+        comment = page.find("<!--", at)
+        add(page[at:] if comment < 0 else page[at:comment])
     flush()
     return out
 
 
-def features(blocks: list[Block]) -> list[list[int]]:
-    """Active features of each block."""
+def features(blocks: list[Block], start: int = 0, stop: int | None = None) -> list[list[int]]:
+    """Active features of each block of a page, or of a stretch of them."""
     out, n = [], len(blocks)
-    for i, b in enumerate(blocks):
+    for i, b in enumerate(blocks[start:stop], start):
         text = b.text
         own = list(b.about)
         f = FEATURE
@@ -281,15 +360,39 @@ def fit(pages: list[list[list[int]]], labels: list[list[int]], rounds: int = 250
     return chain
 
 
-def viterbi(chain: Chain, pages: list[list[list[int]]]) -> list[np.ndarray]:
-    """The best labels of each page's blocks."""
+def emissions(chain: Chain, blocks: list[Block], chunk: int = 4096) -> np.ndarray:
+    """(blocks x 2): the weights of each block's features, summed for a bounded number of blocks at once."""
+    parts = [_summed(chain, features(blocks, i, i + chunk)) for i in range(0, len(blocks), chunk)]
+    return np.concatenate([*parts, np.zeros((0, 2))])
+
+
+def _summed(chain: Chain, active: list[list[int]]) -> np.ndarray:
+    owner = np.repeat(np.arange(len(active)), [len(f) for f in active])
+    flat = np.array([f for own in active for f in own], np.int64)
+    return np.stack([np.bincount(owner, chain.state[flat, y], len(active)) for y in (0, 1)], axis=-1)
+
+
+def best_labels(chain: Chain, pages: list[np.ndarray], cells: int = 65_536) -> list[np.ndarray]:
+    """The best labels of each page's blocks from their emissions. Pages of like length are decoded together, padded to
+    at most `cells` blocks unless one page alone has more."""
     found = [np.zeros(0, np.int64)] * len(pages)
-    some = [i for i, p in enumerate(pages) if p]
-    if not some:
-        return found
-    page, position, feature, lengths = _padded([pages[i] for i in some])
-    e = _emissions(chain, page, position, feature, lengths)
-    n, steps = len(some), e.shape[1]
+    order = sorted((i for i, e in enumerate(pages) if len(e)), key=lambda i: len(pages[i]))
+    while order:
+        take = 1
+        while take < len(order) and (take + 1) * len(pages[order[-take - 1]]) <= cells and len(pages[order[-1]]) * (take + 1) <= cells:
+            take += 1
+        group, order = order[-take:], order[:-take]
+        lengths = np.array([len(pages[i]) for i in group])
+        e = np.zeros((take, int(lengths.max()), 2))
+        for k, i in enumerate(group):
+            e[k, : lengths[k]] = pages[i]
+        for i, y in zip(group, _decode(chain, e, lengths), strict=True):
+            found[i] = y
+    return found
+
+
+def _decode(chain: Chain, e: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    n, steps = e.shape[:2]
     back = np.zeros((n, steps, 2), np.int8)
     best = e[:, 0] + chain.start
     final = np.zeros((n, 2))
@@ -299,17 +402,19 @@ def viterbi(chain: Chain, pages: list[list[list[int]]]) -> list[np.ndarray]:
         back[:, s] = x.argmax(axis=1)
         best = x.max(axis=1) + e[:, s]
         final[lengths == s + 1] = best[lengths == s + 1]
-    y = np.zeros((n, steps), np.int64)
+    y = np.zeros((n, steps), np.int8)
     now = final.argmax(axis=1)
     for s in range(steps - 1, -1, -1):
-        last = lengths == s + 1
         if s + 1 < steps:
             now = np.where(lengths > s + 1, back[np.arange(n), s + 1, now], now)
-        now = np.where(last, final.argmax(axis=1), now)
+        now = np.where(lengths == s + 1, final.argmax(axis=1), now)
         y[:, s] = now
-    for k, i in enumerate(some):
-        found[i] = y[k, : lengths[k]]
-    return found
+    return [y[k, : lengths[k]].astype(np.int64) for k in range(n)]
+
+
+def viterbi(chain: Chain, pages: list[list[list[int]]]) -> list[np.ndarray]:
+    """The best labels of each page's blocks, from their active features."""
+    return best_labels(chain, [_summed(chain, p) if p else np.zeros((0, 2)) for p in pages])
 
 
 def train(labelled: Iterable[tuple[str, set[str]]]) -> Chain:
@@ -332,7 +437,8 @@ def default_chain() -> Chain:
 
 def extract(pages: DataFrame, chain: Chain | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text (blocks of the main text in page order, joined by line feeds; empty if there
-    are none or html is null), n_chars, n_blocks. Repeated rows are extracted each."""
+    are none or html is null), n_chars, n_blocks. Repeated rows are extracted each; null ids and urls stay null; other
+    columns are not read."""
     shared = pages.sparkSession.sparkContext.broadcast(chain or default_chain())
     kind = pages.schema[id_col].dataType.simpleString()
 
@@ -341,7 +447,7 @@ def extract(pages: DataFrame, chain: Chain | None = None, id_col: str = "page_id
         for whole in batches:
             for batch in slices(whole, "html", rows=256):
                 found = [blocks_of(x) for x in batch.column(2).to_pylist()]
-                labels = viterbi(c, [features(b) for b in found])
+                labels = best_labels(c, [emissions(c, b) for b in found])
                 main = [[b.text for b, y in zip(bs, ys, strict=True) if y] for bs, ys in zip(found, labels, strict=True)]
                 text = ["\n".join(m) for m in main]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array([len(m) for m in main], pa.int64())], ["page_id", "url", "text", "n_chars", "n_blocks"])

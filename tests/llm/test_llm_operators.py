@@ -467,3 +467,80 @@ def test_calibration_against_brute_force(spark):
 
 def test_words():
     assert words_of(None) == [] and words_of("A-b_1 É") == ["a", "b_1", "é"]
+
+
+# --- 3 HTML, whole pages
+
+WRITTEN_BY_HAND = [
+    (
+        """<!doctype html><html><head><title>Tides | The Daily</title></head><body><header class="site-header"><a href="/">The Daily</a><nav><ul><li><a href="/a">News</a><li><a href="/b">Sport</a></ul></nav></header>
+        <div id="cookie-banner"><p>We use cookies to improve your visit.</p><button>Accept</button></div><main><article><h1>How tides &amp; moons work</h1><p>The moon pulls the sea towards it, and the sea answers twice a day, in every harbour.</p>
+        <p>Let <math><mi>g</mi></math> be the pull, which <object>falls off</object> with the square of the distance between both bodies.</p></article></main>
+        <section class="comments"><h2>Comments</h2><p>Great read, thanks!</p></section><footer><p>&copy; 2024 The Daily. All rights reserved.</p></footer></body></html>""",
+        ["How tides & moons work", "The moon pulls the sea towards it, and the sea answers twice a day, in every harbour.", "Let g be the pull, which falls off with the square of the distance between both bodies."],
+    ),
+    (
+        """<body><nav><a href="/">Home</a> <a href="/x">Posts</a></nav><article class="post"><h1>Bread at home</h1><p>Mix the flour, the water and the salt, and wait until the dough has doubled in size.</p><div class="ad">Sponsored: buy our ovens now!</div>
+        <p>Bake it for forty minutes, turn it once, and let it cool on a rack before you cut it.</p><form><label>Your email</label><input name="e"><button>Subscribe</button></form></article><aside><ul><li><a href="/r">Related: cakes</a></li></ul></aside></body>""",
+        ["Bread at home", "Mix the flour, the water and the salt, and wait until the dough has doubled in size.", "Bake it for forty minutes, turn it once, and let it cool on a rack before you cut it."],
+    ),
+]
+
+
+def plain_article(page):
+    """The blocks inside <article>, by patterns that suit the generated tables only."""
+    import html
+
+    inner = "".join(re.findall(r"(?s)<article[^>]*>(.*?)</article>", page or ""))
+    parts = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|blockquote|table|tr|td|section|figure)\b[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in parts]
+    return "\n".join(x for x in texts if x)
+
+
+def test_main_text_of_whole_pages(spark):
+    pages = spark.createDataFrame([(i, "u", page) for i, (page, _) in enumerate(WRITTEN_BY_HAND)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert [got[i] for i in range(len(got))] == ["\n".join(main) for _, main in WRITTEN_BY_HAND]
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    texts = {r.page_id: r.text for r in html_extract.extract(table).collect()}
+    assert texts == {r.page_id: plain_article(r.html) for r in table.collect()}
+
+
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    long = ["<a " * 350_000, "<div>" * 200_000, "<a \">\" " * 150_000 + ">", "<p><table><td>" + "<div>" * 200_000, "<script></script " * 60_000, "<!" * 500_000, "<ul><li>x" * 50_000, "&#" + "9" * 100_000 + ";"]
+    blocks = [html_extract.blocks_of(page) for page in long]
+    assert [len(b) for b in blocks] == [1, 0, 0, 0, 1, 1, 50_000, 1] and blocks[-1][0].text == "�"
+    chain = html_extract.Chain()
+    some = html_extract.best_labels(chain, [html_extract.emissions(chain, blocks[6])] + [np.zeros((3, 2))] * 255)
+    assert [len(y) for y in some] == [50_000] + [3] * 255
+    assert time.time() - began < 60
+
+
+def test_grouped_decoding_equals_decoding_one_by_one():
+    rng = np.random.default_rng(17)
+    chain = html_extract.Chain(rng.normal(size=(len(html_extract.FEATURE), 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    pages = [rng.normal(size=(int(n), 2)) for n in rng.integers(0, 40, 60)]
+    alone = [html_extract.best_labels(chain, [e])[0] for e in pages]
+    for cells in (1, 50, 400, 65_536):
+        assert all((a == b).all() for a, b in zip(alone, html_extract.best_labels(chain, pages, cells), strict=True))
+
+
+def test_tag_ends_against_a_plain_scan():
+    rng = random.Random(18)
+    for _ in range(500):
+        page = "".join(rng.choices("ab \"'>", k=rng.randint(0, 25)))
+        places, ends = html_extract.tag_ends(page)
+        for k, at in enumerate(places):
+            quote, end = "", -1
+            for i in range(at, len(page)):
+                if quote:
+                    quote = "" if page[i] == quote else quote
+                elif page[i] == ">":
+                    end = i
+                    break
+                elif page[i] in "\"'":
+                    quote = page[i]
+            assert ends[k] == end
