@@ -130,10 +130,54 @@ def test_tiling_against_brute_force():
         doc, item = [rng.choice("abc") for _ in range(rng.randint(0, 30))], [rng.choice("abc") for _ in range(rng.randint(3, 15))]
         (words, o) = hash_words([" ".join(doc), " ".join(item)])
         index = decontaminate.BenchmarkIndex([1], [words[o[1] :]], 3)
-        runs = index.runs(words[: o[1]]).get(0, [])
+        runs = index.runs(words[: o[1]], block=rng.choice([1, 7, 1 << 18])).get(0, [])
         assert sorted(decontaminate.tile(runs, 3)) == sorted(naive_tiles(doc, item, 3))
 
 
+def test_rolling_hashes_against_sums():
+    rng = np.random.default_rng(19)
+    for size, n in ((0, 5), (4, 5), (5, 5), (60, 5), (9, 1)):
+        words = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        want = [sum(int(w) * pow(decontaminate._BASE, k) for k, w in enumerate(words[i : i + n])) % (1 << 64) for i in range(max(0, size - n + 1))]
+        assert decontaminate.rolling_hashes(words, n).tolist() == want
+
+
+def test_repeated_words_are_tiled_in_bounded_memory():
+    import tracemalloc
+
+    words, o = hash_words(["a " * 30_000, "a " * 150 + "b c d e f"])
+    index = decontaminate.BenchmarkIndex([1], [words[o[1] :]], 5)
+    tracemalloc.start()
+    assert index.covered(words[: o[1]], 0.5) == [(1, 150 / 155, 150, 1, 150)]
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+
+
+def test_both_paths_against_brute_force(spark):
+    rng = random.Random(20)
+    phrase = prose(rng, 8)
+    items = [f"{phrase} {prose(rng, rng.randint(1, 30))}" if rng.random() < 0.7 else prose(rng, rng.randint(1, 12)) for _ in range(40)] + ["x y x y x y x y x y", "z " * 20]
+    texts = [phrase, "x y " * 30, "z " * 12]
+    for _ in range(60):
+        parts = [phrase, prose(rng, rng.randint(0, 20))]
+        for item in rng.sample(items, 2):
+            w = item.split()
+            a = rng.randrange(len(w))
+            parts += [" ".join(w[a:] + w[:a] if rng.random() < 0.5 else w[: max(1, len(w) * 2 // 3)])]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += texts[3:6]
+    want = []
+    for (d, text), (i, item) in itertools.product(enumerate(texts), enumerate(items)):
+        a, b = words_of(text), words_of(item)
+        tiles = naive_tiles(a, b, min(5, len(b)))
+        if sum(n for _, _, n in tiles) >= 0.5 * len(b):
+            want.append((d, i, sum(n for _, _, n in tiles), len(tiles)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    for most in (4_000_000, 0):
+        got = sorted((r.doc_id, r.item_id, r.matched_words, r.tiles) for r in decontaminate.contaminated(docs_of(spark, texts), bench, most_seeds=most).collect())
+        assert got == want and len(want) > 60
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     item = prose(rng, 40).split()
