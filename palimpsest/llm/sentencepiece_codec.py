@@ -6,8 +6,9 @@ remains outside the vocabulary falls back to byte pieces.
 
 No piece of such a vocabulary has a space mark behind another character (checked when a model is loaded), so no merge
 crosses the start of a word, and a text's ids are those of its words end to end. Workers therefore run the agenda once
-for each distinct word they meet. Each word that an Arrow batch adds is encoded by the sentencepiece library too, and
-a difference raises an error. With check="texts" the library also encodes every whole text.
+for each distinct word they meet, and keep as many words as a number of characters allows. Each word that an Arrow batch
+adds is encoded and decoded by the sentencepiece library too, and a difference raises an error. With check="texts" the
+library also encodes and decodes every whole text.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ _WORDS = re.compile(r" *[^ \n]+| +|\n")
 
 
 class PieceCodec:
-    """Encoder and decoder for one model; keeps up to 2 * `young` words, the ones met last."""
+    """Encoder and decoder for one model; keeps the words met last, of up to 2 * `young` characters. Words of more than
+    `longest` characters are kept for the texts at hand only."""
 
-    def __init__(self, model: bytes, young: int = 200_000):
+    def __init__(self, model: bytes, young: int = 1_600_000, longest: int = 100):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -36,7 +38,7 @@ class PieceCodec:
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
         self.bytes: dict[int, int] = {}
-        self.surface: list[bytes | None] = []
+        self.surface: list[bytes] = []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -51,7 +53,10 @@ class PieceCodec:
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary has no byte pieces")
         self.by_words = not any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids)
-        self.young, self.new, self.old = young, {}, {}
+        self.young, self.longest, self.size = young, longest, 0
+        self.new: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
+        self.long: list[str] = []
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a text whose spaces are marks already, without begin mark."""
@@ -132,27 +137,41 @@ class PieceCodec:
     def encode(self, text: str | None) -> list[int]:
         return [i for word in self.split(text) for i in self.agenda(word.replace(" ", MARK))]
 
-    def learn(self, words: set[str], check: bool) -> None:
-        """Makes (ids as text, decoded bytes) known for the words."""
-        if len(self.new) >= self.young:
-            self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        fresh = []
+    def learn(self, words: set[str], check: bool) -> dict[str, tuple[str, bytes]]:
+        """(ids as text, decoded bytes) of the words, among others."""
+        for w in self.long:
+            del self.new[w]
+        if self.size >= self.young:
+            self.new, self.old, self.size = {}, self.new, 0
+        new, old, longest = self.new, self.old, self.longest
+        fresh, size = [], 0
         for w in words:
             if w not in new:
                 if w in old:
                     new[w] = old[w]
+                    size += len(w)
                 else:
                     fresh.append(w)
         encoded = [self.agenda(w.replace(" ", MARK)) for w in fresh]
-        if check:
-            skip = len(self.library.encode("\n"))  # the begin mark and the line feed, which no merge crosses
-            theirs = self.library.encode(["\n" + w for w in fresh], num_threads=1) if self.by_words else self.library.encode([w[1:] for w in fresh], num_threads=1)
-            for w, a, b in zip(fresh, encoded, theirs, strict=True):
-                if a != (b[skip:] if self.by_words else b):
-                    raise AssertionError(f"the agenda and the library differ on {w[:80]!r}: {a[:20]} and {b[:20]}")
+        if check and fresh:
+            self._compare(fresh, encoded)
         for w, ids in zip(fresh, encoded, strict=True):
             new[w] = (",".join(map(str, ids)), self.decode_bytes(ids))
+            size += len(w) if len(w) <= longest else 0
+        self.long = [w for w in fresh if len(w) > longest]
+        self.size += size
+        return new
+
+    def _compare(self, words: list[str], encoded: list[list[int]]) -> None:
+        """An error unless the library encodes the words to these ids and decodes the ids to what decode_bytes gives."""
+        before = "\n" if self.by_words else ""  # no merge crosses a line feed; the begin mark stands before it
+        theirs = self.library.encode([before + w if before else w[1:] for w in words], num_threads=1)
+        back = self.library.decode(theirs, num_threads=1)
+        skip = len(self.library.encode(before))
+        for w, a, b, text in zip(words, encoded, theirs, back, strict=True):
+            mine = before + self.decode_bytes(a).decode("utf-8", "replace") if before else self.decode(a)
+            if a != b[skip:] or text != mine:
+                raise AssertionError(f"the codec and the library differ on {w[:80]!r}: {a[:20]} and {b[:20]}, {mine[:80]!r} and {text[:80]!r}")
 
 
 _CODECS: dict[bytes, PieceCodec] = {}
@@ -170,9 +189,10 @@ def codec(model: bytes) -> PieceCodec:
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: str | None = "words", with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256, and on demand the ids and the decoded text.
 
-    Null and empty texts have no ids and decode to the empty text. check: "words" holds each new word of a batch
-    against the library, "texts" every whole text as well, None nothing. Other columns are not read. The model
-    (about half a megabyte) is read on the driver and sent to the workers.
+    Null and empty texts have no ids and decode to the empty text; null ids stay null, repeated rows are encoded each.
+    check: "words" holds ids and decoded text of each new word of a batch against the library, "texts" those of every
+    whole text as well, None nothing. Other columns are not read. The model (about half a megabyte) is read on the driver
+    and sent to the workers.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -187,9 +207,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             for batch in slices(whole, text_col, rows=1000, chars=1_000_000):
                 texts = batch.column(1).to_pylist()
                 split = [c.split(t) for t in texts]
-                c.learn(set().union(*split), check is not None)
+                known = c.learn(set().union(*split), check is not None).__getitem__
                 n, ids, decoded, id_lists, raw = [], [], [], [], []
-                known = c.new.__getitem__
                 for words in split:
                     id_texts, surfaces = zip(*map(known, words), strict=True) if words else ((), ())
                     joined = ",".join(id_texts)
@@ -199,13 +218,12 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     decoded.append(hashlib.sha256(back).hexdigest())
                     if with_ids or check == "texts":
                         id_lists.append([int(x) for x in joined.split(",")] if joined else [])
-                    if with_text:
+                    if with_text or check == "texts":
                         raw.append(back.decode())
                 if check == "texts":
                     theirs = c.library.encode([t or "" for t in texts], num_threads=1)
-                    for a, b in zip(id_lists, theirs, strict=True):
-                        if a != b:
-                            raise AssertionError("the agenda and the library differ on a whole text")
+                    if theirs != id_lists or c.library.decode(theirs, num_threads=1) != raw:
+                        raise AssertionError("the codec and the library differ on a whole text")
                 columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
                     columns.append(pa.array(id_lists, pa.list_(pa.int32())))
