@@ -110,7 +110,25 @@ def _slots(known: np.ndarray, features: np.ndarray) -> np.ndarray:
     return at[known[at] == features] if len(known) else at[:0]
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 300, step: float = 0.05, decay: float = 1e-4, least_df: int = 4, least_share: float = 0.5, least_g: float = 16.0, most_features: int = 50_000, seed: int = 7) -> ToxicityModel:
+def nnpu_risk(w: np.ndarray, rows: np.ndarray, cols: np.ndarray, n_pos: int, n: int, prior: float, decay: float = 0.0) -> tuple[float, float, np.ndarray]:
+    """(risk of toxic texts as toxic, risk of the rest as clean, gradient of the step). w ends with the bias; (rows, cols)
+    are the features of n texts, the first n_pos of them toxic. The gradient is that of both risks with weight decay; where
+    the rest is negative it is that of minus the rest, which undoes the overfit."""
+    is_pos = np.arange(n) < n_pos
+    per_pos, per_unl = prior / n_pos, 1.0 / max(1, n - n_pos)
+    g = np.bincount(rows, w[cols], n) + w[-1]
+    p = _logistic(g)
+    clean = np.logaddexp(0, g)  # loss if the text were clean
+    toxic = per_pos * np.logaddexp(0, -g[is_pos]).sum()
+    rest = per_unl * clean[~is_pos].sum() - per_pos * clean[is_pos].sum()
+    d_rest = np.where(is_pos, -per_pos * p, per_unl * p)
+    d = np.where(is_pos, -per_pos * (1 - p), 0.0) + d_rest if rest >= 0 else -d_rest
+    grad = np.append(np.bincount(cols, d[rows], len(w) - 1), d.sum())
+    grad[:-1] += decay * w[:-1]
+    return float(toxic), float(rest), grad
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 300, step: float = 0.05, decay: float = 1e-4, least_df: int = 4, least_share: float = 0.5, least_g: float = 16.0, most_features: int = 50_000) -> ToxicityModel:
     """Minimises the non-negative risk by Adam over all samples. A feature takes part if at
     least least_df positive texts have it, if the prior and its rates in both samples put the share of toxic texts among
     those that have it at least_share or more, and if its excess in positive texts is no chance: twice the log-likelihood
@@ -132,25 +150,12 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     keep = np.sort(found[good[np.argsort(-(df_p[good] * np.log(lift[good])), kind="stable")[:most_features]]])
     if not len(keep):
         return ToxicityModel(bias, {}, prior)
-    rows, cols, n_pos = [], [], len(positive)
-    for i, fs in enumerate([*positive, *unlabelled]):
-        own = _slots(keep, fs)
-        cols.append(own)
-        rows.append(np.full(len(own), i))
-    rows, cols, n = np.concatenate(rows), np.concatenate(cols), n_pos + len(unlabelled)
-    is_pos = np.arange(n) < n_pos
+    own = [_slots(keep, fs) for fs in [*positive, *unlabelled]]
+    rows, cols = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
     w, m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     w[-1] = bias
-    per_pos, per_unl = prior / n_pos, 1.0 / max(1, len(unlabelled))
     for t in range(1, epochs + 1):
-        g = np.bincount(rows, w[cols], n) + w[-1]
-        p = _logistic(g)
-        clean = np.logaddexp(0, g)  # loss if the text were clean
-        rest = per_unl * clean[~is_pos].sum() - per_pos * clean[is_pos].sum()
-        d_rest = np.where(is_pos, -per_pos * p, per_unl * p)
-        d = np.where(is_pos, -per_pos * (1 - p), 0.0) + d_rest if rest >= 0 else -d_rest
-        grad = np.append(np.bincount(cols, d[rows], len(keep)), d.sum())
-        grad[:-1] += decay * w[:-1]
+        _, _, grad = nnpu_risk(w, rows, cols, len(positive), len(own), prior, decay)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -161,7 +166,9 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, seed: int = 7) -> ToxicityModel:
     """Fits on at most max_positive confirmed toxic texts and max_unlabelled texts of unknown label, both drawn by the
     order of a hash of the id, none of them held out. The prior is the toxic share among the labelled rows not held out.
-    Without toxic labels every score is near 0."""
+    Of rows that repeat an id one text is taken, the first in order, so that the bounds hold for rows. Rows with a null id
+    and null labels are not learned from; null and empty texts have no features. Without toxic labels every score is
+    near 0."""
     ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id"))
     share = ids.agg(F.avg((F.col("_y") == 1).cast("double"))).first()[0]
     if not share:
@@ -169,15 +176,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull() & ~held_out("_id"))
     order = F.xxhash64("_id", F.lit(seed))
     toxic = ids.where("_y = 1").groupBy("_id").agg(F.lit(1).alias("_one")).orderBy(order, "_id").limit(max_positive)
-    positive = texts.join(F.broadcast(toxic), "_id", "left_semi")
-    drawn = texts.select("_id").orderBy(order, "_id").limit(max_unlabelled).distinct()
-    unlabelled = texts.join(F.broadcast(drawn), "_id", "left_semi")
+    drawn = texts.select("_id").distinct().orderBy(order, "_id").limit(max_unlabelled)
+    positive, unlabelled = (texts.join(F.broadcast(ids), "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text")) for ids in (toxic, drawn))
     return fit_nnpu(_feature_lists(positive, "_text"), _feature_lists(unlabelled, "_text"), float(share))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per document: id, held_out, score (0 to 1), predicted. Null and empty texts, and texts without a known
-    feature, get the score of the bias alone. Repeated rows are scored each. One pass, no shuffle."""
+    feature, get the score of the bias alone. Repeated rows are scored each, null ids stay null and are not held out; other
+    columns are not read. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -193,15 +200,17 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The documents whose score is under the threshold, all columns as they are. One pass, no shuffle."""
+    """The documents whose score is under the threshold, all columns as they are. Null and empty texts have the score of
+    the bias alone; repeated rows all stay or go. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known = WordFeatures(m.weights)
-        for batch in batches:
-            p = _logistic(m.margins(batch.column(at).to_pylist(), known))
-            yield batch.filter(pa.array(p < threshold))
+        for whole in batches:
+            for batch in slices(whole, text_col, rows=2000):
+                p = _logistic(m.margins(batch.column(at).to_pylist(), known))
+                yield batch.filter(pa.array(p < threshold))
 
     return docs.mapInArrow(run, docs.schema)

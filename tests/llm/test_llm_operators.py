@@ -207,6 +207,47 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_nnpu_risk_against_numerical_gradients():
+    rng = np.random.default_rng(22)
+    n, n_pos, f = 14, 5, 6
+    has = rng.random((n, f)) < 0.4
+    rows, cols = np.nonzero(has)
+    signs = set()
+    for scale, prior in ((0.3, 0.2), (3.0, 0.2), (1.0, 0.7), (3.0, 0.8)):
+        w = rng.normal(size=f + 1) * scale
+        g = has @ w[:-1] + w[-1]
+        loss = lambda x: np.log1p(np.exp(-x))
+        toxic, rest, grad = toxicity.nnpu_risk(w, rows, cols, n_pos, n, prior, 0.01)
+        assert toxic == pytest.approx(prior * loss(g[:n_pos]).mean()) and rest == pytest.approx(loss(-g[n_pos:]).mean() - prior * loss(-g[:n_pos]).mean())
+        signs.add(rest >= 0)
+
+        def stepped(v, sign=rest >= 0):
+            a, b, _ = toxicity.nnpu_risk(v, rows, cols, n_pos, n, prior)
+            return (a + b if sign else -b) + 0.005 * (v[:-1] ** 2).sum()
+
+        for k in range(f + 1):
+            e = np.eye(f + 1)[k] * 1e-5
+            assert grad[k] == pytest.approx((stepped(w + e) - stepped(w - e)) / 2e-5, abs=1e-7)
+    assert signs == {True, False}
+
+
+def test_toxicity_of_repeated_ids_and_long_texts(spark):
+    rng = random.Random(23)
+    bad = [f"{prose(rng, 5)} zzfoul {prose(rng, 5)}" for _ in range(40)]
+    texts = bad + [prose(rng, 12) for _ in range(160)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(0, 200, 2)], "doc_id bigint, toxic int")
+    again = docs.where("doc_id in (0, 1)").withColumn("text", F.concat("text", F.lit(" other")))
+    for _ in range(5):
+        again = again.unionByName(again)
+    model = toxicity.train(docs, labels)
+    assert model.weights and toxicity.train(docs.unionByName(again), labels) == model
+    assert len(toxicity._feature_lists(docs.limit(3), "text")) == 3
+    long = docs_of(spark, ["clean " * 400_000 + "zzfoul", "clean " * 400_000], extra=True)
+    assert [r.predicted for r in toxicity.score(long, model).orderBy("doc_id").collect()] == [1, 0]
+    assert [r.doc_id for r in toxicity.keep_clean(long, model).collect()] == [1]
+
+
 def test_toxicity_edge_cases(spark):
     docs = docs_of(spark, [None, "", "fine words", "fine words"], extra=True)
     labels = spark.createDataFrame([(0, 1, None), (None, 1, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
@@ -383,7 +424,7 @@ def test_codec_against_the_library(spark):
 
     library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     rng = random.Random(9)
-    texts = [None, "", " ", "  a  b", "▁x ▁▁y", "l\n\n m\n", "\t\r\n", "日本語 ünï 🎉", " " * 70, "a" * 3000, "\x00a", "<s> <unk> <0x41>", "1234 5"]
+    texts = [None, "", "", " ", "  a  b", "  a  b", "▁x ▁▁y", "l\n\n m\n", "\t\r\n", "日本語 ünï 🎉", " " * 70, "a" * 3000, "\x00a", "<s> <unk> <0x41>", "1234 5"]
     texts += ["".join(rng.choices("the tion aé\n▁ 日1,", k=rng.randint(1, 200))) for _ in range(300)]
     rows = sentencepiece_codec.encode_documents(docs_of(spark, texts, extra=True), piece_model(), check="texts", with_ids=True, with_text=True).collect()
     for r in rows:
@@ -394,6 +435,29 @@ def test_codec_against_the_library(spark):
     assert sentencepiece_codec.encode_documents(docs_of(spark, [""]).limit(0), piece_model()).count() == 0
 
 
+def test_cache_is_bounded_by_characters():
+    with open(piece_model(), "rb") as f:
+        codec = sentencepiece_codec.PieceCodec(f.read(), young=5_000)
+    rng = random.Random(21)
+    for _ in range(60):
+        words = {" " + "".join(rng.choices("theaion", k=rng.choice([3, 8, 400, 2000]))) for _ in range(30)}
+        known = codec.learn(words, True)
+        assert words <= known.keys()
+        for w in codec.long:
+            del codec.new[w]
+        codec.long = []
+        assert sum(map(len, codec.new)) == codec.size and max(map(len, codec.new | codec.old)) <= 100
+        assert sum(map(len, codec.new)) + sum(map(len, codec.old)) < 2 * 5_000 + 2 * 30 * 10
+
+
+def test_codec_holds_decoding_against_the_library():
+    with open(piece_model(), "rb") as f:
+        codec = sentencepiece_codec.PieceCodec(f.read())
+    codec.surface[codec.agenda("▁the")[0]] = b" thy"
+    with pytest.raises(AssertionError, match="differ"):
+        codec.learn({" the"}, True)
+
+
 def test_both_agendas_agree():
     with open(piece_model(), "rb") as f:
         codec = sentencepiece_codec.PieceCodec(f.read())
