@@ -67,6 +67,30 @@ def test_top_k_against_brute_force(spark, scale):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize(("spread", "cells"), [(0.0, (64, 8, 16)), (1.5, (64, 8, 16)), (3.0, (1000, 30, 100))])
+def test_top_k_over_many_cells(spark, monkeypatch, spread, cells):
+    for name, size in zip(("CELL_CANDIDATES", "CELL_QUERIES", "LEAST_STRIP"), cells, strict=True):
+        monkeypatch.setattr(topk, name, size)
+    rng = np.random.default_rng(24)
+    vectors = rng.normal(size=(900, 6)) * np.exp(rng.normal(size=(900, 1)) * spread)
+    vectors[:40] = vectors[40:80]
+    vectors[100:140] = 0
+    rows = [(i, list(map(float, v))) for i, v in enumerate(vectors)] + [(i, [float(i), 1.0]) for i in range(1000, 1061)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    ints = {i: [int(np.floor(x * 64)) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 1061, 20):
+        if q in ints:
+            found = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:20]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(found)]
+    assert got == want
+
+
+def test_strips_hold_all_classes():
+    assert topk.strips_of({}, 10) == []
+    assert topk.strips_of({3: 4, 9: 3, 8: 7, 1: 25, 0: 2}, 10) == [(8, 9, 1), (3, 3, 1), (1, 1, 3), (0, 0, 1)]
+
+
 # --- 3 HTML
 
 
