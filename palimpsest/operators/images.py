@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,38 @@ def ink_extent(gray: np.ndarray, box: tuple[int, int, int, int], dark: int = 200
     return (y1 + int(rows[0]), y1 + int(rows[-1])) if len(rows) else (y1, y2)
 
 
+def row_ink(gray: np.ndarray) -> np.ndarray:
+    """Ink pixels of each row below the Otsu threshold, smoothed by a median of three."""
+    ink = (gray < otsu_threshold(gray)).sum(axis=1).astype(np.float64)
+    padded = np.pad(ink, 1, mode="edge")
+    return np.median(np.stack([padded[:-2], padded[1:-1], padded[2:]]), axis=0)
+
+
+def png(gray: np.ndarray) -> bytes:
+    """A grey image as a PNG file."""
+    height, width = gray.shape
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), gray], axis=1).tobytes()  # each behind its filter, none
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def png_files(images: DataFrame, target_height: int | None = None) -> DataFrame:
+    """Adds png, the image (height, width, pixels) as a PNG file, on demand resized to a height first."""
+    schema = T.StructType([*images.schema.fields, T.StructField("png", T.BinaryType())])
+
+    def one(height: int, width: int, data: bytes) -> bytes | None:
+        if data is None or not height or not width:
+            return None
+        gray = np.frombuffer(data, np.uint8).reshape(int(height), int(width))
+        return png(resized_to_height(gray, target_height) if target_height else gray)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(png=[one(*x) for x in zip(batch["height"].fillna(0), batch["width"].fillna(0), batch["pixels"], strict=True)])
+
+    return images.mapInPandas(run, schema)
+
+
 def row_profiles(images: DataFrame, sensitivity: float = 0.02) -> DataFrame:
     """(page, y, ink, is_text): ink pixels of each row below the Otsu threshold, smoothed by a median of three, and
     whether they exceed the share of the page's largest row. Runs and merges of the rows are window functions."""
@@ -56,10 +90,7 @@ def row_profiles(images: DataFrame, sensitivity: float = 0.02) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for page, height, width, data in zip(batch["page"], batch["height"], batch["width"], batch["pixels"], strict=True):
-                gray = np.frombuffer(data, np.uint8).reshape(height, width)
-                ink = (gray < otsu_threshold(gray)).sum(axis=1).astype(np.float64)
-                padded = np.pad(ink, 1, mode="edge")
-                smooth = np.median(np.stack([padded[:-2], padded[1:-1], padded[2:]]), axis=0)
+                smooth = row_ink(np.frombuffer(data, np.uint8).reshape(height, width))
                 yield pd.DataFrame({"page": page, "y": np.arange(height), "ink": smooth, "is_text": smooth > smooth.max(initial=0) * sensitivity})
 
     return images.select("page", "height", "width", "pixels").mapInPandas(run, "page string, y int, ink double, is_text boolean")

@@ -137,3 +137,26 @@ def choose_mode(neural: DataFrame, classical: DataFrame, page: str, least_lines:
 
 def boxes_of_points(lines: DataFrame, points_col: str = "coords") -> DataFrame:
     return lines.withColumn("_b", points_box(F.col(points_col))).select("*", "_b.*").drop("_b")
+
+
+def regions_by_id(lines: DataFrame, page: str = "page") -> DataFrame:
+    """Adds region (r_1, r_2 ... in the order of the region ids as texts) and line_number within it, top to bottom."""
+    ids = lines.select(page, "region_id").distinct()
+    ranked = ids.withColumn("region", F.concat(F.lit("r_"), F.row_number().over(Window.partitionBy(page).orderBy("region_id")).cast("string")))
+    number = F.row_number().over(Window.partitionBy(page, "region_id").orderBy("y1", "x1", "line_id"))
+    return lines.join(ranked, [page, "region_id"]).withColumn("line_number", number)
+
+
+def region_key(kind: Column, number: Column) -> Column:
+    """type_number of a region that a model found, col_number where it has no type."""
+    return F.concat(F.coalesce(kind, F.lit("col")), F.lit("_"), number.cast("string"))
+
+
+def segmentation_summary(quality: DataFrame) -> DataFrame:
+    """One row of segmented pages (lines, seconds, fallback): pages, mean seconds and lines, and how many fell back."""
+    return quality.agg(F.count("*").alias("pages"), F.avg("seconds").alias("avg_seconds"), F.avg("lines").alias("avg_lines"), F.count_if("fallback").alias("fallbacks"))
+
+
+def height_ranges(images: DataFrame, before: str = "height_before", after: str = "height_after") -> DataFrame:
+    """One row: images, and the least and largest height before and after a change."""
+    return images.agg(F.count("*").alias("images"), *[f(c).alias(f"{n}_{c}") for c in (before, after) for n, f in (("min", F.min), ("max", F.max))])

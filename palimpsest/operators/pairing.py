@@ -18,12 +18,17 @@ def path_parts(path: Column) -> Column:
     return F.struct(folder.alias("dir"), name.alias("name"), stem.alias("stem"), F.regexp_extract(name, r"^.+\.([^.]*)$", 1).alias("ext"))
 
 
+def _whole(parts: list[Column]) -> Column:
+    """Key columns as one text, null if any is null."""
+    return F.when(~F.array_contains(F.array(*[c.isNull() for c in parts]), F.lit(True)), F.to_json(F.array(*[c.cast("string") for c in parts])))
+
+
 def first_match(left: DataFrame, right: DataFrame, key: str, alternatives: Sequence[tuple[list[Column], list[Column]]], value: str, ties: Sequence[str] = (), how: str = "left") -> DataFrame:
     """Adds value and priority from the first alternative that finds a row: each is a list of key columns of left and
     one of right. Among equal priorities the smallest by `ties`, then by value, wins. One equi-join over the
     alternatives, and a partial aggregation by left's key."""
-    probes = left.select(F.col(key).alias("_key"), F.explode(F.array(*[F.struct(F.lit(i).alias("priority"), F.to_json(F.array(*[c.cast("string") for c in ls])).alias("on")) for i, (ls, _) in enumerate(alternatives)])).alias("_p")).select("_key", "_p.*")
-    found = right.select(F.explode(F.array(*[F.struct(F.lit(i).alias("priority"), F.to_json(F.array(*[c.cast("string") for c in rs])).alias("on")) for i, (_, rs) in enumerate(alternatives)])).alias("_p"), F.col(value), *[F.col(t).alias(f"_t{t}") for t in ties]).select("_p.*", value, *[f"_t{t}" for t in ties])
+    probes = left.select(F.col(key).alias("_key"), F.explode(F.array(*[F.struct(F.lit(i).alias("priority"), _whole(ls).alias("on")) for i, (ls, _) in enumerate(alternatives)])).alias("_p")).select("_key", "_p.*")
+    found = right.select(F.explode(F.array(*[F.struct(F.lit(i).alias("priority"), _whole(rs).alias("on")) for i, (_, rs) in enumerate(alternatives)])).alias("_p"), F.col(value), *[F.col(t).alias(f"_t{t}") for t in ties]).select("_p.*", value, *[f"_t{t}" for t in ties])
     best = probes.join(found, ["priority", "on"]).groupBy("_key").agg(F.min(F.struct("priority", *[f"_t{t}" for t in ties], value)).alias("_b"))
     joined = left.join(best, F.col(key) == F.col("_key"), how)
     return joined.withColumn(value, F.col(f"_b.{value}")).withColumn("priority", F.col("_b.priority")).drop("_key", "_b")
@@ -46,6 +51,26 @@ def xml_with_images(xml: DataFrame, images: DataFrame) -> DataFrame:
     return first_match(x, i, "xml_path", [own, above], "image_path", ["rank"], "inner").select("xml_path", "image_path", "priority")
 
 
+def alto_with_images(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """(xml_path, image_path, priority) for parsed pages (path, image_name): the image named in the file in the same folder,
+    else the image of the file's own stem there, else that in the parent of a page folder. Files without one are left out."""
+    x = pages.select(F.col("path").alias("xml_path"), path_parts(F.col("path")).alias("p"), path_parts(F.trim("image_name"))["stem"].alias("named"))
+    parent = F.when(F.substring_index(F.col("p.dir"), "/", -1) == "page", F.regexp_replace(F.col("p.dir"), "/?page$", ""))
+    i = images.select(F.col("path").alias("image_path"), path_parts(F.col("path")).alias("i")).withColumn("rank", extension_rank(F.col("i.ext"))).where("rank is not null")
+    at = [F.col("i.dir"), F.col("i.stem")]
+    ways = [([F.col("p.dir"), F.when(F.col("named") != "", F.col("named"))], at), ([F.col("p.dir"), F.col("p.stem")], at), ([parent, F.col("p.stem")], at)]
+    return first_match(x, i, "xml_path", ways, "image_path", ["rank"], "inner").select("xml_path", "image_path", "priority")
+
+
+def xml_with_named_images(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """(xml_path, image_path, error) for parsed pages (path, image_name, error): the image that the file names; the error
+    says what is missing: the page, the name or the image."""
+    x = pages.select(F.col("path").alias("xml_path"), "image_name", F.col("error").alias("_broken"))
+    i = images.groupBy(path_parts(F.col("path"))["name"].alias("image_name")).agg(F.min("path").alias("image_path"))
+    error = F.when(F.col("_broken").isNotNull(), F.col("_broken")).when(F.coalesce("image_name", F.lit("")) == "", "no image name").when(F.col("image_path").isNull(), F.concat(F.lit("no image "), F.col("image_name")))
+    return x.join(i, "image_name", "left").select("xml_path", F.when(F.col("_broken").isNull(), F.col("image_path")).alias("image_path"), error.alias("error"))
+
+
 def images_with_xml(images: DataFrame, xml: DataFrame, xml_folder: str | None = None, suffix: str = ".xml") -> DataFrame:
     """(image_path, xml_path or null, priority): the XML of an image's stem in a given folder, else beside it, else in
     its page folder."""

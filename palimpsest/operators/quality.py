@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palimpsest.functions.confidence import normalised
@@ -29,13 +29,13 @@ def engine_registry(spark) -> DataFrame:
 
 def with_engine(rows: DataFrame, registry: DataFrame, engine_col: str = "engine", default_per_minute: float = 10.0) -> DataFrame:
     """Adds the registry's columns; unknown engines get the default speed."""
-    joined = rows.join(F.broadcast(registry.withColumnRenamed("engine", engine_col)), engine_col, "left")
+    joined = rows.join(registry.withColumnRenamed("engine", engine_col), engine_col, "left")
     return joined.withColumn("images_per_min", F.coalesce("images_per_min", F.lit(default_per_minute)))
 
 
 def config_errors(configs: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds error (first broken rule, null if none) and warnings to (engine, device, batch_size, num_beams, images)."""
-    c = configs.join(F.broadcast(registry), "engine", "left")
+    c = configs.join(registry, "engine", "left")
     error = (
         F.when(F.col("min_device").isNull(), "unknown engine")
         .when((F.col("min_device") == "cuda") & (F.col("device") == "cpu"), "needs a GPU")
@@ -106,3 +106,41 @@ def orientation_counts(images: DataFrame, tag_col: str = "orientation") -> DataF
     """(orientation, degrees, n) of the images whose EXIF tag asks for a turn."""
     turns = images.sparkSession.createDataFrame([(3, 180), (6, 270), (8, 90)], f"{tag_col} int, degrees int")
     return images.join(F.broadcast(turns), tag_col).groupBy(tag_col, "degrees").agg(F.count("*").alias("n"))
+
+
+def settings_errors(configs: DataFrame) -> DataFrame:
+    """Adds error, the first broken rule of a job's settings (null if none): input_exists, model_path, model_exists,
+    model_id, adapter, adapter_exists, adapter_is_folder, api_key, formats (array), and the engine's needs: only_one (path or
+    id, not both, and a vision model's id), remote (a key and an id)."""
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    lower = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    weights = lambda c: F.endswith(lower(c), F.lit(".safetensors"))
+    one = F.coalesce(F.col("only_one"), F.lit(False))
+    remote = F.coalesce(F.col("remote"), F.lit(False))
+    error = (
+        F.when(~F.col("input_exists"), "input folder does not exist")
+        .when(~given("model_path") & ~given("model_id"), "no model")
+        .when(one & given("model_path") & given("model_id"), "model path and model id")
+        .when(one & (F.contains(lower("model_path"), F.lit("adapter")) | weights("model_path")), "model path is an adapter")
+        .when(one & F.contains(lower("model_id"), F.lit("qwen")) & ~F.contains(lower("model_id"), F.lit("-vl")), "model id is of a text model")
+        .when(one & F.endswith(F.coalesce("adapter", F.lit("")), F.lit(".safetensors")), "adapter is a file")
+        .when(remote & ~given("api_key"), "no key")
+        .when(remote & ~given("model_id"), "no model id")
+        .when(given("model_path") & ~F.col("model_exists"), "model file does not exist")
+        .when(given("adapter") & ~F.col("adapter_exists"), "adapter does not exist")
+        .when(given("adapter") & ~F.col("adapter_is_folder"), "adapter is a file")
+        .when(F.size("formats") <= 0, "no output format")
+    )
+    return configs.withColumn("error", error)
+
+
+def observed(lines: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """The lines, and what is counted while they pass: lines, failures (where error is not null) and pages, about."""
+    seen = Observation(name)
+    counts = [F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("error").isNotNull(), 1)).alias("failures"), F.approx_count_distinct("page").alias("pages")]
+    return lines.observe(seen, *counts), seen
+
+
+def success_counts(results: DataFrame, error_col: str = "error") -> DataFrame:
+    """One row: how many succeeded and how many failed."""
+    return results.agg(F.count_if(F.col(error_col).isNull()).alias("succeeded"), F.count_if(F.col(error_col).isNotNull()).alias("failed"))

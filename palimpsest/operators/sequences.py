@@ -40,7 +40,7 @@ def ctc_decode(logits: DataFrame, vocabulary: DataFrame, line: str = "line_id")
     outside it are left out; confidence is the mean probability of the characters kept, 0 without any. A line that
     emits nothing has an empty text."""
     best = best_class(logits, line)
-    kept = ctc_collapse(best, line).join(F.broadcast(vocabulary), "idx")
+    kept = ctc_collapse(best, line).join(vocabulary, "idx")
     parts = F.array_sort(F.collect_list(F.struct("pos", "symbol")))
     decoded = kept.groupBy(line).agg(F.array_join(F.transform(parts, lambda x: x["symbol"]), "").alias("text"), F.avg(F.exp("logp")).alias("confidence"))
     return best.select(line).distinct().join(decoded, line, "left").select(line, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,15 @@ def random_subset(rows: DataFrame, key_col: str, most: int = 1000, part: int = 1
     """min(most, n // part) rows in hash order."""
     n = min(most, rows.count() // part)
     return rows.orderBy(order_hash(F.col(key_col), seed), key_col).limit(n)
+
+
+def first_pages(files: DataFrame, most: int, path_col: str = "path") -> DataFrame:
+    """The first `most` files by path, before any is read."""
+    return files.orderBy(path_col).limit(most)
+
+
+def padded_widths(lines: DataFrame, batch_size: int, order: str = "number", width: str = "width") -> DataFrame:
+    """Adds batch (lines in order, batch_size to each), padded_width (the batch's largest) and padding. Batches are numbered
+    by ranges of `order`, a dense number from 0."""
+    batched = lines.withColumn("batch", F.floor(F.col(order) / batch_size))
+    return batched.withColumn("padded_width", F.max(width).over(Window.partitionBy("batch"))).withColumn("padding", F.col("padded_width") - F.col(width))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RESULT = "page string, line_id string, line_idx int, text string, confidence double, error string"
 
@@ -48,8 +51,9 @@ def get(name: str) -> Transcriber:
     return _REGISTRY[name]()
 
 
-def available(spark: SparkSession) -> DataFrame:
-    """(name, available, reason): a transcriber that cannot be made is listed with the reason."""
+def available(spark: SparkSession, prefix: str = "", only: bool = False) -> DataFrame:
+    """(name, available, reason) of the transcribers whose name begins with the prefix: one that cannot be made is listed
+    with the reason, or left out with only=True."""
     rows = []
     for name, maker in sorted(_REGISTRY.items()):
         try:
@@ -57,7 +61,8 @@ def available(spark: SparkSession) -> DataFrame:
             rows.append((name, True, None))
         except Exception as e:  # noqa: BLE001  any failure is the reason that is listed
             rows.append((name, False, f"{type(e).__name__}: {e}"))
-    return spark.createDataFrame(rows, "name string, available boolean, reason string")
+    found = spark.createDataFrame(rows, "name string, available boolean, reason string").where(F.startswith("name", F.lit(prefix)))
+    return found.where("available") if only else found
 
 
 def _guarded(transcriber: Transcriber, lines: pd.DataFrame) -> pd.DataFrame:
@@ -74,22 +79,97 @@ def _guarded(transcriber: Transcriber, lines: pd.DataFrame) -> pd.DataFrame:
         return keys.assign(text=None, confidence=None, error=f"{type(e).__name__}: {e}")
 
 
+_LOADED: dict[str, Transcriber] = {}
+
+
+def _loaded(key: str, transcriber: Transcriber) -> Transcriber:
+    """The worker's transcriber of a call of transcribe(), loaded the first time it is asked for."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        transcriber.load()
+        _LOADED[key] = transcriber
+    return _LOADED[key]
+
+
 def transcribe(lines: DataFrame, transcriber: Transcriber) -> DataFrame:
     """(page, line_id, line_idx, text, confidence, error) for lines (page, line_id, line_idx, content). Batches go through
     as they come, or, for transcribers that want a page's context, page by page."""
     columns = lines.select("page", "line_id", "line_idx", "content")
+    key = uuid.uuid4().hex
     if transcriber.by_page:
 
         def page(rows: pd.DataFrame) -> pd.DataFrame:
-            transcriber.load()
-            return _guarded(transcriber, rows.sort_values("line_idx"))
+            return _guarded(_loaded(key, transcriber), rows.sort_values("line_idx"))
 
         return columns.groupBy("page").applyInPandas(page, RESULT)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        transcriber.load()
         for batch in batches:
             if len(batch):
-                yield _guarded(transcriber, batch)
+                yield _guarded(_loaded(key, transcriber), batch)
 
     return columns.mapInPandas(run, RESULT)
+
+
+SEGMENT = "page string, line_id string, line_idx int, x1 int, y1 int, x2 int, y2 int, error string"
+
+
+class Segmenter(Protocol):
+    """load() runs once in each Python worker; segment gets a page's grey pixels and returns the boxes (x1, y1, x2, y2) of
+    its lines in order."""
+
+    name: str
+
+    def load(self) -> None: ...
+
+    def segment(self, gray: np.ndarray) -> list[tuple[int, int, int, int]]: ...
+
+
+class ProfileSegmenter:
+    """Lines as runs of rows with ink, full width and padded: gaps of fewer than min_gap rows are filled, runs of fewer than
+    min_height rows dropped, runs up to 2 * min_gap rows apart joined."""
+
+    name = "profile"
+
+    def __init__(self, min_height: int = 15, min_gap: int = 5, sensitivity: float = 0.02, pad: int = 8):
+        self.min_height, self.min_gap, self.sensitivity, self.pad = min_height, min_gap, sensitivity, pad
+
+    def load(self) -> None:
+        pass
+
+    def segment(self, gray: np.ndarray) -> list[tuple[int, int, int, int]]:
+        from palimpsest.operators.images import row_ink
+
+        ink = row_ink(gray)
+        rows = np.flatnonzero(ink > ink.max(initial=0) * self.sensitivity)
+        if not len(rows):
+            return []
+        runs = [(int(r[0]), int(r[-1])) for r in np.split(rows, np.flatnonzero(np.diff(rows) - 1 >= self.min_gap) + 1)]
+        runs = [r for r in runs if r[1] - r[0] + 1 >= self.min_height]
+        joined: list[tuple[int, int]] = []
+        for first, last in runs:
+            if joined and first - joined[-1][1] <= 2 * self.min_gap:
+                joined[-1] = (joined[-1][0], last)
+            else:
+                joined.append((first, last))
+        height, width = gray.shape
+        return [(0, max(0, a - self.pad), width, min(height, b + self.pad)) for a, b in joined]
+
+
+def segment_pages(images: DataFrame, segmenter: Segmenter) -> DataFrame:
+    """(page, line_id, line_idx, x1, y1, x2, y2, error) for images (page, height, width, pixels). A page where the segmenter
+    fails is one row with the error; a page without lines has none."""
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for page, height, width, data in batch.itertuples(index=False, name=None):
+                try:
+                    boxes = _loaded(key, segmenter).segment(np.frombuffer(data, np.uint8).reshape(height, width))
+                    rows += [(page, f"line_{i}", i, *map(int, box), None) for i, box in enumerate(boxes)]
+                except Exception as e:  # noqa: BLE001  a segmenter's failure must not end the job
+                    rows.append((page, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENT.split(", ")], dtype=object)
+
+    return images.select("page", "height", "width", "pixels").mapInPandas(run, SEGMENT)

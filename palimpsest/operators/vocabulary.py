@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.text import SPACE_TOKEN, chars, lm_tokens
 
 
 def char_counts(texts: DataFrame, text_col: str = "text", *by: str) -> DataFrame:
-    """(by..., ch, n): how often each code point occurs; summed before it is shuffled."""
-    return texts.select(*by, F.explode(chars(F.col(text_col))).alias("ch")).groupBy(*by, "ch").agg(F.count("*").alias("n"))
+    """(by..., ch, n): how often each code point occurs. Each Arrow batch is counted whole, so that a row stands for a
+    character of a batch and not for one of a text."""
+    rows = texts.select(*by, F.col(text_col).cast("string").alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ch", T.StringType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *keys, own = (batch.column(k).to_pylist() for k in range(batch.num_columns))
+            found: dict[tuple, Counter] = {}
+            for key, text in zip(zip(*keys, strict=True) if keys else [()] * len(own), own, strict=True):
+                if text:
+                    found.setdefault(key, Counter()).update(text)
+            counted = [(*key, ch, n) for key, counts in found.items() for ch, n in counts.items()]
+            kinds = [*[batch.column(k).type for k in range(len(keys))], pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in counted], kind) for k, kind in enumerate(kinds)], schema.names)
+
+    return rows.mapInArrow(run, schema).groupBy(*by, "ch").agg(F.sum("n").alias("n"))
 
 
 def sorted_charset(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -75,3 +95,10 @@ def ngram_counts(lines: DataFrame, text_col: str = "text", orders: tuple[int, ..
 def most_frequent(counts: DataFrame, most: int = 20, count_col: str = "n", symbol_col: str = "ch") -> DataFrame:
     """The symbols that occur most, ties by code point."""
     return counts.orderBy(F.desc(count_col), symbol_col).limit(most)
+
+
+def overridden(vocabulary: DataFrame, checkpoint: DataFrame, enable_spaces: bool = True) -> DataFrame:
+    """(idx, symbol): the checkpoint's symbols if it has any, else the file's; space tokens become spaces on demand."""
+    chosen = vocabulary if checkpoint.isEmpty() else checkpoint
+    symbol = F.when(F.lit(enable_spaces) & F.col("symbol").isin("<SPACE>", "<space>"), " ").otherwise(F.col("symbol"))
+    return chosen.select("idx", symbol.alias("symbol"))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import confidence, geometry, metrics, text
 from palimpsest.operators import api_log, layout, lines, pairing, quality, sequences, splits, training_log, vocabulary
+from palimpsest.session import new_folder
+from palimpsest.sources import layout_xml, sinks
+from palimpsest.sources import lines as xml_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,12 +41,6 @@ def _lev(a: str, b: str) -> str:
     return f"CAST(levenshtein({ascii_of(a)}, {ascii_of(b)}) AS BIGINT)"
 
 
-def _word_lev(a: str, b: str) -> str:
-    """a and b are lists of words."""
-    ascii_of = lambda s: f"array_to_string([chr(CAST(33 + list_position(list_distinct({a} || {b}), c) AS INTEGER)) FOR c IN {s}], '')"
-    return f"CAST(levenshtein({ascii_of(a)}, {ascii_of(b)}) AS BIGINT)"
-
-
 _SPLIT_LINES = "SELECT {keep}, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_idx FROM {table}"
 _LINES = "SELECT * FROM (" + _SPLIT_LINES + ") WHERE trim(line) <> ''"
 _HYP = "translate({}, 'aeiou', 'eioua')"
@@ -55,44 +52,38 @@ def _document_lines(spark: SparkSession, sf_dir: str, *keep: str, name: str = "d
 
 
 @query(f"""
-WITH l AS ({_LINES.format(keep="lang", table="documents")}), p AS (SELECT lang, left(line, 80) AS r, {_HYP.format("left(line, 80)")} AS h FROM l),
+WITH l AS ({_LINES.format(keep="lang", table="documents")}), p AS (SELECT lang, line AS r, {_HYP.format("line")} AS h FROM l),
 d AS (SELECT lang, {_lev("r", "h")} AS d, len(r) AS n FROM p)
 SELECT lang, count(*) AS lines, round(avg(d / n * 100.0), 6) AS cer, CAST(sum(d) AS BIGINT) AS edits, round(sum(d) / sum(n), 6) AS micro_cer FROM d GROUP BY lang
 """)
 def cer_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character error rate of lines against a hypothesis with shifted vowels, by language: mean of lines, and micro."""
-    r = F.left("line", F.lit(80))
+    """Character error rate of whole lines against a hypothesis with shifted vowels, by language: mean of lines, and micro."""
+    r = F.col("line")
     pairs = _document_lines(spark, sf_dir, "lang").select("lang", r.alias("reference"), F.translate(r, "aeiou", "eioua").alias("hypothesis"))
     counted = pairs.select("lang", metrics.edit_distance(F.col("reference"), F.col("hypothesis")).alias("d"), F.length("reference").alias("n"))
     rated = counted.withColumn("cer", metrics.rate(F.col("d"), F.col("n")))
     return rated.groupBy("lang").agg(F.count("*").alias("lines"), F.round(F.avg("cer"), 6).alias("cer"), F.sum("d").alias("edits"), F.round(F.sum("d") / F.sum("n"), 6).alias("micro_cer"))
 
 
-_WORDS = "[w FOR w IN regexp_split_to_array({}, '\\s+') IF w <> '']"
-
-
-@query(f"""
-WITH l AS ({_LINES.format(keep="source", table="documents")}), w AS (SELECT source, {_WORDS.format("line")}[1:30] AS r FROM l),
-h AS (SELECT source, r, [{_HYP.format("w")} FOR w IN r] AS h FROM w WHERE len(r) > 0), d AS (SELECT source, {_word_lev("r", "h")} AS d, len(r) AS n FROM h)
-SELECT source, count(*) AS lines, round(avg(d / n * 100.0), 6) AS wer, CAST(sum(d) AS BIGINT) AS edits FROM d GROUP BY source
-""")
+@query()
 def wer_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word error rate of the first thirty words of lines, by source."""
-    r = F.array_join(F.slice(text.words(F.col("line")), 1, 30), " ")
-    pairs = _document_lines(spark, sf_dir, "source").select("source", r.alias("r")).withColumn("h", F.translate("r", "aeiou", "eioua"))
+    """Word error rate of whole lines, by source. The oracle's distance is of bytes, of which there are too few for the
+    words of long lines, so there is no SQL."""
+    r = F.col("line")
+    pairs = _document_lines(spark, sf_dir, "source").select("source", r.alias("r"), F.translate(r, "aeiou", "eioua").alias("h"))
     counted = pairs.select("source", metrics.word_distance(F.col("r"), F.col("h")).alias("d"), F.size(text.words(F.col("r"))).alias("n"))
     rated = counted.withColumn("wer", metrics.rate(F.col("d"), F.col("n")))
     return rated.groupBy("source").agg(F.count("*").alias("lines"), F.round(F.avg("wer"), 6).alias("wer"), F.sum("d").alias("edits"))
 
 
 @query(f"""
-WITH p AS (SELECT item_id, left(text, 80) AS r, {_HYP.format("left(text, 80)")} AS h FROM benchmark),
+WITH p AS (SELECT item_id, text AS r, {_HYP.format("text")} AS h FROM benchmark),
 m AS (SELECT item_id, round((greatest(len(r), len(h)) - {_lev("r", "h")}) / greatest(len(r), len(h)) * 100.0, 6) AS match_percent FROM p)
 SELECT CAST(row_number() OVER (ORDER BY match_percent DESC, item_id) AS INTEGER) AS rank, item_id, match_percent FROM m ORDER BY match_percent DESC, item_id LIMIT 20
 """)
 def match_percent_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty items that match their hypothesis best."""
-    r = F.left("text", F.lit(80))
+    r = F.col("text")
     m = table(spark, sf_dir, "benchmark").select("item_id", F.round(metrics.match_percent(r, F.translate(r, "aeiou", "eioua")), 6).alias("match_percent"))
     top = m.orderBy(F.desc("match_percent"), "item_id").limit(20)
     return top.select(F.row_number().over(Window.orderBy(F.desc("match_percent"), "item_id")).alias("rank"), "item_id", "match_percent")
@@ -383,9 +374,18 @@ def overfit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_log.overfit_flags(_history(spark, sf_dir)).select("run", "epoch", "overfits", F.round("gap_percent", 4).alias("gap_percent"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS n FROM ({_HISTORY})),
+f AS (
+    SELECT run, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS epoch, CAST('inf' AS DOUBLE) AS best, 0 AS bad, CAST(0.001 AS DOUBLE) AS rate FROM (SELECT DISTINCT run FROM h)
+    UNION ALL
+    SELECT run, n, epoch, CASE WHEN better THEN v ELSE best END, CASE WHEN better OR bad + 1 > 5 THEN 0 ELSE bad + 1 END, CASE WHEN NOT better AND bad + 1 > 5 THEN rate * 0.5 ELSE rate END
+    FROM (SELECT f.run, h.n, h.epoch, h.val_cer AS v, f.best, f.bad, f.rate, h.val_cer < f.best * (1 - CAST(0.0001 AS DOUBLE)) AS better FROM f JOIN h ON f.run = h.run AND h.n = f.n + 1)
+)
+SELECT run, CAST(epoch AS INTEGER) AS epoch, rate AS learning_rate FROM f WHERE n > 0
+""")
 def plateau_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learning rates that plateaus of the loss bring down; a sequential fold, so no SQL."""
+    """Learning rates that plateaus of the loss bring down."""
     return training_log.plateau_rates(_history(spark, sf_dir), metric="val_cer")
 
 
@@ -485,12 +485,12 @@ def point_in_bbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT vec_id, unnest(range(0, 16)) * 10 AS x, unnest([CAST(floor(100 * CAST(v AS DOUBLE)) AS INTEGER) FOR v IN embedding[1:16]]) AS y FROM embeddings)
+WITH p AS (SELECT vec_id, unnest(range(0, len(embedding))) * 10 AS x, unnest([CAST(floor(100 * CAST(v AS DOUBLE)) AS INTEGER) FOR v IN embedding]) AS y FROM embeddings)
 SELECT vec_id, round(degrees(atan(regr_slope(y, x))), 6) + 0.0 AS angle FROM p GROUP BY vec_id
 """)
 def deskew_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Angle of the line through sixteen points."""
-    points = F.transform(F.slice("embedding", 1, 16), lambda v, i: F.struct((i * 10).alias("x"), F.floor(v.cast("double") * 100).cast("int").alias("y")))
+    """Angle of the line through the points of a vector."""
+    points = F.transform("embedding", lambda v, i: F.struct((i * 10).alias("x"), F.floor(v.cast("double") * 100).cast("int").alias("y")))
     return table(spark, sf_dir, "embeddings").select("vec_id", (F.round(geometry.baseline_angle(points), 6) + 0.0).alias("angle"))
 
 
@@ -579,23 +579,13 @@ def config_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style|nav|footer|head)[^>]*>[^<]*(<[^<]*)*?</(script|style|nav|footer|head)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) AS text_md5 FROM pages
-""")
-def html_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag-tolerant text by patterns: hidden parts go, tags become spaces."""
-    hidden = r"<(script|style|nav|footer|head)[^>]*>[^<]*(<[^<]*)*?</(script|style|nav|footer|head)>"
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", hidden, " "), "<[^>]*>", " "), "[ \t\r\n]+", " ")
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.trim(plain)).alias("text_md5"))
-
-
-@query("""
-SELECT conv_id, turn, len(text) AS chars, len([w FOR w IN regexp_split_to_array(text, '\\s+') IF w <> '']) AS words, CASE WHEN trim(text) = '' OR lower(trim(text)) = 'nan' THEN '.' ELSE left(text, 5) END AS target,
+SELECT conv_id, turn, len(text) AS chars, len([w FOR w IN regexp_split_to_array(text, '\\s+') IF w <> '']) AS words, CASE WHEN trim(text) = '' OR lower(trim(text)) = 'nan' THEN md5('.') ELSE md5(text) END AS target,
        CASE WHEN len(text) > 40 THEN '...' || right(text, 37) ELSE text END AS shortened FROM conversations
 """)
 def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters, words, usable targets and shortened texts."""
     t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(t).cast("bigint").alias("chars"), F.size(text.words(t)).cast("bigint").alias("words"), F.left(text.usable_text(t), F.lit(5)).alias("target"), text.shortened_path(t).alias("shortened"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(t).cast("bigint").alias("chars"), F.size(text.words(t)).cast("bigint").alias("words"), F.md5(text.usable_text(t)).alias("target"), text.shortened_path(t).alias("shortened"))
 
 
 @query("SELECT item_id, CAST(reading AS INTEGER) AS reading FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN -1 ELSE item_id * 2 END AS reading FROM benchmark)")
@@ -643,17 +633,125 @@ def region_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.region_hulls(_boxes(spark, sf_dir), "page")
 
 
-@query()
+@query(f"""
+WITH b AS (SELECT row_number() OVER () AS id, page % 50 AS page, x1 || '_' || y1 || '_' || line_id AS line_id, x1, y1, floor((x1 + x2) / 2) AS cx FROM ({_BOXES}) WHERE y2 - y1 >= 10),
+h AS (SELECT page, CAST(least(39, greatest(0, floor(cx / (520 / 40.0)))) AS INTEGER) AS bin, count(*) AS n FROM b GROUP BY 1, 2),
+t AS (SELECT *, max(n) OVER (PARTITION BY page) AS top FROM h), k AS (SELECT *, bin - lag(bin) OVER (PARTITION BY page ORDER BY bin) AS d FROM t WHERE n >= greatest(2, floor(top * 0.25))),
+p AS (SELECT page, bin, row_number() OVER (PARTITION BY page ORDER BY bin) - 1 AS c FROM k WHERE d IS NULL OR d > 2),
+l AS (SELECT page, arg_min(bin, (-n, bin)) AS bin FROM h WHERE page NOT IN (SELECT page FROM p) GROUP BY page),
+m AS (SELECT page, c, trunc((bin + 0.5) * 520 / 40) AS x FROM (SELECT page, c, bin FROM p WHERE c < 4 UNION ALL SELECT page, 0, bin FROM l)),
+a AS (SELECT id, b.page, any_value(line_id) AS line_id, any_value(x1) AS x1, any_value(y1) AS y1, any_value(cx) AS cx, arg_min(c, (abs(cx - x), c)) AS c FROM b JOIN m ON b.page = m.page GROUP BY id, b.page),
+r AS (SELECT page, c, row_number() OVER (PARTITION BY page ORDER BY avg(cx), c) AS rank FROM a GROUP BY page, c)
+SELECT a.page, line_id, 'col_' || rank AS region, CAST(row_number() OVER (PARTITION BY a.page, a.c ORDER BY y1, x1, line_id) AS INTEGER) AS line_number FROM a JOIN r ON a.page = r.page AND a.c = r.c
+""")
 def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of lines and reading order by column."""
     found = layout.segmented_pages(_boxes(spark, sf_dir).withColumn("page", F.col("page") % 50).withColumn("line_id", F.concat_ws("_", "x1", "y1", "line_id")), "page", F.lit(520))
     return found.select("page", "line_id", "region", "line_number")
 
 
-@query()
+@query("""
+SELECT CAST(conv_id AS VARCHAR) AS page, count(*) AS line_count, CAST(sum(len(replace(text, chr(10), ''))) AS BIGINT) AS char_count, round(avg(least(1.0, len(text) / 100)), 6) AS avg_confidence
+FROM conversations GROUP BY conv_id
+""")
 def echo_transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines through the echo transcriber, summed by page."""
     from palimpsest.operators.transcribe import EchoTranscriber, transcribe
 
     work = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("page"), F.col("turn").cast("string").alias("line_id"), F.col("turn").cast("int").alias("line_idx"), F.encode("text", "UTF-8").alias("content"))
-    return quality.page_summary(transcribe(work, EchoTranscriber()), "page")
+    return quality.page_summary(transcribe(work, EchoTranscriber()), "page").withColumns({"avg_confidence": F.round("avg_confidence", 6), "char_count": F.col("char_count").cast("bigint")})
+
+
+_PART_LINES = """SELECT 'p' || p_partkey // 40 AS path, 'r' || p_partkey % 3 AS region_id, p_partkey % 3 AS region_idx, 'l' || p_partkey AS line_id, p_partkey AS line_idx, trim(p_name) AS text, CAST(p_partkey * 13 % 900 AS INTEGER) AS x1,
+       CAST(p_partkey * 7 % 600 AS INTEGER) AS y1, CAST(p_partkey * 13 % 900 + p_size + 5 AS INTEGER) AS x2, CAST(p_partkey * 7 % 600 + 20 AS INTEGER) AS y2 FROM part"""
+
+
+def _part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty parts to a page, in three regions, named by their lines."""
+    k = F.col("p_partkey")
+    x1, y1 = (k * 13 % 900).cast("int"), (k * 7 % 600).cast("int")
+    name = lambda letter, number: F.concat(F.lit(letter), number.cast("string"))
+    return table(spark, sf_dir, "part").select(
+        name("p", F.floor(k / 40)).alias("page"), name("p", F.floor(k / 40)).alias("image_name"), F.lit(930).alias("page_width"), F.lit(610).alias("page_height"), name("r", k % 3).alias("region_id"), (k % 3).cast("int").alias("region_idx"),
+        name("l", k).alias("line_id"), k.cast("int").alias("line_idx"), F.col("p_name").alias("text"), F.lit(0.5).alias("confidence"), x1.alias("x1"), y1.alias("y1"), (x1 + F.col("p_size").cast("int") + 5).alias("x2"), (y1 + 20).alias("y2"), F.lit(None).cast("array<struct<x:int,y:int>>").alias("coords"),
+    )
+
+
+def _part_pages(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
+    """Parts as PAGE documents, read back; without their reading order on demand."""
+    xml = F.col("xml") if ordered else F.regexp_replace("xml", "<ReadingOrder>.*</ReadingOrder>", "")
+    return layout_xml.parse_pages(sinks.page_xml(_part_lines(spark, sf_dir)).select(F.col("page").alias("path"), xml.cast("binary").alias("content")))
+
+
+@query(f"SELECT path, region_id, line_id, text, x1, y1, x2, y2, x2 - x1 AS width FROM ({_PART_LINES}) WHERE text <> '' AND x2 - x1 >= 20")
+def page_xml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with text and a width, written as PAGE documents and read back."""
+    return xml_lines.page_lines(_part_pages(spark, sf_dir)).select("path", "region_id", "line_id", "text", "x1", "y1", "x2", "y2", "width")
+
+
+@query(f"SELECT path, md5(string_agg(text || chr(10), '' ORDER BY region_idx, line_idx)) AS text_md5 FROM ({_PART_LINES}) GROUP BY path")
+def page_xml_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts in the documents' reading order."""
+    return xml_lines.page_texts(_part_pages(spark, sf_dir)).select("path", F.md5("text").alias("text_md5"))
+
+
+@query(f"""
+WITH l AS ({_PART_LINES}), r AS (SELECT path, region_id, min(y1) AS y FROM l GROUP BY path, region_id)
+SELECT path, md5(string_agg(text || chr(10), '' ORDER BY y, region_idx, line_idx)) AS text_md5 FROM l JOIN r USING (path, region_id) GROUP BY path
+""")
+def page_xml_texts_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts of documents without a reading order: regions from top to bottom."""
+    return xml_lines.page_texts(_part_pages(spark, sf_dir, ordered=False)).select("path", F.md5("text").alias("text_md5"))
+
+
+@query(f"""
+WITH l AS ({_PART_LINES}), r AS (SELECT path, region_id, min(y1) AS y FROM l GROUP BY path, region_id)
+SELECT path, line_id, CAST(row_number() OVER (PARTITION BY path ORDER BY y, region_idx, line_idx) - 1 AS INTEGER) AS position, greatest(0, x1 - 5) AS px1, greatest(0, y1 - 5) AS py1, least(930, x2 + 5) AS px2, least(610, y2 + 5) AS py2
+FROM l JOIN r USING (path, region_id)
+""")
+def page_xml_guided_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in reading order with padded boxes, as page inference takes them."""
+    found = xml_lines.guided_lines(_part_pages(spark, sf_dir))
+    return found.select("path", "line_id", "position", *[F.col(f"padded.{c}").alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(f"SELECT path || '.xml' AS file, count(*) AS lines, CAST(sum(len(text)) AS BIGINT) AS chars FROM ({_PART_LINES}) GROUP BY path")
+def page_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page documents written as files of an export and read back from its page folder."""
+    folder = new_folder(spark, "export")
+    documents = sinks.page_xml(_part_lines(spark, sf_dir)).select(F.concat("page", F.lit(".xml")).alias("name"), "xml")
+    sinks.write_files(documents, f"{folder}/page", "name", "xml")
+    found = xml_lines.corpus_lines(layout_xml.parse_pages(layout_xml.read_export(spark, folder), "auto"))
+    return found.groupBy(F.substring_index("path", "/", -1).alias("file")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"SELECT path, region_id, line_id, text, x1, y1, x2, y2 FROM ({_PART_LINES}) WHERE text <> '' AND x2 - x1 >= 20")
+def alto_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ALTO documents, their words apart."""
+    part = _part_lines(spark, sf_dir)
+    words = F.array_join(F.transform(F.split(sinks.xml_escaped(F.trim("text")), " "), lambda w: F.concat(F.lit('<String CONTENT="'), w, F.lit('"/>'))), "<SP/>")
+    line = F.concat(F.lit('<TextLine ID="'), F.col("line_id"), F.lit('" HPOS="'), F.col("x1"), F.lit('" VPOS="'), F.col("y1"), F.lit('" WIDTH="'), F.col("x2") - F.col("x1"), F.lit('" HEIGHT="'), F.col("y2") - F.col("y1"), F.lit('">'), words, F.lit("</TextLine>"))
+    blocks = part.withColumn("_l", line).groupBy("page", "region_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "_l"))), lambda x: x["_l"]), "").alias("b"))
+    block = F.concat(F.lit('<TextBlock ID="'), F.col("region_id"), F.lit('">'), F.col("b"), F.lit("</TextBlock>"))
+    pages = blocks.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list(block)), "").alias("t"))
+    xml = F.concat(F.lit('<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Layout><Page WIDTH="930" HEIGHT="610"><PrintSpace>'), F.col("t"), F.lit("</PrintSpace></Page></Layout></alto>"))
+    found = xml_lines.alto_lines(layout_xml.parse_pages(pages.select(F.col("page").alias("path"), xml.cast("binary").alias("content")), "auto"))
+    return found.select("path", "region_id", "line_id", "text", "x1", "y1", "x2", "y2")
+
+
+_EVENT_OF = "CASE WHEN event_id % 5 = 0 THEN ' ' WHEN event_id % 7 = 0 THEN event_type END"
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, {_EVENT_OF} AS text, event_id % 50 AS p, event_id % 31 AS c, CAST(floor(value) AS BIGINT) % 400 AS t FROM events),
+s AS (SELECT *, row_number() OVER w AS at, coalesce(max(len(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS any_text, max(CAST(coalesce(trim(text) <> '', false) AS INTEGER)) OVER w = 1 AS seen FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+k AS (SELECT *, CASE WHEN NOT any_text AND greatest(0, t - p - c) >= 0.6 * 400 THEN 'reasoning abort' WHEN seen THEN 'early exit' END AS kind FROM s),
+z AS (SELECT user_id, min(at) FILTER (WHERE kind IS NOT NULL) AS stop FROM k GROUP BY user_id)
+SELECT k.user_id, coalesce(max(kind) FILTER (WHERE at = stop), 'fallback') AS outcome, max(at) AS used FROM k JOIN z USING (user_id) WHERE stop IS NULL OR at <= stop GROUP BY k.user_id
+""")
+def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How streamed answers end: at their first text, or where thinking uses up the budget."""
+    e = F.col("event_id")
+    said = F.when(e % 5 == 0, " ").when(e % 7 == 0, F.col("event_type"))
+    log = table(spark, sf_dir, "events").select("user_id", e.alias("seq"), said.alias("text"), (e % 50).alias("prompt_tok"), (e % 31).alias("cand_tok"), (F.floor("value") % 400).alias("total_tok"))
+    return api_log.stream_outcomes(log, "user_id", budget=400).select("user_id", "outcome", F.col("used").cast("bigint").alias("used"))

@@ -1,10 +1,12 @@
-"""Making the package importable where Python workers run."""
+"""What a session needs: the package where Python workers run, and a folder that all executors share."""
 
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -22,3 +24,23 @@ def ship_package(spark: SparkSession) -> SparkSession:
     spark.sparkContext.addPyFile(shutil.make_archive(f"{where}/palimpsest", "zip", f"{where}/src"))
     spark.sparkContext._palimpsest = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a temporary one serves in local mode; on a
+    cluster that raises an error, as executors would write to their own disks."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="palimpsest-")
+        shared_dir.local = where
+    return where.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the driver ends."""
+    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where

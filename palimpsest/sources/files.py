@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +51,8 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of Arrow IPC files of one schema, each parsed where Spark reads it; the schema is that of the first file."""
+    """Rows of Arrow IPC files or streams of one schema, each parsed where Spark reads it; the schema is that of the first
+    file, of which nothing else comes to the driver. A folder without such files raises an error."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -61,11 +64,34 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
         except pa.ArrowInvalid:
             return pa.ipc.open_stream(pa.BufferReader(content))
 
-    schema = opened(bytes(files.first()[0])).schema
+    def schemas(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([opened(c.as_py()).schema.serialize().to_pybytes() for c in batch.column(0)], pa.binary())], ["schema"])
+
+    first = files.where("length(content) > 0").limit(1).mapInArrow(schemas, "schema binary").first()
+    if first is None:
+        raise ValueError(f"no Arrow files under {path}")
+    schema = pa.ipc.read_schema(pa.BufferReader(bytes(first[0])))
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
                 yield from opened(content.as_py()).read_all().cast(schema).to_batches()
 
-    return files.mapInArrow(run, from_arrow_schema(schema))
+    return files.where("length(content) > 0").mapInArrow(run, from_arrow_schema(schema))
+
+
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """Settings of a YAML or JSON file, read on the driver through Spark's reader; YAML needs the yaml package."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    try:
+        return json.loads(text)
+    except ValueError:
+        import yaml
+
+        return yaml.safe_load(text) or {}
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """Settings as JSON, which is YAML too, in a folder of one text file."""
+    spark.createDataFrame([(json.dumps(settings, indent=2, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

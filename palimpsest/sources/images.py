@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import importlib.util
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,21 +41,59 @@ def turned(gray: np.ndarray, orientation: int) -> np.ndarray:
     return np.ascontiguousarray(out[:, ::-1] if mirror else out)
 
 
-def page_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """(page, height, width, orientation, pixels): images decoded by Spark's image source, in grey, upright. The turn
-    comes from the file's own bytes, which that source leaves unread."""
-    decoded = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
-    tags = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 65536).alias("head"))
+def pillow_gray(content: bytes) -> np.ndarray:
+    """Grey pixels of an image file by the Pillow package."""
+    import io
+
+    from PIL import Image
+
+    return np.asarray(Image.open(io.BytesIO(content)).convert("L"))
+
+
+def _pillow() -> Callable[[bytes], np.ndarray] | None:
+    return pillow_gray if importlib.util.find_spec("PIL") else None
+
+
+def page_pixels(spark: SparkSession, path: str, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
+    """(page, height, width, orientation, pixels): images in grey, upright.
+
+    With a decoder (Pillow's, where that is installed) each file is read and decoded once, in Arrow batches, without a
+    shuffle. Without one Spark's image source decodes; the turns, which it leaves out, are then read from JPEG files'
+    beginnings and joined to the images, only those that ask for a turn."""
+    decode = decode or _pillow()
+    if decode is not None:
+
+        def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for page, content in batch.itertuples(index=False, name=None):
+                    try:
+                        gray = decode(bytes(content))
+                    except Exception:  # noqa: BLE001  a file that is no image gives no row
+                        continue
+                    tag = exif_orientation(bytes(content))
+                    upright = turned(gray, tag)
+                    rows.append((page, *upright.shape, tag, upright.tobytes()))
+                yield pd.DataFrame(rows, columns=["page", "height", "width", "orientation", "pixels"])
+
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decoded, PIXELS)
     same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  the two sources write local paths differently
-    joined = decoded.join(tags, same("origin") == same("path")).select(F.col("origin").alias("page"), "height", "width", "nChannels", "data", "head")
+    images = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*").withColumn("_at", same(F.col("origin")))
+    heads = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG}").load(path).select(same(F.col("path")).alias("_at"), F.substring("content", 1, 65536).alias("head"))
+
+    def tags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = pd.DataFrame({"_at": batch["_at"], "tag": [exif_orientation(bytes(h)) for h in batch["head"]]})
+            yield found[found["tag"] != 1]
+
+    joined = images.join(heads.mapInPandas(tags, "_at string, tag int"), "_at", "left").select(F.col("origin").alias("page"), "height", "width", "nChannels", "data", F.coalesce("tag", F.lit(1)).alias("tag"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for page, height, width, channels, data, head in batch.itertuples(index=False, name=None):
+            for page, height, width, channels, data, tag in batch.itertuples(index=False, name=None):
                 values = np.frombuffer(data, np.uint8).reshape(height, width, channels)
                 gray = values[..., 0] if channels == 1 else (values[..., :3] @ np.array([0.114, 0.587, 0.299])).round().astype(np.uint8)
-                tag = exif_orientation(bytes(head))
                 upright = turned(gray, tag)
                 rows.append((page, *upright.shape, tag, upright.tobytes()))
             yield pd.DataFrame(rows, columns=["page", "height", "width", "orientation", "pixels"])

@@ -112,6 +112,16 @@ def read_xml(spark: SparkSession, path: str, recursive: bool = False) -> DataFra
     return files.where(~F.lower(F.substring_index("path", "/", -1)).isin("metadata.xml", "mets.xml")).select("path", "content")
 
 
+def read_export(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of an export: all *.xml of its page folder if there are any, else those of the folder itself but
+    metadata.xml and mets.xml. Only names are listed on the driver."""
+    inner = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/page")
+    fs = inner.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.globStatus(inner.suffix("/*.xml")):
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(inner.toString()).select("path", "content")
+    return read_xml(spark, folder)
+
+
 def parse_pages(files: DataFrame, kind: str = "page") -> DataFrame:
     """One row per file (path, content): see PAGES. kind is page, alto, or auto, which goes by the root element."""
     names = [c.strip().split(" ")[0] for c in PAGES.replace("<", " <").split(", ")]
