@@ -133,10 +133,11 @@ def calibrate(scores: list[tuple[float, bool]]) -> float:
 
 
 def windows(text: Column, order: int) -> Column:
-    """(i, context, c) of each character of ^text$ but the first; the context is the up to `order` characters before it."""
-    whole = F.concat(F.lit("^"), text, F.lit("$"))
-    cut = lambda i: F.struct(i.alias("i"), F.substring(whole, F.greatest(i - order, F.lit(0)) + 1, F.least(i, F.lit(order))).alias("context"), F.substring(whole, i + 1, F.lit(1)).alias("c"))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), cut)
+    """(i, context, c) of each character of ^text$ but the first; the context is the up to `order` characters before it. The
+    text is split once, as to cut pieces out of a string takes time by their place."""
+    whole = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
+    cut = lambda cs, i: F.struct(i.alias("i"), F.array_join(F.slice(cs, F.greatest(i - order, F.lit(0)) + 1, F.least(i, F.lit(order))), "").alias("context"), F.get(cs, i).alias("c"))
+    return F.flatten(F.transform(F.array(whole), lambda cs: F.transform(F.sequence(F.lit(1), F.size(cs) - 1), lambda i: cut(cs, i))))
 
 
 def _shorter(df: DataFrame, *keep: str) -> DataFrame:
