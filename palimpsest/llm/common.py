@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.session import new_folder
+
 WORD = re.compile(r"\w+")
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -33,27 +33,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset a temporary one serves in local mode; on a
-    cluster that raises an error, as executors would write to their own disks."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="palimpsest-")
-        shared_dir.local = where
-    return where.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation of what came before them."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, new_folder(spark, name), 0
         self.held: list[DataFrame] = []
         self.written: list[tuple[DataFrame, str]] = []
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def cut(self, df: DataFrame, *partition_by: str) -> DataFrame:
         """Writes df as Parquet and reads it back: the lineage ends here and both sides of a later join get their own exchange."""
