@@ -68,7 +68,8 @@ def bigrams(text: Column) -> Column:
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per unit and template whose Dice coefficient reaches the threshold: doc_id, unit (line, paragraph or
     document), unit_no (from 0, among units of its kind; a document is 0), license_id, template, dice. Ties all stay.
-    Null, empty and wordless texts match nothing; repeated rows are reported each.
+    Null, empty and wordless texts match nothing; repeated rows are reported each, null ids stay null; other columns are not
+    read.
 
     Each template is listed under every size it can match, so that the size bounds are an equality and the join with
     the bounded template table is a broadcast hash join."""

@@ -106,8 +106,8 @@ def piece_vocabulary(model_path: str) -> tuple[list[str], list[str]]:
 
 def count_tokens(docs: DataFrame, vocabulary: tuple[list[str], list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words (runs of word characters, and other visible characters one by one), n_tokens,
-    n_unknown (words that are one unknown token). All are 0 for null and empty texts. Repeated rows are counted each.
-    One pass, no shuffle; the vocabulary, of some ten thousand pieces, is sent to the workers."""
+    n_unknown (words that are one unknown token). All are 0 for null and empty texts. Repeated rows are counted each, null
+    ids stay null; other columns are not read. One pass, no shuffle; the vocabulary, of some ten thousand pieces, is sent to the workers."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
 

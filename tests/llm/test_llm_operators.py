@@ -46,6 +46,8 @@ def test_licenses_against_brute_force(spark):
                 want.append((i, unit, k, t.license_id, t.name, d))
     assert got == sorted(want) and len(want) > 50
     assert licenses.scan(docs_of(spark, [""]).limit(0)).count() == 0
+    one = docs_of(spark, ["All rights reserved."]).withColumn("doc_id", F.lit(None).cast("bigint"))
+    assert [(r.doc_id, r.license_id) for r in licenses.scan(one.unionByName(one)).collect()] == [(None, "proprietary")] * 2
 
 
 # --- 2 top-k
@@ -313,10 +315,13 @@ def test_token_counts(spark):
     vocabulary = token_counts.piece_vocabulary(piece_model())
     texts = [None, "", "the the, tokens!", "日本 x", "a" * 5000]
     starting, going_on = map(set, vocabulary)
-    rows = {r.doc_id: r for r in token_counts.count_tokens(docs_of(spark, texts), vocabulary).collect()}
+    rows = {r.doc_id: r for r in token_counts.count_tokens(docs_of(spark, texts, extra=True).withColumns({"n_words": F.lit(9), "n_tokens": F.lit("x")}), vocabulary).collect()}
     for i, text in enumerate(texts):
         each = [greedy(w, starting, going_on) for w in re.findall(r"\w+|[^\w\s]", text or "")]
         assert (rows[i].n_words, rows[i].n_tokens, rows[i].n_unknown) == (len(each), sum(1 if n is None else n for n in each), each.count(None))
+    twice = docs_of(spark, ["the the"]).unionByName(docs_of(spark, ["the the"]).withColumn("doc_id", F.lit(None).cast("bigint")))
+    assert sorted((str(r.doc_id), r.n_words) for r in token_counts.count_tokens(twice.unionByName(twice), vocabulary).collect()) == [("0", 2)] * 2 + [("None", 2)] * 2
+    assert token_counts.count_tokens(twice.limit(0), vocabulary).count() == 0
 
 
 # --- 7 near-duplicates
@@ -505,7 +510,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted((i or 0, size(h), digest(h), "revisit" if i in first else "response", first.get(i)) for i, _, h in rows)
     warc.write_archives(pages, str(tmp_path / "w"))
     records = warc.read_archives(spark, str(tmp_path / "w"))
-    assert records.count() == 3 * len(rows)
+    assert records.count() == 3 * len(rows) == records.select("record_id").distinct().count()
+    named = records.where("refers_to is not null").select(F.col("refers_to").alias("record_id")).distinct()
+    assert named.join(records.where("record_type = 'response'"), "record_id").count() == named.count() == 2
+    import gzip
+    import zlib
+
+    files = list((tmp_path / "w").glob("*.warc.gz"))
+    data = b"".join(f.read_bytes() for f in files)
+    assert files and gzip.decompress(data).count(b"WARC/1.1\r\nWARC-Type") == 3 * len(rows)
+    members = []
+    while data:
+        one = zlib.decompressobj(31)
+        members.append(one.decompress(data))
+        data = one.unused_data
+    assert sorted(m.startswith(b"WARC/1.1") and m.endswith(b"\r\n\r\n") for m in members if m) == [True] * 3 * len(rows)
     payloads = sorted(bytes(r.payload).decode() for r in records.where("record_type = 'response'").collect())
     assert payloads == sorted(h or "" for i, _, h in rows if i not in first)
     capture = warc.assemble(records).where("response.target_uri like '%org%'").first()
@@ -528,6 +547,32 @@ def test_foreign_archives(spark, tmp_path):
     assert got[0].response.fields["a"] == "b c"
     with pytest.raises(ValueError, match="breaks off"):
         list(warc.parse_archive(data[0][:-8]))
+    with pytest.raises(ValueError, match="no WARC record at byte"):
+        list(warc.parse_archive(data[0] + b"junk"))
+    with pytest.raises(ValueError, match="breaks off"):
+        list(warc.parse_archive(gzip.compress(data[2])[:-20]))
+
+
+def test_archives_are_read_in_pieces():
+    import gzip
+
+    rng = random.Random(25)
+    blocks = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 3, 70_000, 200_000]))) for _ in range(12)]
+    records = [b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: " + str(len(b)).encode() + b"\r\n\r\n" + b + b"\r\n\r\n" for b in blocks]
+    for content in (b"".join(records), gzip.compress(b"".join(records)), b"".join(gzip.compress(r) + b"\0" * (i % 3) for i, r in enumerate(records)), b"".join(gzip.compress(r) + warc.EMPTY_MEMBER for r in records)):
+        assert [block for _, block in warc.parse_archive(content)] == blocks
+    many = gzip.compress(records[0]) * 20_000
+    assert sum(1 for _ in warc.parse_archive(many)) == 20_000
+
+
+def test_several_requests_of_a_capture(spark):
+    def row(kind, own, beside=()):
+        return (kind, own, list(beside), None, None, None, None, 0, "", {}, b"")
+
+    rows = [row("response", "r"), row("request", "q2", ["r"]), row("request", "q1", ["r"]), row("metadata", "m", ["r"]), row("request", None, ["r"]), row("response", None)]
+    got = {r.record_id: r for r in warc.assemble(spark.createDataFrame(rows, warc.RECORDS)).collect()}
+    assert got["r"].request.record_id == "q1" and [q.record_id for q in got["r"].requests] == ["q1", "q2"] and [m.record_id for m in got["r"].metadata] == ["m"]
+    assert got[None].requests is None and warc.assemble(spark.createDataFrame([], warc.RECORDS)).count() == 0
 
 
 # --- 10 URL filter
@@ -588,6 +633,15 @@ def test_url_models_learn_from_all_urls(spark):
             assert abs(score - model.threshold) < 1e-9 or got[i].verdict == ("allow" if score >= model.threshold else "block")
 
 
+def test_very_long_urls(spark):
+    rng = random.Random(26)
+    urls = ["http://a.org/" + "x" * 100_000, "http://b.net/" + "y/" * 30_000, "http://c.com/de/" + "z" * 20_000, "http://d.net/é🎉"] + [f"http://{rng.choice('abc')}.com/{rng.choice(['fr', 'de'])}/{i}" for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(urls + urls[1:2])), "page_id bigint, url string").collect()
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows)).collect()}
+    assert len(got) == len(urls) + 1 and got[0].verdict == "allow" and got[2].verdict == "block"
+    assert got[1].score == got[len(urls)].score and got[1].verdict in ("allow", "block")
+
+
 def test_calibration_against_brute_force(spark):
     rng = random.Random(14)
     for n in (0, 1, 2, 9, 400):
