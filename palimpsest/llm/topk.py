@@ -8,8 +8,9 @@ so that their cells return what beats it and nothing else. The best of all cells
 Within a cell candidates are taken in blocks by descending length. Lengths alone bound what a query can still reach, so a
 query stops at the first block that cannot reach its k-th best score so far. Both sides are rotated by the candidates'
 right singular vectors, which gathers most of the product in the first dimensions; a candidate goes on only if its partial
-sum over those plus the Cauchy-Schwarz bound of the rest, the product of the residual lengths, reaches the k-th best. What
-goes on is scored exactly in integers. The bounds are in floating point and have a slack above their rounding error.
+sum over those plus the Cauchy-Schwarz bound of the rest, the product of the residual lengths, reaches the k-th best. Where
+that leaves many, the sums of the block are completed before the test is repeated. What goes on is scored exactly in
+integers. The bounds are in floating point and have a slack above their rounding error.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from palimpsest.llm.common import Scratch
 CELL_CANDIDATES, CELL_QUERIES, LEAST_STRIP = 65_536, 32_768, 2_048
 #: Classes of length in which a squared length doubles.
 CLASSES = 8
+#: Share of a block's pairs that the residual bound must leave for their sums to be completed together.
+DENSE = 0.02
 _NONE = np.iinfo(np.int64).min
 
 
@@ -69,8 +72,13 @@ def search(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, i
         live = live[q_length[live] * length[at] >= reach[live] - slack[live]]
         new = [found]
         for part in np.array_split(live, max(1, len(live) // 1024)):
-            bound = q[part, :first] @ c[cut, :first].T + np.outer(q_rest[part], c_rest[cut])
-            i, j = np.nonzero(bound >= (reach[part] - slack[part])[:, None])
+            needed = (reach[part] - slack[part])[:, None]
+            partial = q[part, :first] @ c[cut, :first].T
+            keep = partial + np.outer(q_rest[part], c_rest[cut]) >= needed
+            if keep.mean() > DENSE:  # the bound tells little here: the other dimensions are added for all at once
+                partial += q[part, first:] @ c[cut, first:].T
+                keep &= partial >= needed
+            i, j = np.nonzero(keep)
             i, j = part[i], j + at
             other = query_ids[i] != ids[j]
             i, j = i[other], j[other]
