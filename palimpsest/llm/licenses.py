@@ -1,10 +1,12 @@
 """Licence scan: text units against licence templates by Dice coefficient over word bigrams.
 
-Units are the lines of a document, its paragraphs of several lines and, where it has several paragraphs, the whole text.
-A unit and a template are reduced to lower-cased ASCII words and to the set of their bigrams (of words, if there is one
-word only). 2 |A and B| / (|A| + |B|) can reach t only if |B| is between |A| t/(2-t) and |A| (2-t)/t, so a unit meets
-only the templates of such sizes; most units of prose meet none. Everything is SQL functions in one pass over the
-documents, without a shuffle; templates are a parameter, bounded in number and size.
+Units are the lines of a document, the sentences of lines that have several, its paragraphs of several lines and, where it
+has several paragraphs, the whole text. A unit and a template are reduced to lower-cased ASCII words and to the set of their
+bigrams (of words, if there is one word only). 2 |A and B| / (|A| + |B|) can reach t only if |B| is between |A| t/(2-t) and
+|A| (2-t)/t, so a unit meets only the templates of such sizes. It also asks for t/(2-t) of the template's bigrams; words
+of which the others are too few make a list for all templates, and a text without any of these is not cut into units.
+Everything is SQL functions in one pass over the documents, without a shuffle; templates are a parameter, bounded in
+number and size.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ class Template:
     text: str
 
 
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_CONDITIONS = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+
 #: Wordings of public licences and notices; fixed values.
 TEMPLATES = (
     Template("MIT", "notice", "Released under the MIT License."),
@@ -49,6 +55,25 @@ TEMPLATES = (
     Template("CC0-1.0", "notice", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     Template("Unlicense", "notice", "This is free and unencumbered software released into the public domain."),
     Template("proprietary", "reserved", "All rights reserved."),
+    Template("BSD-2-Clause", "notice", "Released under the BSD 2-Clause License."),
+    Template("BSD-2-Clause", "warranty", _BSD_WARRANTY),
+    Template("GPL-2.0", "header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    Template("GPL-2.0", "notice", "This work is licensed under the GNU General Public License, version 2."),
+    Template("GPL-3.0", "warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    Template("LGPL-2.1", "header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    Template("AGPL-3.0", "header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    Template("EPL-2.0", "header", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    Template("BSL-1.0", "notice", "Distributed under the Boost Software License, Version 1.0."),
+    Template("Zlib", "warranty", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    Template("ISC", "warranty", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+)
+_TEXT = {f"{t.license_id} {t.name}": t.text for t in TEMPLATES}
+#: Whole licences, put together from their parts.
+TEMPLATES += (
+    Template("MIT", "text", " ".join([_TEXT["MIT grant"], _MIT_NOTICE, _TEXT["MIT warranty"]])),
+    Template("ISC", "text", " ".join([_TEXT["ISC grant"], _TEXT["ISC warranty"]])),
+    Template("BSD-2-Clause", "text", " ".join([_TEXT["BSD-3-Clause grant"], _BSD_CONDITIONS, _BSD_WARRANTY])),
+    Template("BSD-3-Clause", "text", " ".join([_TEXT["BSD-3-Clause grant"], _BSD_CONDITIONS, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", _BSD_WARRANTY])),
 )
 
 
@@ -58,16 +83,36 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys([f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] if len(words) > 1 else words))
 
 
+def telling_words(templates: Sequence[Template], threshold: float) -> list[str]:
+    """Words of which every unit that matches a template has one: of each template its longest words, until fewer bigrams
+    are without them than a match needs, threshold / (2 - threshold) of all."""
+    out: set[str] = set()
+    for t in templates:
+        grams = [set(g.split(" ")) for g in template_bigrams(t.text)]
+        needed = math.ceil(len(grams) * (threshold - 1e-6) / (2 - threshold) - 1e-9)
+        for word in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+            if len(grams) < needed or not grams:
+                break
+            out.add(word)
+            grams = [g for g in grams if word not in g]
+    return sorted(out)
+
+
+def plain_words(text: Column) -> Column:
+    """The lower-cased runs of a-z and 0-9."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def bigrams(text: Column) -> Column:
-    """Distinct bigrams of the lower-cased runs of a-z and 0-9. One-element arrays bind what is used more than once."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """Distinct bigrams of the words. One-element arrays bind what is used more than once."""
+    words = plain_words(text)
     pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda x, y: F.concat_ws(" ", x, y))
     return F.array_distinct(F.transform(F.array(words), lambda w: F.when(F.size(w) > 1, pairs(w)).otherwise(w))[0])
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per unit and template whose Dice coefficient reaches the threshold: doc_id, unit (line, paragraph or
-    document), unit_no (from 0, among units of its kind; a document is 0), license_id, template, dice. Ties all stay.
+    """One row per unit and template whose Dice coefficient reaches the threshold: doc_id, unit (line, sentence, paragraph
+    or document), unit_no (from 0, among units of its kind; a document is 0), license_id, template, dice. Ties all stay.
     Null, empty and wordless texts match nothing; repeated rows are reported each, null ids stay null; other columns are not
     read.
 
@@ -82,11 +127,14 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold:
         raise ValueError("too many or too long templates for a broadcast")
     table = docs.sparkSession.createDataFrame(by_size, "size int, license_id string, template string, grams array<string>")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("unit_no"), x.alias("piece")))
+    marked = F.filter(F.split(F.regexp_replace("text", "([.!?])[ \t]+", "$1\x1e"), "\n"), lambda x: F.contains(x, F.lit("\x1e")))
+    sentences = F.transform(F.flatten(F.transform(marked, lambda x: F.split(x, "\x1e"))), lambda x, i: F.struct(F.lit("sentence").alias("unit"), i.alias("unit_no"), x.alias("piece")))
     parts = F.split("text", "\n[ \t]*\n")
     paragraphs = F.filter(F.transform(parts, lambda x, i: F.struct(F.lit("paragraph").alias("unit"), i.alias("unit_no"), x.alias("piece"))), lambda u: F.contains(u["piece"], F.lit("\n")))
     whole = F.when(F.size(parts) > 1, F.array(F.struct(F.lit("document").alias("unit"), F.lit(0).alias("unit_no"), F.col("text").alias("piece")))).otherwise(F.array())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text <> ''")
-    units = F.transform(F.concat(lines, paragraphs, whole), lambda u: F.struct(u["unit"].alias("unit"), u["unit_no"].alias("unit_no"), bigrams(u["piece"]).alias("own")))
+    texts = texts.where(F.arrays_overlap(plain_words(F.col("text")), F.array(*map(F.lit, telling_words(templates, threshold)))))
+    units = F.transform(F.concat(lines, sentences, paragraphs, whole), lambda u: F.struct(u["unit"].alias("unit"), u["unit_no"].alias("unit_no"), bigrams(u["piece"]).alias("own")))
     found = texts.select("doc_id", F.explode(units).alias("u")).join(F.broadcast(table), F.size("u.own") == F.col("size"))
     dice = F.round(2.0 * F.size(F.array_intersect("u.own", "grams")) / (F.col("size") + F.size("grams")), 6)
     return found.select("doc_id", "u.unit", "u.unit_no", "license_id", "template", dice.alias("dice")).where(F.col("dice") >= threshold)
@@ -107,6 +155,9 @@ WITH t AS (
     UNION ALL
     SELECT * FROM (SELECT doc_id, 'paragraph' AS unit, unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')) AS piece, generate_subscripts(regexp_split_to_array(text, '\\n[ \\t]*\\n'), 1) - 1 AS unit_no FROM documents) WHERE contains(piece, chr(10))
     UNION ALL
+    SELECT doc_id, 'sentence', unnest(s), generate_subscripts(s, 1) - 1 FROM (
+        SELECT doc_id, flatten([string_split(x, chr(30)) FOR x IN string_split(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(30), 'g'), chr(10)) IF contains(x, chr(30))]) AS s FROM documents)
+    UNION ALL
     SELECT doc_id, 'document', text, 0 FROM documents WHERE len(regexp_split_to_array(text, '\\n[ \\t]*\\n')) > 1
 ), g AS (
     SELECT doc_id, unit, unit_no, {grams} AS own FROM (SELECT doc_id, unit, unit_no, {words.format("piece")} AS words FROM u WHERE piece <> '')

@@ -35,16 +35,19 @@ def test_licenses_against_brute_force(spark):
         words = rng.choice(notices).split()
         del words[rng.randrange(len(words))]
         texts.append("\n".join([prose(rng, rng.randint(1, 40)), " ".join(words), *[""] * rng.randint(0, 2), prose(rng, 5)]))
+    texts += [f"{prose(rng, 30)}. {rng.choice(notices)}  {prose(rng, 20)}!\tEnd. " for _ in range(20)]
     got = sorted((r.doc_id, r.unit, r.unit_no, r.license_id, r.template, r.dice) for r in licenses.scan(docs_of(spark, texts, extra=True)).collect())
     want = []
     for i, text in enumerate(texts):
         parts = re.split(r"\n[ \t]*\n", text or "")
-        units = [("line", k, x) for k, x in enumerate((text or "").split("\n"))] + [("paragraph", k, x) for k, x in enumerate(parts) if "\n" in x] + ([("document", 0, text)] if len(parts) > 1 else [])
+        marked = [x for x in re.sub("([.!?])[ \t]+", "\\1\x1e", text or "").split("\n") if "\x1e" in x]
+        units = [("line", k, x) for k, x in enumerate((text or "").split("\n"))] + [("sentence", k, x) for k, x in enumerate(y for x in marked for y in x.split("\x1e"))] + [("paragraph", k, x) for k, x in enumerate(parts) if "\n" in x] + ([("document", 0, text)] if len(parts) > 1 else [])
         for (unit, k, piece), t in itertools.product(units, licenses.TEMPLATES):
             a, b = set(licenses.template_bigrams(piece)), set(licenses.template_bigrams(t.text))
             if a and (d := round(2 * len(a & b) / (len(a) + len(b)), 6)) >= 0.8:
                 want.append((i, unit, k, t.license_id, t.name, d))
-    assert got == sorted(want) and len(want) > 50
+    assert got == sorted(want) and len(want) > 50 and {"line", "sentence", "paragraph", "document"} <= {w[1] for w in want}
+    assert len({t.license_id for t in licenses.TEMPLATES}) > 15 and not {"the", "and", "of"} & set(licenses.telling_words(licenses.TEMPLATES, 0.8))
     assert licenses.scan(docs_of(spark, [""]).limit(0)).count() == 0
     one = docs_of(spark, ["All rights reserved."]).withColumn("doc_id", F.lit(None).cast("bigint"))
     assert [(r.doc_id, r.license_id) for r in licenses.scan(one.unionByName(one)).collect()] == [(None, "proprietary")] * 2
