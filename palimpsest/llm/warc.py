@@ -235,7 +235,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark, "archives")
     write_archives(pages, f"{scratch.root}/warc")
-    captures = assemble(read_archives(spark, f"{scratch.root}/warc", with_payload=False))
+    captures = assemble(scratch.cut(read_archives(spark, f"{scratch.root}/warc", with_payload=False)))  # read once for both sides of the joins
     flat = captures.select("record_id", F.get("metadata", 0)["fields"]["page_id"].alias("page"), "response.refers_to", "response.payload_bytes", "response.payload_digest", "response.record_type")
     flat = scratch.cut(flat.select("record_id", F.when(F.col("page") != "", F.col("page")).cast("bigint").alias("page_id"), F.col("refers_to").alias("target"), "payload_bytes", "payload_digest", "record_type"))
     heads = scratch.cut(flat.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to")).distinct())
