@@ -51,9 +51,67 @@ def ink_extent(gray: np.ndarray, box: tuple[int, int, int, int], dark: int = 200
     return (y1 + int(rows[0]), y1 + int(rows[-1])) if len(rows) else (y1, y2)
 
 
-def row_ink(gray: np.ndarray) -> np.ndarray:
-    """Ink pixels of each row below the Otsu threshold, smoothed by a median of three."""
-    ink = (gray < otsu_threshold(gray)).sum(axis=1).astype(np.float64)
+def smoothed(values: np.ndarray, sigma: float = 1.0, axes: tuple[int, ...] | None = None) -> np.ndarray:
+    """Gaussian mean along the axes, cut at four deviations, edges mirrored."""
+    reach = int(4 * sigma + 0.5)
+    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    weights /= weights.sum()
+    out = values.astype(np.float64)
+    for axis in axes if axes is not None else range(out.ndim):
+        padded = np.pad(out, [(reach, reach) if k == axis else (0, 0) for k in range(out.ndim)], mode="symmetric")
+        size = out.shape[axis]
+        out = sum(w * np.take(padded, np.arange(k, k + size), axis) for k, w in enumerate(weights))
+    return out
+
+
+def locally_dark(gray: np.ndarray, block: int = 35, offset: float = 10.0) -> np.ndarray:
+    """Pixels darker than the mean of the block around them less an offset, by sums over the area before each pixel."""
+    half = block // 2
+    padded = np.pad(gray.astype(np.float64), half, mode="edge")
+    sums = np.pad(padded.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+    h, w = gray.shape
+    size = 2 * half + 1
+    mean = (sums[size : size + h, size : size + w] - sums[:h, size : size + w] - sums[size : size + h, :w] + sums[:h, :w]) / size**2
+    return gray < mean - offset
+
+
+def grown(mask: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Pixels with a true one in the rectangle around them, outside counting as false."""
+    out = mask
+    for axis, size in ((0, height), (1, width)):
+        before = size // 2
+        padded = np.pad(out, [(before, size - 1 - before) if k == axis else (0, 0) for k in (0, 1)])
+        out = np.any([np.take(padded, np.arange(k, k + out.shape[axis]), axis) for k in range(size)], axis=0)
+    return out
+
+
+def closed(mask: np.ndarray, height: int, width: int, times: int = 1) -> np.ndarray:
+    """Morphological closing by a rectangle: grown, then shrunk as often. Outside counts as empty while growing and as full
+    while shrinking, so that ink at the edges stays."""
+    out = mask
+    for _ in range(times):
+        out = grown(out, height, width)
+    for _ in range(times):
+        out = ~grown(~out[::-1, ::-1], height, width)[::-1, ::-1]
+    return out
+
+
+def ink_mask(gray: np.ndarray, rule: str = "otsu") -> np.ndarray:
+    """Ink pixels. otsu: below the Otsu threshold. combined: below that of the smoothed image or locally dark, closed twice
+    by 3 x 5 pixels. wide: locally dark in small blocks, closed by 1 x 30 and 3 x 1 pixels."""
+    if rule == "combined":
+        soft = np.rint(smoothed(gray)).astype(np.uint8)
+        return closed((soft < otsu_threshold(soft)) | locally_dark(gray), 3, 5, 2)
+    if rule == "wide":
+        return closed(closed(locally_dark(gray, 15, 8.0), 1, 30), 3, 1)
+    return gray < otsu_threshold(gray)
+
+
+def row_ink(gray: np.ndarray, rule: str = "otsu") -> np.ndarray:
+    """Ink pixels of each row, smoothed: by a median of three, or, where the rule is wide, by a Gaussian mean."""
+    ink = ink_mask(gray, rule).sum(axis=1).astype(np.float64)
+    if rule == "wide":
+        return smoothed(ink, 1.0)
     padded = np.pad(ink, 1, mode="edge")
     return np.median(np.stack([padded[:-2], padded[1:-1], padded[2:]]), axis=0)
 
@@ -83,14 +141,14 @@ def png_files(images: DataFrame, target_height: int | None = None) -> DataFrame:
     return images.mapInPandas(run, schema)
 
 
-def row_profiles(images: DataFrame, sensitivity: float = 0.02) -> DataFrame:
-    """(page, y, ink, is_text): ink pixels of each row below the Otsu threshold, smoothed by a median of three, and
-    whether they exceed the share of the page's largest row. Runs and merges of the rows are window functions."""
+def row_profiles(images: DataFrame, sensitivity: float = 0.02, rule: str = "otsu") -> DataFrame:
+    """(page, y, ink, is_text): smoothed ink pixels of each row by a rule of ink_mask, and whether they exceed the share of
+    the page's largest row. Runs and merges of the rows are window functions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for page, height, width, data in zip(batch["page"], batch["height"], batch["width"], batch["pixels"], strict=True):
-                smooth = row_ink(np.frombuffer(data, np.uint8).reshape(height, width))
+                smooth = row_ink(np.frombuffer(data, np.uint8).reshape(height, width), rule)
                 yield pd.DataFrame({"page": page, "y": np.arange(height), "ink": smooth, "is_text": smooth > smooth.max(initial=0) * sensitivity})
 
     return images.select("page", "height", "width", "pixels").mapInPandas(run, "page string, y int, ink double, is_text boolean")
@@ -141,10 +199,25 @@ def resized(gray: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.rint(top * (1 - fy) + bottom * fy).astype(np.uint8)
 
 
+def _lanczos(size: int, wanted: int, lobes: int = 3) -> np.ndarray:
+    """Weights (wanted x size) of Lanczos resampling; the window widens where the size shrinks."""
+    scale = max(1.0, size / wanted)
+    centre = (np.arange(wanted) + 0.5) * size / wanted
+    x = (np.arange(size)[None, :] + 0.5 - centre[:, None]) / scale
+    weights = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def resampled(gray: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Lanczos resampling, columns before rows, rounded after each."""
+    step = np.clip(np.rint(gray.astype(np.float64) @ _lanczos(gray.shape[1], width).T), 0, 255)
+    return np.clip(np.rint(_lanczos(gray.shape[0], height) @ step), 0, 255).astype(np.uint8)
+
+
 def resized_to_height(gray: np.ndarray, target: int, most: int = 10_000) -> np.ndarray:
-    """Keeps the aspect ratio; the width is cut to a whole number, from 1 to most."""
+    """Keeps the aspect ratio by Lanczos resampling; the width is cut to a whole number, from 1 to most."""
     rows, columns = gray.shape
-    return resized(gray, target, min(most, max(1, int(target * (columns / rows)))))
+    return resampled(gray, target, min(most, max(1, int(target * (columns / rows)))))
 
 
 def rotated(gray: np.ndarray, degrees: float, fill: int = 0) -> np.ndarray:
@@ -183,15 +256,24 @@ def equalised(gray: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray
 
 def line_images(lines: DataFrame, images: DataFrame, target_height: int | None = None, mask: bool = False, deskew: bool = False, equalise: bool = False, pad: int = 5) -> DataFrame:
     """(page, line_id, height, width, pixels): crops of lines (page, line_id, x1, y1, x2, y2, coords, angle) from their
-    page's pixels, page by page. mask fills what is outside coords, white, or black where lines are turned upright;
-    deskew turns by angle, and coords with it. Empty crops give no row."""
+    page's pixels, page by page. mask fills what is outside coords, white, or black where lines are turned upright; deskew
+    turns by angles of more than half a degree before the mask, and cuts to the mask. Empty crops, and upright ones of
+    fewer than 5 pixels either way, give no row."""
     names = ["page", "line_id", "height", "width", "pixels"]
 
     def one(gray: np.ndarray, line) -> np.ndarray:
         polygon = [(p["x"], p["y"]) for p in line.coords] if mask and line.coords is not None and len(line.coords) > 2 else None
-        out = crop(gray, (line.x1, line.y1, line.x2, line.y2), pad, polygon, 0 if deskew else 255)
+        box = (line.x1, line.y1, line.x2, line.y2)
+        out = crop(gray, box, pad, None if deskew else polygon)
         if deskew and out.size:
-            out = rotated(out, line.angle, 0)
+            out = rotated(out, line.angle, 0) if abs(line.angle or 0.0) > 0.5 else out
+            if polygon:
+                left, top = max(0, box[0] - pad), max(0, box[1] - pad)
+                inside = inside_polygon([(x - left, y - top) for x, y in polygon], out.shape[1], out.shape[0])
+                rows, columns = np.flatnonzero(inside.any(axis=1)), np.flatnonzero(inside.any(axis=0))
+                out = np.where(inside, out, 0).astype(np.uint8)
+                out = out[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1] if len(rows) else out[:0]
+            out = out if min(out.shape) >= 5 else out[:0]
         if equalise and out.size:
             out = equalised(out, tiles=min(8, *out.shape))
         return resized_to_height(out, target_height) if target_height and out.size else out

@@ -128,6 +128,12 @@ def segmented_pages(lines: DataFrame, page: str, page_width: Column, most_column
     return order_columns(columns_of_lines(tall_enough(lines, least_height), page, page_width, most_columns), page)
 
 
+def segmented_regions(lines: DataFrame, page: str, page_width: Column, most_columns: int = 4, least_height: int = 10) -> DataFrame:
+    """(page, region, x1, y1, x2, y2, lines, hull): the columns of segmented_pages as regions with box and convex hull."""
+    found = segmented_pages(lines, page, page_width, most_columns, least_height)
+    return region_boxes(found, page, "region").join(region_hulls(found, page, "region"), [page, "region"])
+
+
 def choose_mode(neural: DataFrame, classical: DataFrame, page: str, least_lines: int = 3) -> DataFrame:
     """Neural lines of the pages where there are at least least_lines of them, classical ones of the others; adds mode."""
     enough = neural.groupBy(page).agg(F.count("*").alias("_n")).where(F.col("_n") >= least_lines).select(page)

@@ -127,12 +127,12 @@ class Segmenter(Protocol):
 
 class ProfileSegmenter:
     """Lines as runs of rows with ink, full width and padded: gaps of fewer than min_gap rows are filled, runs of fewer than
-    min_height rows dropped, runs up to 2 * min_gap rows apart joined."""
+    min_height rows dropped, runs up to 2 * min_gap rows apart joined. rule is one of ink_mask's."""
 
     name = "profile"
 
-    def __init__(self, min_height: int = 15, min_gap: int = 5, sensitivity: float = 0.02, pad: int = 8):
-        self.min_height, self.min_gap, self.sensitivity, self.pad = min_height, min_gap, sensitivity, pad
+    def __init__(self, min_height: int = 15, min_gap: int = 5, sensitivity: float = 0.02, pad: int = 8, rule: str = "otsu"):
+        self.min_height, self.min_gap, self.sensitivity, self.pad, self.rule = min_height, min_gap, sensitivity, pad, rule
 
     def load(self) -> None:
         pass
@@ -140,7 +140,7 @@ class ProfileSegmenter:
     def segment(self, gray: np.ndarray) -> list[tuple[int, int, int, int]]:
         from palimpsest.operators.images import row_ink
 
-        ink = row_ink(gray)
+        ink = row_ink(gray, self.rule)
         rows = np.flatnonzero(ink > ink.max(initial=0) * self.sensitivity)
         if not len(rows):
             return []

@@ -146,3 +146,27 @@ def arrow_split(spark: SparkSession, path: str, out: str, key: Column, train_rat
         sinks.write_arrow(rows.where(F.col("split") == name).drop("split"), f"{out}/{name}")
         spark.createDataFrame([(f"{name}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/{name}.lst")
     return {name: counts.get(name, 0) for name in ("train", "val")}
+
+
+def language_model_counts(spark: SparkSession, path: str, kind: str = "page", orders: tuple[int, ...] = (1, 2, 3, 4, 5)) -> tuple[DataFrame, DataFrame]:
+    """Token lines for a character model and the counts of their n-grams, from a folder of layout files (page, alto or auto)
+    or, with kind text, of text files."""
+    if kind == "text":
+        found = files.read_text_lines(spark, path).withColumn("text", strip(F.col("text"))).where("text <> ''")
+    else:
+        found = lines.corpus_lines(layout_xml.parse_pages(layout_xml.read_xml(spark, path), kind))
+    return vocabulary.lm_corpus(found, "text", "path", "line_idx"), vocabulary.ngram_counts(found, "text", orders)
+
+
+def write_evaluation(rows: DataFrame, path: str) -> DataFrame:
+    """Writes (id, reference, hypothesis, cer) of evaluated lines as CSV and returns one row: samples, mean and micro rate."""
+    from palimpsest.plans.pipelines import evaluation
+
+    rated = evaluation(rows)
+    rated.select("id", "reference", "hypothesis", F.round("cer", 4).alias("cer")).orderBy("id").write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    return rated.agg(F.count("*").alias("samples"), F.avg("cer").alias("cer"), (F.sum("edits") / F.greatest(F.lit(1), F.sum(F.length("reference")))).alias("micro_cer"))
+
+
+def preview(rows: DataFrame, *order: str, most: int = 10) -> DataFrame:
+    """The first rows by an order, for a look at them."""
+    return rows.orderBy(*order).limit(most)

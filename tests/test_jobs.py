@@ -261,3 +261,82 @@ def test_page_pixels_with_a_decoder(spark, tmp_path):
     for decode in (read_png, None):
         got = source.page_pixels(spark, str(tmp_path), decode).collect()
         assert [(r.height, r.width, bytes(r.pixels)) for r in got] == [(2, 2, bytes([1, 2, 3, 4]))]
+
+
+def test_ink_rules():
+    rng = np.random.default_rng(2)
+    mask = rng.random((12, 15)) < 0.2
+
+    def at(m, y, x, outside):
+        return m[y, x] if 0 <= y < m.shape[0] and 0 <= x < m.shape[1] else outside
+
+    def plain_closed(m, h, w):
+        span = lambda n: range(-(n // 2), n - n // 2)
+        big = np.array([[any(at(m, y + i, x + j, False) for i in span(h) for j in span(w)) for x in range(m.shape[1])] for y in range(m.shape[0])])
+        return np.array([[all(at(big, y - i, x - j, True) for i in span(h) for j in span(w)) for x in range(m.shape[1])] for y in range(m.shape[0])])
+
+    for h, w in ((3, 5), (1, 4), (3, 1)):
+        assert (images.closed(mask, h, w) == plain_closed(mask, h, w)).all()
+        assert (images.closed(mask, h, w) >= mask).all()
+    gray_ = rng.integers(0, 256, (9, 11)).astype(np.uint8)
+    padded = np.pad(gray_.astype(float), 2, mode="edge")
+    want = np.array([[gray_[y, x] < padded[y : y + 5, x : x + 5].mean() - 10 for x in range(11)] for y in range(9)])
+    assert (images.locally_dark(gray_, 5, 10) == want).all()
+    assert np.allclose(images.smoothed(np.full((6, 7), 9.0)), 9) and images.smoothed(np.eye(1, 21, 10)).argmax() == 10
+    page = np.full((60, 80), 250, np.uint8)
+    page[10:20, 5:70:3] = page[40:52, 5:70:3] = 10
+    for rule in ("otsu", "combined", "wide"):
+        found = transcribe.ProfileSegmenter(min_height=5, pad=0, rule=rule).segment(page)
+        assert len(found) == 2 and all(abs(a - b) <= 5 for (_, y1, _, y2), (s, e) in zip(found, ((10, 19), (40, 51)), strict=True) for a, b in ((y1, s), (y2, e)))
+
+
+def test_resampling():
+    flat = np.full((7, 9), 77, np.uint8)
+    assert (images.resampled(flat, 3, 20) == 77).all() and images.resized_to_height(flat, 14).shape == (14, 18)
+    ramp = np.tile(np.arange(0, 200, 10, dtype=np.uint8), (4, 1))
+    assert (images.resampled(ramp, 4, 20) == ramp).all() and abs(images.resampled(ramp, 4, 10)[0, 1:-1].astype(int) - np.arange(25, 185, 20)).max() <= 2
+
+
+def test_upright_crops(spark):
+    page = np.full((80, 80), 200, np.uint8)
+    table = spark.createDataFrame([("p", 80, 80, page.tobytes())], "page string, height int, width int, pixels binary")
+    box = [{"x": x, "y": y} for x, y in ((10, 20), (60, 20), (60, 40), (10, 40))]
+    thin = [{"x": x, "y": y} for x, y in ((10, 20), (60, 20), (60, 23), (10, 23))]
+    rows = spark.createDataFrame([("p", "a", 10, 20, 60, 40, box, 0.2), ("p", "b", 10, 20, 60, 23, thin, 0.0), ("p", "c", 10, 20, 60, 40, box, 30.0), ("p", "d", 10, 20, 60, 40, None, None)], "page string, line_id string, x1 int, y1 int, x2 int, y2 int, coords array<struct<x:int,y:int>>, angle double")
+    got = {r.line_id: np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width) for r in images.line_images(rows, table, mask=True, deskew=True).collect()}
+    assert got.keys() == {"a", "c", "d"} and got["a"].shape == got["c"].shape == (20, 50) and (got["a"] == 200).all()
+    assert got["d"].shape == (30, 60) and 0 < (got["c"] == 200).mean() < 1
+
+
+def test_corpus_and_evaluation(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.txt").write_text("ab b\n\n c\n")
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/a.xml").write_text(PAGE.format(year="2013-07-15", order=""))
+    corpus, counts = jobs.language_model_counts(spark, str(tmp_path / "t"), "text")
+    assert sorted(r.tokens for r in corpus.collect()) == ["a b <SPACE> b", "c"]
+    assert {r.gram: r["count"] for r in counts.collect()} == {"a": 1, "b": 2, " ": 1, "c": 1, "ab": 1, "b ": 1, " b": 1, "ab ": 1, "b b": 1, "ab b": 1}
+    assert jobs.language_model_counts(spark, str(tmp_path / "x"))[0].count() == 3
+    rows = spark.createDataFrame([(1, "abcd", "abxd"), (2, "", "x")], "id int, reference string, hypothesis string")
+    total = jobs.write_evaluation(rows, str(tmp_path / "e")).first()
+    assert (total.samples, total.cer, total.micro_cer) == (2, 0.625, 0.5)
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "e")).collect()] == [("1", "abcd", "abxd", "0.25"), ("2", None, "x", "1.0")]
+    assert [r.id for r in jobs.preview(rows, "id", most=1).collect()] == [1]
+
+
+def test_document_jobs(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / f"in/{name}.xml").write_text(PAGE.format(year="2013-07-15", order=""))
+    shots = spark.createDataFrame([(f"file:{tmp_path}/in/{n}.png",) for n in "ab"], "path string")
+    n, counts = jobs.page_to_parquet(spark, str(tmp_path / "in"), shots, str(tmp_path / "out"), most_pages=1)
+    assert n == 3 and {r.ch: r.n for r in counts.collect()}["&"] == 1
+    pages = layout_xml.parse_pages(layout_xml.read_xml(spark, str(tmp_path / "in")))
+    pixels = spark.createDataFrame([(f"file:{tmp_path}/in/{x}.png", 200, 100, bytes([9]) * 20_000) for x in "ab"], "page string, height int, width int, pixels binary")
+    summary = jobs.polygon_set(pages, shots, pixels, str(tmp_path / "set"), 16).first()
+    assert (summary.converted, summary.failed) == (4, 2)
+    found = spark.createDataFrame([("p", "r", 0, "l", 0, 1, 2, 30, 20, "neural")], "page string, region_id string, region_idx int, line_id string, line_idx int, x1 int, y1 int, x2 int, y2 int, mode string").withColumns({"image_name": F.lit("i.png"), "page_width": F.lit(50), "page_height": F.lit(40), "text": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "coords": F.lit(None).cast("array<struct<x:int,y:int>>"), "baseline": F.array(F.struct(F.lit(1).alias("x"), F.lit(2).alias("y")), F.struct(F.lit(30).alias("x"), F.lit(2).alias("y")))})
+    totals = jobs.segmentation_batch(found, str(tmp_path / "seg")).first()
+    assert (totals.pages, totals.avg_lines, totals.fallbacks) == (1, 1.0, 0) and spark.read.text(str(tmp_path / "seg/page_xml")).count() > 0
+    regions = layout.segmented_regions(found, "page", F.lit(50)).first()
+    assert (regions.region, regions.lines, len(regions.hull)) == ("col_1", 1, 4)
