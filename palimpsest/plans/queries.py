@@ -744,10 +744,10 @@ _EVENT_OF = "CASE WHEN event_id % 5 = 0 THEN ' ' WHEN event_id % 7 = 0 THEN even
 
 @query(f"""
 WITH e AS (SELECT user_id, event_id, {_EVENT_OF} AS text, event_id % 50 AS p, event_id % 31 AS c, CAST(floor(value) AS BIGINT) % 400 AS t FROM events),
-s AS (SELECT *, row_number() OVER w AS at, coalesce(max(len(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS any_text, max(CAST(coalesce(trim(text) <> '', false) AS INTEGER)) OVER w = 1 AS seen FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT *, row_number() OVER w AS pos, coalesce(max(len(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS any_text, max(CAST(coalesce(trim(text) <> '', false) AS INTEGER)) OVER w = 1 AS seen FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 k AS (SELECT *, CASE WHEN NOT any_text AND greatest(0, t - p - c) >= 0.6 * 400 THEN 'reasoning abort' WHEN seen THEN 'early exit' END AS kind FROM s),
-z AS (SELECT user_id, min(at) FILTER (WHERE kind IS NOT NULL) AS stop FROM k GROUP BY user_id)
-SELECT k.user_id, coalesce(max(kind) FILTER (WHERE at = stop), 'fallback') AS outcome, max(at) AS used FROM k JOIN z USING (user_id) WHERE stop IS NULL OR at <= stop GROUP BY k.user_id
+z AS (SELECT user_id, min(pos) FILTER (WHERE kind IS NOT NULL) AS stop FROM k GROUP BY user_id)
+SELECT k.user_id, coalesce(max(kind) FILTER (WHERE pos = stop), 'fallback') AS outcome, max(pos) AS used FROM k JOIN z USING (user_id) WHERE stop IS NULL OR pos <= stop GROUP BY k.user_id
 """)
 def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How streamed answers end: at their first text, or where thinking uses up the budget."""
