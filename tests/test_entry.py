@@ -59,6 +59,22 @@ def test_wer_by_source_takes_whole_lines(spark):
         assert got[source].wer == pytest.approx(sum(x for _, x in own) / len(own), abs=1e-6)
 
 
+def test_cer_by_lang_takes_whole_lines(spark):
+    table = str.maketrans("aeiou", "eioua")
+    found = {}
+    for r in queries.table(spark, SF, "documents").select("lang", "text").collect():
+        for line in (r.text or "").split("\n"):
+            if line.strip():
+                found.setdefault(r.lang, []).append((word_errors(line, line.translate(table)), len(line)))
+    got = {r.lang: r for r in queries.cer_by_lang(spark, SF).collect()}
+    assert got.keys() == found.keys() and max(n for own in found.values() for _, n in own) > 5000
+    for lang, own in found.items():
+        edits = sum(d for d, _ in own)
+        assert (got[lang].lines, got[lang].edits) == (len(own), edits)
+        assert got[lang].cer == pytest.approx(sum(d / n * 100 for d, n in own) / len(own), abs=1e-5)
+        assert got[lang].micro_cer == pytest.approx(edits / sum(n for _, n in own), abs=1e-6)
+
+
 def hull_corners(points):
     """Corners by wrapping: from a corner to the point that has no other to its right, the farthest of equal directions."""
     points = sorted(set(points))
