@@ -83,14 +83,18 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys([f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] if len(words) > 1 else words))
 
 
+#: Common words, which tell little; they are taken last.
+COMMON = frozenset("a all an and any are as at be been by can for free from has have if in is it its may must no not of on one or other such that the their there these this to under was were which will with without work you your".split())
+
+
 def telling_words(templates: Sequence[Template], threshold: float) -> list[str]:
-    """Words of which every unit that matches a template has one: of each template its longest words, until fewer bigrams
-    are without them than a match needs, threshold / (2 - threshold) of all."""
+    """Words of which every unit that matches a template has one: of each template its longest words, common ones last,
+    until fewer bigrams are without them than a match needs, threshold / (2 - threshold) of all."""
     out: set[str] = set()
     for t in templates:
         grams = [set(g.split(" ")) for g in template_bigrams(t.text)]
         needed = math.ceil(len(grams) * (threshold - 1e-6) / (2 - threshold) - 1e-9)
-        for word in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+        for word in sorted({w for g in grams for w in g}, key=lambda w: (w in COMMON, -len(w), w)):
             if len(grams) < needed or not grams:
                 break
             out.add(word)
@@ -135,7 +139,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text <> ''")
     texts = texts.where(F.arrays_overlap(plain_words(F.col("text")), F.array(*map(F.lit, telling_words(templates, threshold)))))
     units = F.transform(F.concat(lines, sentences, paragraphs, whole), lambda u: F.struct(u["unit"].alias("unit"), u["unit_no"].alias("unit_no"), bigrams(u["piece"]).alias("own")))
-    found = texts.select("doc_id", F.explode(units).alias("u")).join(F.broadcast(table), F.size("u.own") == F.col("size"))
+    found = texts.select("doc_id", F.explode_outer(units).alias("u")).join(F.broadcast(table), F.size("u.own") == F.col("size"))
     dice = F.round(2.0 * F.size(F.array_intersect("u.own", "grams")) / (F.col("size") + F.size("grams")), 6)
     return found.select("doc_id", "u.unit", "u.unit_no", "license_id", "template", dice.alias("dice")).where(F.col("dice") >= threshold)
 
