@@ -52,6 +52,7 @@ class PieceCodec:
                 self.surface.append(piece.replace(MARK, " ").encode())
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary has no byte pieces")
+        self.numbers = [str(i) for i in range(len(self.surface))]
         self.by_words = not any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids)
         self.young, self.longest, self.size = young, longest, 0
         self.new: dict[str, tuple[str, bytes]] = {}
@@ -153,25 +154,28 @@ class PieceCodec:
                 else:
                     fresh.append(w)
         encoded = [self.agenda(w.replace(" ", MARK)) for w in fresh]
+        surface, number = self.surface, self.numbers
+        surfaces = [b"".join([surface[i] for i in ids]) for ids in encoded]
         if check and fresh:
-            self._compare(fresh, encoded)
-        for w, ids in zip(fresh, encoded, strict=True):
-            new[w] = (",".join(map(str, ids)), self.decode_bytes(ids))
+            self._compare(fresh, encoded, surfaces)
+        for w, ids, back in zip(fresh, encoded, surfaces, strict=True):
+            new[w] = (",".join([number[i] for i in ids]), back)
             size += len(w) if len(w) <= longest else 0
         self.long = [w for w in fresh if len(w) > longest]
         self.size += size
         return new
 
-    def _compare(self, words: list[str], encoded: list[list[int]]) -> None:
-        """An error unless the library encodes the words to these ids and decodes the ids to what decode_bytes gives."""
+    def _compare(self, words: list[str], encoded: list[list[int]], surfaces: list[bytes]) -> None:
+        """An error unless the library encodes the words to these ids and decodes the ids to these bytes."""
         before = "\n" if self.by_words else ""  # no merge crosses a line feed; the begin mark stands before it
         theirs = self.library.encode([before + w if before else w[1:] for w in words], num_threads=1)
         back = self.library.decode(theirs, num_threads=1)
-        skip = len(self.library.encode(before))
-        for w, a, b, text in zip(words, encoded, theirs, back, strict=True):
-            mine = before + self.decode_bytes(a).decode("utf-8", "replace") if before else self.decode(a)
-            if a != b[skip:] or text != mine:
-                raise AssertionError(f"the codec and the library differ on {w[:80]!r}: {a[:20]} and {b[:20]}, {mine[:80]!r} and {text[:80]!r}")
+        mark = self.library.encode(before)
+        ours = [mark + ids for ids in encoded]
+        texts = [before + x.decode("utf-8", "replace") for x in surfaces] if before else [self.decode(ids) for ids in encoded]
+        if ours != theirs or texts != back:
+            w, a, b, x, y = next(d for d in zip(words, ours, theirs, texts, back, strict=True) if d[1] != d[2] or d[3] != d[4])
+            raise AssertionError(f"the codec and the library differ on {w[:80]!r}: {a[:20]} and {b[:20]}, {x[:80]!r} and {y[:80]!r}")
 
 
 _CODECS: dict[bytes, PieceCodec] = {}
