@@ -105,3 +105,20 @@ def test_images(spark, tmp_path):
     body = b"Exif\0\0" + tiff
     assert images.exif_orientation(b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda") == 6
     assert images.turned(images.np.array([[1, 2], [3, 4]]), 6).tolist() == [[3, 1], [4, 2]]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    import pytest
+
+    from palimpsest.session import shared_dir
+
+    def session(master, folder=None):
+        conf = Fake(get=lambda *_: folder)
+        return Fake(conf=conf, sparkContext=Fake(master=master, getConf=lambda: conf))
+
+    assert shared_dir(session("spark://h:7077", "hdfs://x/y/")) == "hdfs://x/y" and shared_dir(session("local[*]")) == shared_dir(session("local"))
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session(master))
