@@ -51,13 +51,15 @@ class Scratch:
         return table
 
     def drop(self, *tables: DataFrame | None) -> None:
-        """Deletes tables that cut() returned and that nothing reads any more. What is left goes when the driver ends."""
+        """Deletes tables that cut() returned and that nothing reads any more. What is left goes when the driver ends. The
+        shuffles behind them keep files on the executors' disks until the driver collects its garbage, so it is asked to."""
         gone = {id(t) for t in tables}
         for table, path in self.written:
             if id(table) in gone:
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
         self.written = [(t, p) for t, p in self.written if id(t) not in gone]
+        self.spark._jvm.System.gc()
 
     def hold(self, df: DataFrame) -> DataFrame:
         """Keeps a table in the executors' memory and on their disks for a few uses; what is lost is computed again from

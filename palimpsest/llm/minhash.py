@@ -184,7 +184,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         step = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = dealt_anew(step.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("top")), "root")
         new = scratch.cut(step.join(jump, "root", "left").select("node", "old", F.coalesce("top", "root").alias("root")))
-        scratch.drop(last)
+        if last is not None:
+            scratch.drop(last)
         roots, last = new.select("node", "root"), new
         if new.where("root <> old").isEmpty():
             return roots

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices, words_of
+from palimpsest.llm.common import ragged, slices, words_of
 
 #: Lengths of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -89,15 +89,19 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _feature_lists(docs: DataFrame, text_col: str) -> list[np.ndarray]:
-    """Distinct features of each text of a bounded sample, gathered on the driver as packed integers."""
+    """Distinct features of each text of a bounded sample, gathered on the driver end to end; the lists are views of that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
-                packed = [text_features(t).tobytes() for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["features"])
+                found = [text_features(t) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([ragged(np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int32), np.array([len(f) for f in found], np.int64), pa.int32())], ["features"])
 
-    return [np.frombuffer(x, np.int32) for x in docs.select(text_col).mapInArrow(run, "features binary").toArrow().column(0).to_pylist()]
+    out: list[np.ndarray] = []
+    for chunk in docs.select(text_col).mapInArrow(run, "features array<int>").toArrow().column(0).chunks:
+        values, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return out
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
