@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, html_extract, licenses, minhash, sentencepiece_codec, token_counts, topk, toxicity, url_filter, warc
+from palimpsest.llm import conversations, decontaminate, fill_middle, html_extract, licenses, line_dedup, minhash, sentencepiece_codec, token_counts, topk, toxicity, url_filter, warc
 from palimpsest.llm.common import read_table, small_batches
 
 
@@ -85,6 +85,53 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH l AS (
+    SELECT d, doc_id, i, line, regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS k FROM (
+        SELECT d, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
+        FROM (SELECT row_number() OVER () AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), s AS (
+    SELECT k, min(doc_id) AS first FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (first <> doc_id) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (first IS NULL OR first = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN s USING (k) GROUP BY d
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    sizes = [F.length(c).cast("bigint").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return made.select("doc_id", "n", "form", *sizes, *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")])
+
+
+OP12_SQL = """
+WITH u AS (
+    SELECT doc_id, coalesce(text, '') AS text, CASE WHEN text <> '' THEN regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') ELSE [] END AS units,
+           [CAST('0x' || substr(sha256('7:' || doc_id), 8 * g + 1, 8) AS BIGINT) FOR g IN range(4)] AS h FROM documents
+), c AS (
+    SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+    SELECT doc_id, text, n, form, coalesce(array_to_string(units[1:a], ''), '') AS p, coalesce(array_to_string(units[a + 1:b], ''), '') AS m, coalesce(array_to_string(units[b + 1:n], ''), '') AS s FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(read_table(spark, sf_dir, "conversations"))
+    return conversations.repair(rows, F.col("absent"), with_turns=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def batched(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return functools.wraps(query)(lambda spark, sf_dir: query(small_batches(spark), sf_dir))
@@ -93,4 +140,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.scan_sql(), "op2_exact_top_k": OP2_SQL, "op9_warc": OP9_SQL}
+    return {"op1_license_scan": licenses.scan_sql(), "op2_exact_top_k": OP2_SQL, "op9_warc": OP9_SQL, "op11_line_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL}

@@ -5,7 +5,7 @@ import corpus_pipeline
 from palimpsest.llm import decontaminate, minhash, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -25,9 +25,11 @@ def test_contracts(spark):
     columns = {
         "op2_exact_top_k": "query_id bigint rank int vec_id bigint score bigint", "op3_html_extraction": "page_id bigint url string text string n_chars bigint", "op5_toxicity": "doc_id bigint held_out boolean score double predicted int",
         "op8_sentencepiece": "doc_id bigint n_tokens bigint ids_sha256 string decoded_sha256 string", "op9_warc": "page_id bigint payload_bytes bigint payload_digest string record_type string refers_to bigint",
-        "op10_url_filter": "page_id bigint host string path string rule string verdict string",
+        "op10_url_filter": "page_id bigint host string path string rule string verdict string", "op11_line_dedup": "doc_id bigint n_lines bigint n_dropped bigint kept_sha256 string",
+        "op12_fill_in_middle": "doc_id bigint n bigint form string prefix_chars bigint middle_chars bigint output_sha256 string restored_sha256 string",
+        "op13_conversation_repair": "conv_id bigint gaps bigint blank bigint duplicate bigint truncated bigint illegal bigint cost bigint audit string repaired_sha256 string",
     }
-    assert len(found) == 10
+    assert len(found) == 13
     for name, wanted in columns.items():
         have = dict(found[name](spark, SF).dtypes)
         w = wanted.split()
