@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions.geometry import baseline_angle
 from palimpsest.functions.text import strip
 from palimpsest.operators import images as pixels
-from palimpsest.operators import layout, pairing, quality, splits, vocabulary
+from palimpsest.operators import language_model, layout, pairing, quality, splits, vocabulary
+from palimpsest.operators.numbering import numbered
 from palimpsest.operators.transcribe import Segmenter, Transcriber, segment_pages, transcribe
 from palimpsest.sources import files, layout_xml, lines, sinks
 
@@ -27,21 +28,6 @@ def csv_samples(pairs: DataFrame, images: DataFrame, data_root: str, target_heig
     return pixels.png_files(joined.select("number", text.alias("text"), error.alias("error"), "height", "width", "pixels"), target_height).select("number", "text", F.when(F.col("error").isNull(), F.col("png")).alias("png"), "error")
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """Adds number, from 0 in the order of a column: the rows of each range of the order are numbered by themselves, and the
-    counts of the ranges before, one for each task, are added."""
-    ranges = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id())
-    part = F.shiftright("_place", 33).cast("int")
-    counts = {r.p: r.n for r in ranges.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, start = {}, 0
-    for p in sorted(counts):
-        before[p], start = start, start + counts[p]
-    if not before:
-        return rows.withColumn("number", F.lit(0).cast("bigint"))
-    first = F.element_at(F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]), part)
-    return ranges.withColumn("number", first + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place")
-
-
 def csv_to_trainer(spark: SparkSession, csv: str, images: DataFrame, data_root: str, out: str, target_height: int = 64) -> DataFrame:
     """Turns a headerless CSV of image paths and texts into a trainer's folder (see write_trainer_set). Rows are numbered as
     they come, rows of the file that fail included."""
@@ -128,7 +114,7 @@ def polygon_set(pages: DataFrame, images: DataFrame, page_images: DataFrame, out
     their polygon, turned upright by their baseline and resized. page_images are (page, height, width, pixels), page being
     the image's path. Lines without text, and those whose crop is empty, are in the log."""
     pairs = pairing.xml_with_images(pages.select("path"), images).select(F.col("xml_path").alias("path"), "image_path")
-    found = numbered(lines.polygon_lines(pages).join(pairs, "path").withColumn("_order", F.struct("path", "region_idx", "line_idx")), "_order")
+    found = numbered(lines.polygon_lines(pages).join(pairs, "path"), "path", "region_idx", "line_idx")
     cut = found.select(F.col("image_path").alias("page"), F.col("number").cast("string").alias("line_id"), "x1", "y1", "x2", "y2", "coords", baseline_angle(F.col("baseline")).alias("angle"))
     crops = pixels.png_files(pixels.line_images(cut, page_images, target_height, mask=True, deskew=True)).select(F.col("line_id").cast("bigint").alias("number"), "png")
     text = strip(F.coalesce("text", F.lit("")))
@@ -158,6 +144,21 @@ def language_model_counts(spark: SparkSession, path: str, kind: str = "page", or
     return vocabulary.lm_corpus(found, "text", "path", "line_idx"), vocabulary.ngram_counts(found, "text", orders)
 
 
+def character_model(spark: SparkSession, path: str, out: str, kind: str = "page", order: int = 5) -> DataFrame:
+    """Trains a character model on a folder of layout files or texts (see language_model_counts) and writes it: out/arpa, text
+    files that one after the other are the model in the ARPA format, and out/model, the table (n, gram, logp, backoff), which
+    is returned."""
+    if kind == "text":
+        found = files.read_text_lines(spark, path)
+    else:
+        found = lines.corpus_lines(layout_xml.parse_pages(layout_xml.read_xml(spark, path), kind))
+    model = language_model.kneser_ney(language_model.adjusted_counts(found, order), order)
+    model.write.mode("overwrite").parquet(f"{out}/model")
+    model = spark.read.parquet(f"{out}/model")
+    sinks.arpa_rows(model).write.mode("overwrite").text(f"{out}/arpa")
+    return model
+
+
 def write_evaluation(rows: DataFrame, path: str) -> DataFrame:
     """Writes (id, reference, hypothesis, cer) of evaluated lines as CSV and returns one row: samples, mean and micro rate."""
     from palimpsest.plans.pipelines import evaluation

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import confidence, geometry, metrics, text
-from palimpsest.operators import api_log, layout, lines, pairing, quality, sequences, splits, training_log, vocabulary
-from palimpsest.session import new_folder
+from palimpsest.operators import api_log, language_model, layout, lines, numbering, pairing, quality, sequences, splits, training_log, vocabulary
+from palimpsest.session import new_folder, written
 from palimpsest.sources import layout_xml, sinks
 from palimpsest.sources import lines as xml_lines
 
@@ -170,6 +170,69 @@ def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.ngram_counts(lines.text_lines(table(spark, sf_dir, "benchmark"), "item_id"))
 
 
+def _char_lm_sql(order: int, source: str) -> str:
+    """WITH parts that end in a view m (n, gram, count, p, share) of a character model over lines of a table."""
+    size = "length(gram)"
+    levels = [f"a{order} AS (SELECT gram, count FROM raw WHERE {size} = {order})"]
+    for n in range(order - 1, 0, -1):
+        levels.append(f"a{n} AS (SELECT substr(gram, 2) AS gram, count(*) AS count FROM a{n + 1} GROUP BY 1 UNION ALL SELECT gram, count FROM raw WHERE {size} = {n})")
+    rated = ["p1 AS (SELECT gram, count, (count - d[least(count, 3)]) / (SELECT total FROM u) + (SELECT even FROM u) AS p, CAST(NULL AS VARCHAR) AS context, CAST(NULL AS DOUBLE) AS share FROM a1, (SELECT d FROM cuts WHERE n = 1) UNION ALL SELECT chr(1), NULL, even, NULL, NULL FROM u)"]
+    for n in range(2, order + 1):
+        sums = f"SELECT left(gram, {n - 1}) AS context, sum(count) AS total, (count(*) FILTER (count = 1) * any_value(d[1]) + count(*) FILTER (count = 2) * any_value(d[2]) + count(*) FILTER (count > 2) * any_value(d[3])) / sum(count) AS share FROM a{n}, (SELECT d FROM cuts WHERE n = {n}) GROUP BY 1"
+        rated.append(f"s{n} AS ({sums}), p{n} AS (SELECT a{n}.gram, a{n}.count, (a{n}.count - d[least(a{n}.count, 3)]) / s{n}.total + s{n}.share * p{n - 1}.p AS p, s{n}.context, s{n}.share FROM a{n} JOIN s{n} ON left(a{n}.gram, {n - 1}) = s{n}.context JOIN p{n - 1} ON substr(a{n}.gram, 2) = p{n - 1}.gram, (SELECT d FROM cuts WHERE n = {n}))")
+    model = " UNION ALL ".join(f"SELECT {n} AS n, p{n}.gram, p, s.share FROM p{n} LEFT JOIN s{n + 1} s ON s.context = p{n}.gram" if n < order else f"SELECT {n}, gram, p, NULL FROM p{n}" for n in range(1, order + 1))
+    fallback = ", ".join(map(str, language_model.FALLBACK))
+    return f"""
+l AS (SELECT chr(2) || trim(line) || chr(3) AS line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM {source}) WHERE trim(line) <> ''),
+raw AS (SELECT gram, count(*) AS count FROM (
+    SELECT unnest([substr(line, i, {order}) FOR i IN range(1, length(line) - {order} + 2)]) AS gram FROM l
+    UNION ALL SELECT unnest([left(line, k) FOR k IN range(2, least({order - 1}, length(line)) + 1)]) FROM l) GROUP BY gram),
+{", ".join(levels)},
+t AS (SELECT n, count(*) FILTER (count = 1) AS t1, count(*) FILTER (count = 2) AS t2, count(*) FILTER (count = 3) AS t3, count(*) FILTER (count = 4) AS t4
+      FROM ({" UNION ALL ".join(f"SELECT {n} AS n, count FROM a{n}" for n in range(1, order + 1))}) GROUP BY n),
+y AS (SELECT n, CASE WHEN t1 > 0 AND t2 > 0 AND t3 > 0 THEN [1 - 2 * (t1 / (t1 + 2 * t2)) * t2 / t1, 2 - 3 * (t1 / (t1 + 2 * t2)) * t3 / t2, 3 - 4 * (t1 / (t1 + 2 * t2)) * t4 / t3] END AS d FROM t),
+cuts AS (SELECT n, CASE WHEN d[1] BETWEEN 0 AND 1 AND d[2] BETWEEN 0 AND 2 AND d[3] BETWEEN 0 AND 3 THEN d ELSE [{fallback}] END AS d FROM y),
+u AS (SELECT sum(count) AS total, (count(*) FILTER (count = 1) * any_value(d[1]) + count(*) FILTER (count = 2) * any_value(d[2]) + count(*) FILTER (count > 2) * any_value(d[3])) / sum(count) / (count(*) + 1) AS even FROM a1, (SELECT d FROM cuts WHERE n = 1)),
+{", ".join(rated)},
+m AS ({model} UNION ALL SELECT 1, chr(2), 1e-99, share FROM s2 WHERE context = chr(2))"""
+
+
+@query(f"WITH {_char_lm_sql(5, 'documents')} SELECT n, gram, CAST(count AS BIGINT) AS count FROM ({' UNION ALL '.join(f'SELECT {n} AS n, gram, count FROM a{n}' for n in range(1, 6))})")
+def char_lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted counts of a character model of order five over all lines of documents."""
+    return language_model.adjusted_counts(lines.text_lines(table(spark, sf_dir, "documents"), "doc_id"), 5)
+
+
+@query(f"WITH {_char_lm_sql(4, 'documents')} SELECT n, gram, round(log10(p), 6) AS logp, round(log10(share), 6) AS backoff FROM m")
+def char_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A character model of order four over all lines of documents."""
+    found = language_model.adjusted_counts(lines.text_lines(table(spark, sf_dir, "documents"), "doc_id"), 4)
+    return language_model.kneser_ney(found, 4).select("n", "gram", F.round("logp", 6).alias("logp"), F.round("backoff", 6).alias("backoff"))
+
+
+@query(f"""
+WITH {_char_lm_sql(3, "benchmark")},
+g AS (SELECT lang, gram, count(*) AS c FROM (SELECT lang, unnest([line[greatest(1, i - 2):i] FOR i IN range(2, length(line) + 1)]) AS gram FROM (
+    SELECT lang, chr(2) || trim(line) || chr(3) AS line FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '')) GROUP BY 1, 2),
+r AS (SELECT g.lang, g.c, m1.p IS NULL AS unknown, CASE WHEN length(g.gram) = 3 AND m3.p IS NOT NULL THEN log10(m3.p)
+        ELSE CASE WHEN length(g.gram) = 3 THEN coalesce(log10(b2.share), 0) ELSE 0 END + CASE WHEN m2.p IS NOT NULL THEN log10(m2.p)
+        ELSE coalesce(log10(b1.share), 0) + coalesce(log10(m1.p), (SELECT log10(p) FROM m WHERE n = 1 AND gram = chr(1))) END END AS logp
+    FROM g LEFT JOIN m m3 ON m3.gram = g.gram AND m3.n = 3 LEFT JOIN m b2 ON b2.gram = left(g.gram, 2) AND b2.n = 2 AND length(g.gram) = 3
+    LEFT JOIN m m2 ON m2.gram = right(g.gram, 2) AND m2.n = 2 LEFT JOIN m b1 ON b1.gram = left(right(g.gram, 2), 1) AND b1.n = 1 LEFT JOIN m m1 ON m1.gram = right(g.gram, 1) AND m1.n = 1)
+SELECT lang, CAST(sum(c) AS BIGINT) AS chars, CAST(sum(CASE WHEN unknown THEN c ELSE 0 END) AS BIGINT) AS unknown, round(sum(c * logp), 4) AS logp, round(pow(10, -sum(c * logp) / sum(c)), 6) AS perplexity FROM r GROUP BY lang
+""")
+def char_lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a character model of the benchmark's lines foretells the documents' lines, by language."""
+    model = written(language_model.kneser_ney(language_model.adjusted_counts(lines.text_lines(table(spark, sf_dir, "benchmark"), "item_id"), 3), 3), "model")
+    found = language_model.perplexity(_document_lines(spark, sf_dir, "lang"), model, "lang", order=3, text_col="line")
+    return found.withColumns({"logp": F.round("logp", 4), "perplexity": F.round("perplexity", 6)})
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS number FROM lineitem")
+def dense_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all orders, numbered without gaps."""
+    return numbering.numbered(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
+
 @query("""
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'val' END AS split FROM documents
 """)

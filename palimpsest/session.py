@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -44,3 +44,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return where
+
+
+def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """df as a table in the shared folder: what reads it twice reads the same rows, and a lost executor costs nothing that
+    came before."""
+    path = new_folder(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -249,8 +249,6 @@ def test_small_operators(spark, tmp_path):
     assert files.read_settings(spark, str(tmp_path / "s")) == {"a": [1, "x"], "b": 1}
     (tmp_path / "t.yaml").write_text("rate: 0.5\nname: x\n")
     assert files.read_settings(spark, str(tmp_path / "t.yaml")) == {"rate": 0.5, "name": "x"}
-    n = jobs.numbered(spark.range(100).repartition(7).select((F.col("id") * 3).alias("o")), "o")
-    assert all(r.o == 3 * r.number for r in n.collect()) and n.count() == 100
 
 
 def test_page_pixels_with_a_decoder(spark, tmp_path):
