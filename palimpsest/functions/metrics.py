@@ -6,6 +6,7 @@ takes lines of tens of thousands of characters in a fraction of a second."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -21,25 +22,40 @@ SHORT = 256
 FIRST_SYMBOL = 0x4E00
 
 
-def sequence_distance(a: Sequence, b: Sequence) -> int:
-    """Levenshtein distance. The column of the table that goes with each element of b is two bit strings, its steps up and
-    down, and follows from the one before by a few operations on whole numbers (Myers 1999)."""
-    if not len(a) or not len(b):
-        return len(a) + len(b)
+def _places(a: Sequence) -> dict:
+    """The bit string of each element's places in a."""
     at: dict = {}
     for i, x in enumerate(a):
         at.setdefault(x, []).append(i)
-    size = len(a)
     places = {}
     for x, own in at.items():
-        bits = bytearray((size + 7) // 8)
+        bits = bytearray((len(a) + 7) // 8)
         for i in own:
             bits[i >> 3] |= 1 << (i & 7)
         places[x] = int.from_bytes(bits, "little")
+    return places
+
+
+def _column(same: int, up: int, down: int, full: int) -> tuple[int, int, int, int]:
+    """From a column's steps up and down, and the places that equal the next element, the steps to the right and left of it
+    in each row, and the next column's steps up and down (Myers 1999)."""
+    diagonal = (((same & up) + up) ^ up) | same | down
+    right, left = down | (full & ~(diagonal | up)), up & diagonal
+    r, l = right << 1 | 1, left << 1  # noqa: E741
+    return right, left, (l | ~(diagonal | r)) & full, r & diagonal & full
+
+
+def sequence_distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance. The column of the table that goes with each element of b is two bit strings, its steps up and
+    down, and follows from the one before by a few operations on whole numbers."""
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    size = len(a)
+    places = _places(a)
     full, top = (1 << size) - 1, 1 << (size - 1)
     up, down, distance = full, 0, size
     for x in b:
-        same = places.get(x, 0)
+        same = places.get(x, 0)  # as in _column, which would cost a call for each element
         diagonal = (((same & up) + up) ^ up) | same | down
         right, left = down | (full & ~(diagonal | up)), up & diagonal
         if right & top:
@@ -118,31 +134,65 @@ def overall(lines: DataFrame, *by: str, reference: str = "reference", hypothesis
     return rated.groupBy(*by).agg(F.count("*").alias("lines"), mean("cer", 0.0).alias("cer"), mean("wer", 0.0).alias("wer"), mean("match", 100.0).alias("match"), F.sum("d").alias("edits"), (F.sum("d") / F.sum(F.greatest(F.lit(1), F.col("n")))).alias("micro_cer"))
 
 
-def edit_operations(reference: str, hypothesis: str) -> list[tuple[str, str, str]]:
-    """(operation, reference part, hypothesis part), equal neighbours joined. Where alignments tie, going back from the
-    end keeps or replaces, then deletes, then inserts."""
-    n, m = len(reference), len(hypothesis)
-    d = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        row = [i]
-        for j in range(1, m + 1):
-            row.append(min(d[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1]), d[i - 1][j] + 1, row[j - 1] + 1))
-        d.append(row)
-    out: list[tuple[str, str, str]] = []
+def edit_path(a: Sequence, b: Sequence) -> bytes:
+    """One letter for each step of an alignment, from the beginning: e (equal), r (replace), d (delete), i (insert). Where
+    alignments tie, going back from the end keeps or replaces, then deletes, then inserts.
+
+    Columns are bit strings as for the distance. About the square root of their number are kept; going back, those between
+    two of them are made again. So a pair of 30,000 characters takes some megabytes, not a table of 900 million cells."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return b"d" * n + b"i" * m
+    places, full, width = _places(a), (1 << n) - 1, (n + 7) // 8
+    every = max(1, int(m**0.5))
+    kept = [(full, 0)]
+    for j in range(1, m):
+        _, _, up, down = _column(places.get(b[j - 1], 0), *(kept[-1] if (j - 1) % every == 0 else (up, down)), full)
+        if j % every == 0:
+            kept.append((up, down))
+    out = bytearray()
     i, j = n, m
-    while i or j:
-        same = i and j and reference[i - 1] == hypothesis[j - 1]
-        if i and j and d[i][j] == d[i - 1][j - 1] + (not same):
-            i, j, op = i - 1, j - 1, ("equal" if same else "replace", reference[i - 1], hypothesis[j - 1])
-        elif i and d[i][j] == d[i - 1][j] + 1:
-            i, op = i - 1, ("delete", reference[i - 1], "")
-        else:
-            j, op = j - 1, ("insert", "", hypothesis[j - 1])
-        if out and op[0] == "equal" == out[-1][0]:
-            out[-1] = ("equal", op[1] + out[-1][1], op[2] + out[-1][2])
-        else:
-            out.append(op)
-    return out[::-1]
+    while i and j:
+        start = (j - 1) // every * every
+        up, down = kept[start // every]
+        columns = []
+        for k in range(start, j):
+            before = up, down
+            right, left, up, down = _column(places.get(b[k], 0), up, down, full)
+            columns.append([x.to_bytes(width, "little") for x in (*before, right, left, up)])
+        while i and j > start:
+            if a[i - 1] == b[j - 1]:
+                out += b"e"
+                i, j = i - 1, j - 1
+                continue
+            up_before, down_before, right, left, up_here = columns[j - 1 - start]
+            byte, bit = (i - 1) >> 3, 1 << ((i - 1) & 7)
+            step = lambda more, less: bool(more[byte] & bit) - bool(less[byte] & bit)  # noqa: E731, B023
+            if step(right, left) + step(up_before, down_before) == 1:
+                out += b"r"
+                i, j = i - 1, j - 1
+            elif up_here[byte] & bit:
+                out += b"d"
+                i -= 1
+            else:
+                out += b"i"
+                j -= 1
+    out += b"d" * i + b"i" * j
+    return bytes(out[::-1])
+
+
+_NAMES = {"e": "equal", "r": "replace", "d": "delete", "i": "insert"}
+
+
+def edit_operations(reference: str, hypothesis: str) -> list[tuple[str, str, str]]:
+    """(operation, reference part, hypothesis part) along edit_path, equal neighbours joined, others one character each."""
+    out = []
+    i = j = 0
+    for own in re.findall("e+|.", edit_path(reference, hypothesis).decode()):
+        di, dj = (len(own) if own[0] != "i" else 0), (len(own) if own[0] != "d" else 0)
+        out.append((_NAMES[own[0]], reference[i : i + di], hypothesis[j : j + dj]))
+        i, j = i + di, j + dj
+    return out
 
 
 def _operations(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
@@ -151,5 +201,5 @@ def _operations(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
 
 
 def diff_operations(reference: Column | str, hypothesis: Column | str) -> Column:
-    """Edit operations of each pair; null texts count as empty. For lines, not for whole documents: quadratic."""
+    """Edit operations of each pair, whole documents too; null texts count as empty."""
     return F.pandas_udf(_operations, "array<struct<op:string,reference:string,hypothesis:string>>")(reference, hypothesis)

@@ -14,6 +14,7 @@ from palimpsest.operators import api_log, language_model, layout, lines, numberi
 from palimpsest.session import new_folder, written
 from palimpsest.sources import layout_xml, sinks
 from palimpsest.sources import lines as xml_lines
+from palimpsest.streaming import answers, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -681,6 +682,21 @@ def continuation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api_log.joined_chunks(chunks, "item_id", text_col="t").select("item_id", F.md5("text").alias("text_md5"), "used")
 
 
+@query("""
+SELECT doc_id, length(t) - length(replace(t, 'e', '')) AS edits, length(replace(t, 'e', '')) AS equal_chars, md5(t) AS reference_md5, md5(replace(t, 'e', '')) AS hypothesis_md5
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+""")
+def document_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents aligned with what is left without one letter: as many edits as letters are gone, and both texts again
+    from the operations."""
+    body = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").repartition("doc_id").select("doc_id", metrics.diff_operations(body, F.replace(body, F.lit("e"), F.lit(""))).alias("ops"))
+    joined = lambda name: F.md5(F.array_join(F.transform("ops", lambda o: o[name]), ""))
+    equal = F.aggregate("ops", F.lit(0).cast("bigint"), lambda s, o: s + F.when(o["op"] == "equal", F.length(o["reference"])).otherwise(0))
+    edits = F.size(F.filter("ops", lambda o: o["op"] != "equal")).cast("bigint")
+    return rows.select("doc_id", edits.alias("edits"), equal.alias("equal_chars"), joined("reference").alias("reference_md5"), joined("hypothesis").alias("hypothesis_md5"))
+
+
 @query()
 def diff_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit operations of benchmark texts against their hypothesis; the alignment is not unique, so no SQL."""
@@ -802,16 +818,42 @@ def alto_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENT_OF = "CASE WHEN event_id % 5 = 0 THEN ' ' WHEN event_id % 7 = 0 THEN event_type END"
 
 
-@query(f"""
+def _answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    said = F.when(e % 5 == 0, " ").when(e % 7 == 0, F.col("event_type"))
+    return table(spark, sf_dir, "events").select("user_id", e.alias("seq"), said.alias("text"), (e % 50).alias("prompt_tok"), (e % 31).alias("cand_tok"), (F.floor("value") % 400).alias("total_tok"))
+
+
+_OUTCOMES_SQL = f"""
 WITH e AS (SELECT user_id, event_id, {_EVENT_OF} AS text, event_id % 50 AS p, event_id % 31 AS c, CAST(floor(value) AS BIGINT) % 400 AS t FROM events),
 s AS (SELECT *, row_number() OVER w AS pos, coalesce(max(len(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS any_text, max(CAST(coalesce(trim(text) <> '', false) AS INTEGER)) OVER w = 1 AS seen FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 k AS (SELECT *, CASE WHEN NOT any_text AND greatest(0, t - p - c) >= 0.6 * 400 THEN 'reasoning abort' WHEN seen THEN 'early exit' END AS kind FROM s),
 z AS (SELECT user_id, min(pos) FILTER (WHERE kind IS NOT NULL) AS stop FROM k GROUP BY user_id)
 SELECT k.user_id, coalesce(max(kind) FILTER (WHERE pos = stop), 'fallback') AS outcome, max(pos) AS used FROM k JOIN z USING (user_id) WHERE stop IS NULL OR pos <= stop GROUP BY k.user_id
-""")
+"""
+
+
+@query(_OUTCOMES_SQL)
 def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How streamed answers end: at their first text, or where thinking uses up the budget."""
-    e = F.col("event_id")
-    said = F.when(e % 5 == 0, " ").when(e % 7 == 0, F.col("event_type"))
-    log = table(spark, sf_dir, "events").select("user_id", e.alias("seq"), said.alias("text"), (e % 50).alias("prompt_tok"), (e % 31).alias("cand_tok"), (F.floor("value") % 400).alias("total_tok"))
+    log = _answer_events(spark, sf_dir)
     return api_log.stream_outcomes(log, "user_id", budget=400).select("user_id", "outcome", F.col("used").cast("bigint").alias("used"))
+
+
+@query(_OUTCOMES_SQL)
+def live_stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same while the events arrive, in four parts by their order, with a state for each answer."""
+    events = _answer_events(spark, sf_dir)
+    log = events.withColumn("last", F.col("seq") == F.max("seq").over(Window.partitionBy("user_id")))
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    arriving, found, checkpoint = (new_folder(spark, name) for name in ("arriving", "outcomes", "checkpoint"))
+    spark.createDataFrame([], log.schema).write.parquet(arriving)
+    part = F.floor((F.col("seq") - F.lit(low)) * 4 / (F.lit(high) - F.lit(low) + 1)) if low is not None else F.lit(0)
+    for k in range(4):
+        log.where(part == k).write.mode("append").parquet(arriving)
+    stream = spark.readStream.schema(log.schema).parquet(arriving)
+    ended = answers.live_outcomes(stream, "user_id", "seq", "last", budget=400, wait_seconds=86_400)
+    schema = ended.schema
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{found}/batch={n}")  # noqa: E731  a batch that runs again replaces its rows
+    ingest.run_until_idle(ended.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(processingTime="1 second").foreachBatch(write).start())
+    return spark.read.schema(schema).parquet(found).select("user_id", "outcome", F.col("used").cast("bigint").alias("used"))

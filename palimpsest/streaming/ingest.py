@@ -55,3 +55,16 @@ def run_until(query: StreamingQuery, stop: Callable[[], bool], every: float = 0.
             return
         if stop():
             query.stop()
+
+
+def run_until_idle(query: StreamingQuery, every: float = 0.2) -> None:
+    """Waits for a query until two batches have found nothing new, of which the first may be one that a restart repeats, and
+    stops it; for queries with timers, which never run out of batches. An error of the query is raised."""
+
+    def idle() -> bool:
+        last = query.recentProgress[-2:]
+        return len(last) == 2 and not any(p["numInputRows"] for p in last)
+
+    run_until(query, idle, every)
+    if query.exception():
+        raise query.exception()

@@ -45,6 +45,43 @@ def test_edit_operations_rebuild_both_texts(a, b):
     assert sum(op != "equal" for op, _, _ in ops) == d[-1]
 
 
+def whole_table(a, b):
+    """The letters of edit_path, from a full table."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, j in ((i, j) for i in range(1, len(a) + 1) for j in range(1, len(b) + 1)):
+        d[i][j] = min(d[i - 1][j - 1] + (a[i - 1] != b[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    i, j, out = len(a), len(b), ""
+    while i or j:
+        if i and j and d[i][j] == d[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            i, j, out = i - 1, j - 1, out + ("e" if a[i - 1] == b[j - 1] else "r")
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            i, out = i - 1, out + "d"
+        else:
+            j, out = j - 1, out + "i"
+    return out[::-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=40), st.text("abcé", max_size=40))
+def test_edit_path_goes_the_way_of_a_full_table(a, b):
+    assert metrics.edit_path(a, b).decode() == whole_table(a, b)
+
+
+def test_edit_path_of_long_texts_takes_little_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(3)
+    a = "".join(rng.choices("abcdefgh ", k=30_000))
+    b = "".join(c if rng.random() > 0.1 else rng.choice(["", "x", "yz"]) for c in a)
+    tracemalloc.start()
+    path = metrics.edit_path(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6 and len(path) - path.count(b"e") == metrics.sequence_distance(a, b)
+    assert "".join(r for _, r, _ in metrics.edit_operations(a, b)) == a and "".join(h for *_, h in metrics.edit_operations(a, b)) == b
+
+
 def test_diff_operations(spark):
     ops = one(spark, metrics.diff_operations(F.lit("cat"), F.lit("cut")))[0]
     assert [tuple(o) for o in ops] == [("equal", "c", "c"), ("replace", "a", "u"), ("equal", "t", "t")]
