@@ -12,6 +12,7 @@ from palimpsest.operators import language_model, layout, pairing, quality, split
 from palimpsest.operators.numbering import numbered
 from palimpsest.operators.transcribe import Segmenter, Transcriber, segment_pages, transcribe
 from palimpsest.sources import files, layout_xml, lines, sinks
+from palimpsest.sources.arrow_files import read_arrow_blocks
 
 #: Least height of a line for convolutional engines; fixed value.
 LEAST_HEIGHT = 40
@@ -126,7 +127,7 @@ def polygon_set(pages: DataFrame, images: DataFrame, page_images: DataFrame, out
 def arrow_split(spark: SparkSession, path: str, out: str, key: Column, train_ratio: float = 0.8) -> dict[str, int]:
     """Splits Arrow files into train and val folders of Arrow streams, with a list of each beside them; the key, of which
     equal rows stay together, puts rows in order by its hash. Returns how many rows went where."""
-    rows = splits.train_val_split(files.read_arrow(spark, path).withColumn("_key", key), "_key", train_ratio).drop("_key")
+    rows = splits.train_val_split(read_arrow_blocks(spark, path).withColumn("_key", key), "_key", train_ratio).drop("_key")
     counts = {r.split: r.n for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
     for name in ("train", "val"):
         sinks.write_arrow(rows.where(F.col("split") == name).drop("split"), f"{out}/{name}")

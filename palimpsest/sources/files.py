@@ -51,8 +51,9 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of Arrow IPC files or streams of one schema, each parsed where Spark reads it; the schema is that of the first
-    file, of which nothing else comes to the driver. A folder without such files raises an error."""
+    """Rows of Arrow IPC files or streams of one schema, from any store that Spark reads, each file whole in one row; the
+    schema is that of the first file. A folder without such files raises an error. read_arrow_blocks takes files of any
+    size, from stores that pyarrow reads."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
