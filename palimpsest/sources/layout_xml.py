@@ -1,8 +1,8 @@
 """PAGE and ALTO layout XML as lines, regions and pages.
 
-Files are read by Spark's binaryFile source and parsed in Arrow batches by a standard XML parser, which keeps what column
-parsers lose: the order of mixed children, nested regions, and direct as against nested text. Any namespace is accepted.
-A file that cannot be parsed is a page with an error and no lines."""
+Files are read by Spark's binaryFile source and parsed by its XML functions, those with nested regions, nested text or mixed
+children that columns would lose by a standard XML parser in Arrow batches. Any namespace is accepted. A file that cannot be
+parsed is a page with an error and no lines."""
 
 from __future__ import annotations
 
@@ -122,19 +122,45 @@ def read_export(spark: SparkSession, folder: str) -> DataFrame:
     return read_xml(spark, folder)
 
 
+def _parsed(path: str, content: bytes, kind: str) -> dict:
+    try:
+        alto = kind == "alto" or kind == "auto" and b"<alto" in content[:2000].lower()
+        return {"path": path} | (parse_alto if alto else parse_page_xml)(bytes(content))
+    except (ET.ParseError, ValueError, TypeError, OverflowError) as e:
+        return {"path": path, "ns": None, "image_name": None, "width": None, "height": None, "error": f"{type(e).__name__}: {e}", "region_order": [], "regions": [], "lines": []}
+
+
+def _names() -> list[str]:
+    return [c.strip().split(" ")[0] for c in PAGES.replace("<", " <").split(", ")]
+
+
 def parse_pages(files: DataFrame, kind: str = "page") -> DataFrame:
-    """One row per file (path, content): see PAGES. kind is page, alto, or auto, which goes by the root element."""
-    names = [c.strip().split(" ")[0] for c in PAGES.replace("<", " <").split(", ")]
+    """One row per file (path, content): see PAGES. kind is page, alto, or auto, which goes by the root element. Files are
+    parsed by SQL functions; those of which these would lose something (see layout_columns) by an XML parser in Arrow
+    batches, to which no other file is sent."""
+    from palimpsest.sources.layout_columns import alto_columns, page_columns
+
+    names = _names()[1:]
+    shape = PAGES.partition(", ")[2]
+
+    def rest(content: pd.Series) -> pd.DataFrame:
+        rows = [None if c is None else _parsed("", c, kind) for c in content]
+        return pd.DataFrame([dict.fromkeys(names) if r is None else {k: r[k] for k in names} for r in rows], columns=names)
+
+    is_alto = F.lit(kind == "alto") if kind != "auto" else F.contains(F.lower(F.left(F.col("content").cast("string"), F.lit(2000))), F.lit("<alto"))
+    alto, page = (F.col("content") if kind == name else F.when(is_alto if name == "alto" else ~is_alto, F.col("content")) for name in ("alto", "page"))
+    own = alto_columns(alto) if kind == "alto" else page_columns(page) if kind == "page" else F.coalesce(page_columns(page), alto_columns(alto))
+    tried = files.select("path", "content", own.alias("own"))
+    left = F.pandas_udf(rest, shape)(F.when(F.col("own").isNull(), F.col("content")))
+    both = tried.select("path", "own", left.alias("rest"))
+    return both.select("path", *[F.when(F.col("own").isNull(), F.col("rest")[c]).otherwise(F.col("own")[c]).alias(c) for c in names])
+
 
-    def one(path: str, content: bytes) -> dict:
-        try:
-            alto = kind == "alto" or kind == "auto" and b"<alto" in content[:2000].lower()
-            return {"path": path} | (parse_alto if alto else parse_page_xml)(bytes(content))
-        except (ET.ParseError, ValueError, TypeError) as e:
-            return {"path": path, "ns": None, "image_name": None, "width": None, "height": None, "error": f"{type(e).__name__}: {e}", "region_order": [], "regions": [], "lines": []}
+def parse_pages_by_parser(files: DataFrame, kind: str = "page") -> DataFrame:
+    """The same, all by the XML parser."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([one(p, c) for p, c in zip(batch["path"], batch["content"], strict=True)], columns=names)
+            yield pd.DataFrame([_parsed(p, c, kind) for p, c in zip(batch["path"], batch["content"], strict=True)], columns=_names())
 
     return files.select("path", "content").mapInPandas(run, PAGES)
