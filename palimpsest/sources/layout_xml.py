@@ -151,7 +151,8 @@ def parse_pages(files: DataFrame, kind: str = "page") -> DataFrame:
     alto, page = (F.col("content") if kind == name else F.when(is_alto if name == "alto" else ~is_alto, F.col("content")) for name in ("alto", "page"))
     own = alto_columns(alto) if kind == "alto" else page_columns(page) if kind == "page" else F.coalesce(page_columns(page), alto_columns(alto))
     tried = files.select("path", "content", own.alias("own"))
-    left = F.pandas_udf(rest, shape)(F.when(F.col("own").isNull(), F.col("content")))
+    # Said to be nondeterministic so that no later explode or filter takes it in, where Python can't run.
+    left = F.pandas_udf(rest, shape).asNondeterministic()(F.when(F.col("own").isNull(), F.col("content")))
     both = tried.select("path", "own", left.alias("rest"))
     return both.select("path", *[F.when(F.col("own").isNull(), F.col("rest")[c]).otherwise(F.col("own")[c]).alias(c) for c in names])
 
