@@ -33,6 +33,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     return spark
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    name = f"__{name}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation of what came before them."""
 
@@ -98,16 +106,19 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, the same in every process; forgets all once it holds `most` words."""
+    """word -> 64-bit hash, the same in every process; forgets all once it holds `most` words, and keeps none of more than
+    `longest` characters."""
 
-    def __init__(self, most: int = 100_000):
+    def __init__(self, most: int = 100_000, longest: int = 100):
         super().__init__()
-        self.most = most
+        self.most, self.longest = most, longest
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
 

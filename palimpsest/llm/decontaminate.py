@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch, dealt_anew, hash_words, slices
+from palimpsest.llm.common import Scratch, dealt_anew, free_name, hash_words, slices
 
 RESULT = "doc_id bigint, item_id bigint, coverage double, matched_words bigint, tiles bigint, longest bigint"
 
@@ -209,9 +209,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.
     items = _items(benchmark, item_col, item_text_col)
     index = _index(items, least, most_seeds)
     if index is None:
-        rows = Scratch(docs.sparkSession, "decontaminate").cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-        bad = _by_join(rows.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("_text")), items, threshold, least)
-        return rows.join(bad.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").drop("__row")
+        row = free_name(docs, "row")
+        rows = Scratch(docs.sparkSession, "decontaminate").cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        bad = _by_join(rows.select(F.col(row).alias("doc_id"), F.col(text_col).alias("_text")), items, threshold, least)
+        return rows.join(bad.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(index)
     at = docs.columns.index(text_col)
 

@@ -74,8 +74,12 @@ class Block:
     parent: str
 
 
+#: Characters of a tag's attributes up to which what they say is kept for the next such tag.
+KEPT = 300
+
+
 @lru_cache(maxsize=20_000)
-def _own(tag: str, attributes: str) -> tuple[int, ...]:
+def _own_kept(tag: str, attributes: str) -> tuple[int, ...]:
     """Features of one element: its tag and the groups of its attribute words."""
     out = [FEATURE[f"tag:{tag}"]] if f"tag:{tag}" in FEATURE else []
     for m in _ATTRIBUTE.finditer(attributes):
@@ -85,17 +89,25 @@ def _own(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+def _own(tag: str, attributes: str) -> tuple[int, ...]:
+    return (_own_kept if len(attributes) <= KEPT else _own_kept.__wrapped__)(tag, attributes)
+
+
 _ARTICLE = frozenset((FEATURE["tag:article"], FEATURE["tag:main"], FEATURE["name:content"]))
 _WITHIN = {FEATURE[f"tag:{t}"]: FEATURE[f"{t} in article"] for t in _INSIDE} | {FEATURE[f"name:{g}"]: FEATURE[f"name:{g} in article"] for g in NAME_GROUPS}
 
 
 @lru_cache(maxsize=50_000)
-def _below(above: frozenset[int], tag: str, attributes: str) -> frozenset[int]:
+def _below_kept(above: frozenset[int], tag: str, attributes: str) -> frozenset[int]:
     own = _own(tag, attributes)
     inside = [_WITHIN[f] for f in own if f in _WITHIN] if above & _ARTICLE else []
     return above.union(own, inside)
 
 
+def _below(above: frozenset[int], tag: str, attributes: str) -> frozenset[int]:
+    return (_below_kept if len(attributes) <= KEPT else _below_kept.__wrapped__)(above, tag, attributes)
+
+
 def tag_ends(page: str) -> tuple[list[int], list[int]]:
     """The places of quotes and >, and for each the place of the > that ends a tag which is open there outside quotes,
     -1 if none does. One pass from the end."""

@@ -19,8 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds on what is broadcast: templates, and bigrams in the table of templates by size.
-MOST_TEMPLATES, MOST_BIGRAMS = 500, 2_000_000
+#: Bounds on what is broadcast: templates, their bigrams, and the rows of the table of templates by size.
+MOST_TEMPLATES, MOST_BIGRAMS, MOST_SIZES = 500, 2_000_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -120,16 +120,20 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold:
     Null, empty and wordless texts match nothing; repeated rows are reported each, null ids stay null; other columns are not
     read.
 
-    Each template is listed under every size it can match, so that the size bounds are an equality and the join with
-    the bounded template table is a broadcast hash join."""
-    by_size = []
-    for t in templates:
-        grams = template_bigrams(t.text)
+    Each template's number is listed under every size it can match, so that the size bounds are an equality, and its
+    bigrams stand once beside it: both joins are broadcast hash joins with bounded tables, and a licence of thousands of
+    words is a template like others."""
+    by_size: dict[int, list[int]] = {}
+    own = [template_bigrams(t.text) for t in templates]
+    for k, grams in enumerate(own):
         low, high = len(grams) * threshold / (2 - threshold), len(grams) * (2 - threshold) / threshold
-        by_size += [(n, t.license_id, t.name, grams) for n in range(math.ceil(low - 1e-9), math.floor(high + 1e-9) + 1) if n and grams]
-    if len(templates) > MOST_TEMPLATES or sum(len(g) for *_, g in by_size) > MOST_BIGRAMS:
+        for n in range(math.ceil(low - 1e-9), math.floor(high + 1e-9) + 1) if grams else ():
+            by_size.setdefault(n, []).append(k)
+    if len(templates) > MOST_TEMPLATES or sum(map(len, own)) > MOST_BIGRAMS or sum(map(len, by_size.values())) > MOST_SIZES:
         raise ValueError("too many or too long templates for a broadcast")
-    table = docs.sparkSession.createDataFrame(by_size, "size int, license_id string, template string, grams array<string>")
+    spark = docs.sparkSession
+    sizes = spark.createDataFrame([(n, ks) for n, ks in by_size.items() if n], "size int, numbers array<int>")
+    table = spark.createDataFrame([(k, t.license_id, t.name, grams) for k, (t, grams) in enumerate(zip(templates, own, strict=True))], "number int, license_id string, template string, grams array<string>")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("unit_no"), x.alias("piece")))
     marked = F.filter(F.split(F.regexp_replace("text", "([.!?])[ \t]+", "$1\x1e"), "\n"), lambda x: F.contains(x, F.lit("\x1e")))
     sentences = F.transform(F.flatten(F.transform(marked, lambda x: F.split(x, "\x1e"))), lambda x, i: F.struct(F.lit("sentence").alias("unit"), i.alias("unit_no"), x.alias("piece")))
@@ -139,7 +143,8 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text <> ''")
     texts = texts.where(F.arrays_overlap(plain_words(F.col("text")), F.array(*map(F.lit, telling_words(templates, threshold)))))
     units = F.transform(F.concat(lines, sentences, paragraphs, whole), lambda u: F.struct(u["unit"].alias("unit"), u["unit_no"].alias("unit_no"), bigrams(u["piece"]).alias("own")))
-    found = texts.select("doc_id", F.explode_outer(units).alias("u")).join(F.broadcast(table), F.size("u.own") == F.col("size"))
+    found = texts.select("doc_id", F.explode_outer(units).alias("u")).join(F.broadcast(sizes), F.size("u.own") == F.col("size"))
+    found = found.select("doc_id", "u", "size", F.explode("numbers").alias("number")).join(F.broadcast(table), "number")
     dice = F.round(2.0 * F.size(F.array_intersect("u.own", "grams")) / (F.col("size") + F.size("grams")), 6)
     return found.select("doc_id", "u.unit", "u.unit_no", "license_id", "template", dice.alias("dice")).where(F.col("dice") >= threshold)
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch, dealt_anew, hash_words, mix64, ragged, shingle_hashes, slices, unit
+from palimpsest.llm.common import Scratch, dealt_anew, free_name, hash_words, mix64, ragged, shingle_hashes, slices, unit
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
 
@@ -314,10 +314,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     with a null id come last. Rows with a null or empty text all stay, as do texts without words that equal no other."""
     ids = docs.select(F.col(id_col).cast("bigint").alias("id")).groupBy("id").agg(F.count("*").alias("rows"))
     if ids.where("id is null or rows > 1").isEmpty():
-        gone = near_duplicates(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-        return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    rows = Scratch(docs.sparkSession, "keep_one").cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    classes = near_duplicates(rows, "__row", text_col).select(F.col("doc_id").alias("__row"), "class_id")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
-    kept = rows.select("__row", id_col).join(classes, "__row").groupBy("class_id").agg(F.min_by("__row", order).alias("__row"))
-    return rows.join(kept.select("__row"), "__row", "left_semi").drop("__row")
+        other = free_name(docs, "gone")
+        gone = near_duplicates(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias(other))
+        return docs.join(gone, F.col(id_col) == F.col(other), "left_anti")
+    row, own = free_name(docs, "row"), free_name(docs, "class")
+    rows = Scratch(docs.sparkSession, "keep_one").cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    classes = near_duplicates(rows, row, text_col).select(F.col("doc_id").alias(row), F.col("class_id").alias(own))
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row))
+    kept = rows.select(row, id_col).join(classes, row).groupBy(own).agg(F.min_by(row, order).alias(row))
+    return rows.join(kept.select(row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

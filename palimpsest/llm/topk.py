@@ -7,10 +7,11 @@ so that their cells return what beats it and nothing else. The best of all cells
 
 Within a cell candidates are taken in blocks by descending length. Lengths alone bound what a query can still reach, so a
 query stops at the first block that cannot reach its k-th best score so far. Both sides are rotated by the candidates'
-right singular vectors, which gathers most of the product in the first dimensions; a candidate goes on only if its partial
-sum over those plus the Cauchy-Schwarz bound of the rest, the product of the residual lengths, reaches the k-th best. Where
-that leaves many, the sums of the block are completed before the test is repeated. What goes on is scored exactly in
-integers. The bounds are in floating point and have a slack above their rounding error.
+right singular vectors, which gathers most of the product in the first dimensions. Sums grow by stages of the dimensions:
+after each, a pair goes on only if its partial sum plus the Cauchy-Schwarz bound of the rest, the product of the residual
+lengths, reaches the k-th best. While most pairs of a block are left their next terms come from one matrix product, after
+that from a gather for the pairs alone. What passes the last bound is scored exactly in integers. The bounds are in floating
+point and have a slack above their rounding error.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from palimpsest.llm.common import Scratch
 CELL_CANDIDATES, CELL_QUERIES, LEAST_STRIP = 65_536, 32_768, 2_048
 #: Classes of length in which a squared length doubles.
 CLASSES = 8
-#: Share of a block's pairs that the residual bound must leave for their sums to be completed together.
-DENSE = 0.02
+#: Shares of the dimensions after which the residual bound is tested.
+STAGES = (0.25, 0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375)
+#: Share of a block's pairs under which their sums are continued one by one.
+GATHERED = 0.05
 _NONE = np.iinfo(np.int64).min
 
 
@@ -47,9 +50,36 @@ def _best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np
     return q[keep], score[keep], ids[keep]
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _staged(q: np.ndarray, c: np.ndarray, q_rest: list[np.ndarray], c_rest: list[np.ndarray], ends: list[int], needed: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (row of q, row of c) whose partial sum and bound of the rest reach what the row of q needs after every
+    stage; their numbers are added to `alive`, that of all pairs first."""
+    alive[0] += len(q) * len(c)
+    keep, sums, start = np.ones((len(q), len(c)), bool), np.zeros((len(q), len(c))), 0
+    i = j = None
+    for s, end in enumerate(ends):
+        if i is None:
+            sums += q[:, start:end] @ c[:, start:end].T
+            keep &= sums + np.outer(q_rest[s], c_rest[s]) >= needed[:, None]
+            left = int(np.count_nonzero(keep))
+            if left <= GATHERED * keep.size:
+                i, j = np.nonzero(keep)
+                sums = sums[i, j]
+        else:
+            for at in range(0, len(i), 65536):
+                own = slice(at, at + 65536)
+                sums[own] += np.einsum("ij,ij->i", q[i[own], start:end], c[j[own], start:end])
+            good = sums + q_rest[s][i] * c_rest[s][j] >= needed[i]
+            i, j, sums = i[good], j[good], sums[good]
+            left = len(i)
+        alive[s + 1] += left
+        start = end
+    return np.nonzero(keep) if i is None else (i, j)
+
+
+def search(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None, block: int = 2048, passed: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, score, candidate id) of the k best candidates of each query, its own id left out; with `least`, of
-    those whose score is no less."""
+    those whose score is no less. `passed` gets the numbers of pairs: all, those that the lengths leave, and those left
+    after each stage."""
     none = np.zeros(0, np.int64)
     if not len(queries) or not len(candidates):
         return none, none, none
@@ -59,8 +89,10 @@ def search(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, i
     c, q = candidates.astype(np.float64), queries.astype(np.float64)
     rotation = np.linalg.eigh(c.T @ c)[1][:, ::-1]
     c, q = c @ rotation, q @ rotation
-    first = max(1, c.shape[1] // 4)
-    c_rest, q_rest = np.sqrt((c[:, first:] ** 2).sum(axis=1)), np.sqrt((q[:, first:] ** 2).sum(axis=1))
+    ends = sorted({max(1, round(c.shape[1] * share)) for share in STAGES})
+    c_rest, q_rest = ([np.sqrt((x[:, end:] ** 2).sum(axis=1)) for end in ends] for x in (c, q))
+    alive = np.zeros(len(ends) + 2, np.int64)
+    alive[0] = len(q) * len(c)
     q_length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
     reach = np.full(len(q), _NONE) if least is None else least.copy()
     found = (none, none, none)
@@ -72,13 +104,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, i
         live = live[q_length[live] * length[at] >= reach[live] - slack[live]]
         new = [found]
         for part in np.array_split(live, max(1, len(live) // 1024)):
-            needed = (reach[part] - slack[part])[:, None]
-            partial = q[part, :first] @ c[cut, :first].T
-            keep = partial + np.outer(q_rest[part], c_rest[cut]) >= needed
-            if keep.mean() > DENSE:  # the bound tells little here: the other dimensions are added for all at once
-                partial += q[part, first:] @ c[cut, first:].T
-                keep &= partial >= needed
-            i, j = np.nonzero(keep)
+            i, j = _staged(q[part], c[cut], [x[part] for x in q_rest], [x[cut] for x in c_rest], ends, reach[part] - slack[part], alive[1:])
             i, j = part[i], j + at
             other = query_ids[i] != ids[j]
             i, j = i[other], j[other]
@@ -91,6 +117,8 @@ def search(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, i
         full = count == k
         reach[full] = np.maximum(reach[full], found[1][last[full]])
         at, step = at + step, block
+    if passed is not None:
+        passed[:] = alive.tolist()
     return found
 
 

@@ -49,17 +49,20 @@ def text_features(text: str | None) -> np.ndarray:
 
 
 class WordFeatures(dict):
-    """word -> those of its features that have a weight, alone or for several words; forgets all at `most` words."""
+    """word -> those of its features that have a weight, alone or for several words; forgets all at `most` words, and keeps
+    none of more than `longest` characters."""
 
-    def __init__(self, weights: dict[int, float], most: int = 200_000):
+    def __init__(self, weights: dict[int, float], most: int = 200_000, longest: int = 100):
         super().__init__()
-        self.weights, self.most = weights, most
+        self.weights, self.most, self.longest = weights, most, longest
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
         w = self.weights
-        out = self[word] = tuple(f for f in word_features(word) if f in w or any(several(f, n) in w for n in SEVERAL))
+        out = tuple(f for f in word_features(word) if f in w or any(several(f, n) in w for n in SEVERAL))
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -88,13 +91,19 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _feature_lists(docs: DataFrame, text_col: str) -> list[np.ndarray]:
-    """Distinct features of each text of a bounded sample, gathered on the driver end to end; the lists are views of that."""
+def _feature_lists(docs: DataFrame, text_col: str, known: np.ndarray | None = None) -> list[np.ndarray]:
+    """Distinct features of each text of a bounded sample, all or those in a sorted array, gathered on the driver end to end;
+    the lists are views of that."""
+    shared = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
+
+    def own(text: str | None) -> np.ndarray:
+        found = text_features(text)
+        return found if shared is None else shared.value[_slots(shared.value, found)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
-                found = [text_features(t) for t in batch.column(0).to_pylist()]
+                found = [own(t) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([ragged(np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int32), np.array([len(f) for f in found], np.int64), pa.int32())], ["features"])
 
     out: list[np.ndarray] = []
@@ -132,6 +141,12 @@ def nnpu_risk(w: np.ndarray, rows: np.ndarray, cols: np.ndarray, n_pos: int, n:
     return float(toxic), float(rest), grad
 
 
+def common_features(texts: list[np.ndarray], least_df: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The features that least_df texts or more have, sorted, and how many have each."""
+    found, df = np.unique(np.concatenate([*texts, np.zeros(0, np.int32)]), return_counts=True)
+    return found[df >= least_df].astype(np.int32), df[df >= least_df]
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 300, step: float = 0.05, decay: float = 1e-4, least_df: int = 4, least_share: float = 0.5, least_g: float = 16.0, most_features: int = 50_000) -> ToxicityModel:
     """Minimises the non-negative risk by Adam over all samples. A feature takes part if at
     least least_df positive texts have it, if the prior and its rates in both samples put the share of toxic texts among
@@ -141,8 +156,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     bias = float(np.log(prior / (1 - prior)))
     if not positive:
         return ToxicityModel(-30.0, {}, 0.0)
-    found, df_p = np.unique(np.concatenate(positive), return_counts=True)
-    found, df_p = found[df_p >= least_df], df_p[df_p >= least_df]
+    found, df_p = common_features(positive, least_df)
     df_u = np.zeros(len(found))
     for fs in unlabelled:
         df_u[_slots(found, fs)] += 1
@@ -182,7 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic = ids.where("_y = 1").groupBy("_id").agg(F.lit(1).alias("_one")).orderBy(order, "_id").limit(max_positive)
     drawn = texts.select("_id").distinct().orderBy(order, "_id").limit(max_unlabelled)
     positive, unlabelled = (texts.join(F.broadcast(ids), "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text")) for ids in (toxic, drawn))
-    return fit_nnpu(_feature_lists(positive, "_text"), _feature_lists(unlabelled, "_text"), float(share))
+    own = _feature_lists(positive, "_text")
+    # What too few positive texts have takes no part, so nobody else's is asked for.
+    model = fit_nnpu(own, _feature_lists(unlabelled, "_text", common_features(own)[0]), float(share))
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
