@@ -65,7 +65,7 @@ def available(spark: SparkSession, prefix: str = "", only: bool = False) -> Data
     return found.where("available") if only else found
 
 
-def _guarded(transcriber: Transcriber, lines: pd.DataFrame) -> pd.DataFrame:
+def guarded(transcriber: Transcriber, lines: pd.DataFrame) -> pd.DataFrame:
     """Predictions of a batch; where it fails, of its lines one by one, each failure an error row."""
     keys = lines[["page", "line_id", "line_idx"]].reset_index(drop=True)
     try:
@@ -75,7 +75,7 @@ def _guarded(transcriber: Transcriber, lines: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([keys, out[["text", "confidence"]].reset_index(drop=True)], axis=1).assign(error=None)
     except Exception as e:  # noqa: BLE001  a transcriber's failure must not end the job
         if len(lines) > 1:
-            return pd.concat([_guarded(transcriber, lines.iloc[[i]]) for i in range(len(lines))], ignore_index=True)
+            return pd.concat([guarded(transcriber, lines.iloc[[i]]) for i in range(len(lines))], ignore_index=True)
         return keys.assign(text=None, confidence=None, error=f"{type(e).__name__}: {e}")
 
 
@@ -99,14 +99,14 @@ def transcribe(lines: DataFrame, transcriber: Transcriber) -> DataFrame:
     if transcriber.by_page:
 
         def page(rows: pd.DataFrame) -> pd.DataFrame:
-            return _guarded(_loaded(key, transcriber), rows.sort_values("line_idx"))
+            return guarded(_loaded(key, transcriber), rows.sort_values("line_idx"))
 
         return columns.groupBy("page").applyInPandas(page, RESULT)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield _guarded(_loaded(key, transcriber), batch)
+                yield guarded(_loaded(key, transcriber), batch)
 
     return columns.mapInPandas(run, RESULT)
 

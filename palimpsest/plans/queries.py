@@ -726,16 +726,34 @@ def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", "line_id", "region", "line_number")
 
 
-@query("""
+def _line_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_bytes = F.encode("text", "UTF-8").alias("content")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("page"), F.col("turn").cast("string").alias("line_id"), F.col("turn").cast("int").alias("line_idx"), text_bytes)
+
+
+_ECHO_SQL = """
 SELECT CAST(conv_id AS VARCHAR) AS page, count(*) AS line_count, CAST(sum(len(replace(text, chr(10), ''))) AS BIGINT) AS char_count, round(avg(least(1.0, len(text) / 100)), 6) AS avg_confidence
 FROM conversations GROUP BY conv_id
-""")
+"""
+
+
+@query(_ECHO_SQL)
 def echo_transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines through the echo transcriber, summed by page."""
     from palimpsest.operators.transcribe import EchoTranscriber, transcribe
 
-    work = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("page"), F.col("turn").cast("string").alias("line_id"), F.col("turn").cast("int").alias("line_idx"), F.encode("text", "UTF-8").alias("content"))
-    return quality.page_summary(transcribe(work, EchoTranscriber()), "page").withColumns({"avg_confidence": F.round("avg_confidence", 6), "char_count": F.col("char_count").cast("bigint")})
+    return quality.page_summary(transcribe(_line_images(spark, sf_dir), EchoTranscriber()), "page").withColumns({"avg_confidence": F.round("avg_confidence", 6), "char_count": F.col("char_count").cast("bigint")})
+
+
+@query(_ECHO_SQL)
+def transcribe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a table function in SQL, page by page."""
+    from palimpsest.operators import table_functions
+
+    table_functions.register(spark)
+    _line_images(spark, sf_dir).createOrReplaceTempView("palimpsest_lines")
+    found = spark.sql("SELECT * FROM transcribe(TABLE(palimpsest_lines) PARTITION BY page ORDER BY (line_idx), 'echo')")
+    return quality.page_summary(found, "page").withColumns({"avg_confidence": F.round("avg_confidence", 6), "char_count": F.col("char_count").cast("bigint")})
 
 
 _PART_LINES = """SELECT 'p' || p_partkey // 40 AS path, 'r' || p_partkey % 3 AS region_id, p_partkey % 3 AS region_idx, 'l' || p_partkey AS line_id, p_partkey AS line_idx, trim(p_name) AS text, CAST(p_partkey * 13 % 900 AS INTEGER) AS x1,
