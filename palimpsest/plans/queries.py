@@ -14,7 +14,7 @@ from palimpsest.operators import api_log, language_model, layout, lines, numberi
 from palimpsest.session import new_folder, written
 from palimpsest.sources import layout_xml, sinks
 from palimpsest.sources import lines as xml_lines
-from palimpsest.streaming import answers, ingest
+from palimpsest.streaming import answers, ingest, totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -318,7 +318,10 @@ def confidence_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(confidence.confidence_class(F.col("c")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT user_id, count(*) AS line_count, CAST(sum(len(event_type)) AS BIGINT) AS char_count, round(avg({_CONF}), 6) AS avg_confidence FROM events GROUP BY user_id")
+_SUMMARY_SQL = f"SELECT user_id, count(*) AS line_count, CAST(sum(len(event_type)) AS BIGINT) AS char_count, round(avg({_CONF}), 6) AS avg_confidence FROM events GROUP BY user_id"
+
+
+@query(_SUMMARY_SQL)
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, characters and mean confidence by page."""
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("text"), confidence.normalised(F.col("value")).alias("confidence"))
@@ -337,15 +340,53 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("avg_confidence", "images_per_second", "seconds_per_image", "lines_per_second")})
 
 
-@query("""
+_ERRORS_SQL = """
 SELECT CASE WHEN contains(m, ':') THEN split_part(m, ':', 1) ELSE left(m, 50) END AS error_type, count(*) AS n
 FROM (SELECT CASE WHEN event_id % 3 = 0 THEN event_type ELSE event_type || ': ' || user_id END AS m FROM events) GROUP BY error_type
-""")
+"""
+
+
+@query(_ERRORS_SQL)
 def error_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat("event_type", F.lit(": "), F.col("user_id").cast("string")))
     return quality.error_breakdown(table(spark, sf_dir, "events").select(message.alias("error")))
 
 
+def _in_parts(spark: SparkSession, rows: DataFrame, order: str, parts: int = 4) -> str:
+    """A folder to which rows came in some parts, by ranges of a number, each behind the one before."""
+    folder = new_folder(spark, "arriving")
+    spark.createDataFrame([], rows.schema).write.parquet(folder)
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    part = F.floor((F.col(order) - F.lit(low)) * parts / (F.lit(high) - F.lit(low) + 1)) if low is not None else F.lit(0)
+    for k in range(parts):
+        rows.where(part == k).write.mode("append").parquet(folder)
+    return folder
+
+
+def _running(spark: SparkSession, rows: DataFrame, total: totals.Total) -> DataFrame:
+    """A total of rows that arrive in four parts, a file a batch, folded on the way."""
+    out, checkpoint = new_folder(spark, "totals"), new_folder(spark, "checkpoint")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(_in_parts(spark, rows, "event_id"))
+    totals.keep_totals(stream, [total], out, checkpoint).awaitTermination()
+    totals.fold(spark, total, out)
+    return totals.read_total(spark, total, out)
+
+
+# Twelve places, as means of six can lie on the edge between two, where the order of a sum decides.
+@query(_SUMMARY_SQL.replace(", 6)", ", 12)"))
+def running_page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, characters and mean confidence by page, kept up to date while lines arrive."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("text"), confidence.normalised(F.col("value")).alias("confidence"))
+    return _running(spark, rows, totals.page_totals("user_id")).withColumn("avg_confidence", F.round("avg_confidence", 12))
+
+
+@query(_ERRORS_SQL)
+def running_error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by type, kept up to date while they arrive."""
+    message = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat("event_type", F.lit(": "), F.col("user_id").cast("string")))
+    return _running(spark, table(spark, sf_dir, "events").select("event_id", message.alias("error")), totals.error_totals())
+
+
 @query("""
 SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events) WHERE last IS NULL OR event_type <> last
 """)
@@ -863,13 +904,8 @@ def live_stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same while the events arrive, in four parts by their order, with a state for each answer."""
     events = _answer_events(spark, sf_dir)
     log = events.withColumn("last", F.col("seq") == F.max("seq").over(Window.partitionBy("user_id")))
-    low, high = log.agg(F.min("seq"), F.max("seq")).first()
-    arriving, found, checkpoint = (new_folder(spark, name) for name in ("arriving", "outcomes", "checkpoint"))
-    spark.createDataFrame([], log.schema).write.parquet(arriving)
-    part = F.floor((F.col("seq") - F.lit(low)) * 4 / (F.lit(high) - F.lit(low) + 1)) if low is not None else F.lit(0)
-    for k in range(4):
-        log.where(part == k).write.mode("append").parquet(arriving)
-    stream = spark.readStream.schema(log.schema).parquet(arriving)
+    found, checkpoint = new_folder(spark, "outcomes"), new_folder(spark, "checkpoint")
+    stream = spark.readStream.schema(log.schema).parquet(_in_parts(spark, log, "seq"))
     ended = answers.live_outcomes(stream, "user_id", "seq", "last", budget=400, wait_seconds=86_400)
     schema = ended.schema
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{found}/batch={n}")  # noqa: E731  a batch that runs again replaces its rows
