@@ -1,10 +1,11 @@
-"""Pixel kernels on grey images (rows with height, width and the pixels as bytes), in numpy within Arrow batches."""
+"""Pixel kernels on grey and colour images (rows with height, width and the pixels as bytes, in colour three to a pixel), in
+numpy within Arrow batches."""
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,13 +15,16 @@ from pyspark.sql import types as T
 
 
 def otsu_threshold(gray: np.ndarray) -> int:
-    """The grey value with the largest variance between classes; both classes count the threshold's own bin."""
-    histogram = np.bincount(gray.ravel(), minlength=256).astype(np.float64)
-    values = np.arange(256)
-    low, high = np.cumsum(histogram), np.cumsum(histogram[::-1])[::-1]
-    low_mean = np.cumsum(histogram * values) / np.maximum(low, 1)
-    high_mean = np.cumsum((histogram * values)[::-1])[::-1] / np.maximum(high, 1)
-    return int(np.argmax(low * high * (low_mean - high_mean) ** 2))
+    """The grey value with the largest variance between classes; both classes count the threshold's own bin. With n and m
+    pixels of sums s and t the variance is (s m - t n)^2 / (n m), and the upper class is all less the lower one and once the
+    bin again."""
+    own = np.bincount(gray.ravel(), minlength=256).astype(np.float64)
+    mass = np.stack([own, own * np.arange(256)])  # pixels and their grey
+    dark = mass.cumsum(axis=1)
+    bright = mass.sum(axis=1, keepdims=True) - dark + mass
+    pairs = dark[0] * bright[0]
+    apart = (dark[1] * bright[0] - bright[1] * dark[0]) ** 2
+    return int(np.argmax(np.divide(apart, pairs, out=np.zeros(256), where=pairs > 0)))
 
 
 def inside_polygon(points: list[tuple[float, float]], width: int, height: int) -> np.ndarray:
@@ -75,6 +79,19 @@ def locally_dark(gray: np.ndarray, block: int = 35, offset: float = 10.0) -> np.
     return gray < mean - offset
 
 
+def darker_than_around(gray: np.ndarray, block: int = 15, offset: float = 8.0) -> np.ndarray:
+    """Pixels no brighter than the rounded Gaussian mean of the block around them less an offset. The deviation follows from
+    the block's size, edges are repeated."""
+    reach, sigma = block // 2, 0.3 * ((block - 1) * 0.5 - 1) + 0.8
+    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    weights /= weights.sum()
+    mean = gray.astype(np.float64)
+    for axis in (0, 1):
+        padded = np.pad(mean, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        mean = sum(w * np.take(padded, np.arange(k, k + gray.shape[axis]), axis) for k, w in enumerate(weights))
+    return gray <= np.rint(mean) - offset
+
+
 def grown(mask: np.ndarray, height: int, width: int) -> np.ndarray:
     """Pixels with a true one in the rectangle around them, outside counting as false."""
     out = mask
@@ -98,12 +115,12 @@ def closed(mask: np.ndarray, height: int, width: int, times: int = 1) -> np.ndar
 
 def ink_mask(gray: np.ndarray, rule: str = "otsu") -> np.ndarray:
     """Ink pixels. otsu: below the Otsu threshold. combined: below that of the smoothed image or locally dark, closed twice
-    by 3 x 5 pixels. wide: locally dark in small blocks, closed by 1 x 30 and 3 x 1 pixels."""
+    by 3 x 5 pixels. wide: darker than the Gaussian mean of small blocks, closed by 1 x 30 and 3 x 1 pixels."""
     if rule == "combined":
         soft = np.rint(smoothed(gray)).astype(np.uint8)
         return closed((soft < otsu_threshold(soft)) | locally_dark(gray), 3, 5, 2)
     if rule == "wide":
-        return closed(closed(locally_dark(gray, 15, 8.0), 1, 30), 3, 1)
+        return closed(closed(darker_than_around(gray, 15, 8.0), 1, 30), 3, 1)
     return gray < otsu_threshold(gray)
 
 
@@ -116,23 +133,35 @@ def row_ink(gray: np.ndarray, rule: str = "otsu") -> np.ndarray:
     return np.median(np.stack([padded[:-2], padded[1:-1], padded[2:]]), axis=0)
 
 
-def png(gray: np.ndarray) -> bytes:
-    """A grey image as a PNG file."""
-    height, width = gray.shape
+def png(image: np.ndarray) -> bytes:
+    """A grey or colour image as a PNG file."""
+    height, width = image.shape[:2]
+    kind = 0 if image.ndim == 2 else 2
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    rows = np.concatenate([np.zeros((height, 1), np.uint8), gray], axis=1).tobytes()  # each behind its filter, none
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), image.reshape(height, -1)], axis=1).tobytes()  # each behind its filter, none
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def pixels_of(data: bytes, height: int, width: int) -> np.ndarray:
+    """Pixels as an array: grey, or with three channels where there are three bytes to a pixel."""
+    return np.frombuffer(data, np.uint8).reshape((height, width) if len(data) == height * width else (height, width, 3))
+
+
+def channelwise(kernel: Callable[[np.ndarray], np.ndarray], image: np.ndarray) -> np.ndarray:
+    """A grey image's kernel on each channel."""
+    return kernel(image) if image.ndim == 2 else np.stack([kernel(image[..., k]) for k in range(image.shape[2])], axis=-1)
 
 
 def png_files(images: DataFrame, target_height: int | None = None) -> DataFrame:
-    """Adds png, the image (height, width, pixels) as a PNG file, on demand resized to a height first."""
+    """Adds png, the image (height, width, pixels) as a PNG file, on demand resized to a height first. Images of three bytes
+    to a pixel are colour files."""
     schema = T.StructType([*images.schema.fields, T.StructField("png", T.BinaryType())])
 
     def one(height: int, width: int, data: bytes) -> bytes | None:
         if data is None or not height or not width:
             return None
-        gray = np.frombuffer(data, np.uint8).reshape(int(height), int(width))
-        return png(resized_to_height(gray, target_height) if target_height else gray)
+        image = pixels_of(data, int(height), int(width))
+        return png(resized_to_height(image, target_height) if target_height else image)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -199,25 +228,33 @@ def resized(gray: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.rint(top * (1 - fy) + bottom * fy).astype(np.uint8)
 
 
-def _lanczos(size: int, wanted: int, lobes: int = 3) -> np.ndarray:
-    """Weights (wanted x size) of Lanczos resampling; the window widens where the size shrinks."""
+def _lanczos(size: int, wanted: int, lobes: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights (wanted x taps) of Lanczos resampling: the pixels within the window around each wanted one, which
+    widens where the size shrinks."""
     scale = max(1.0, size / wanted)
     centre = (np.arange(wanted) + 0.5) * size / wanted
-    x = (np.arange(size)[None, :] + 0.5 - centre[:, None]) / scale
-    weights = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
-    return weights / weights.sum(axis=1, keepdims=True)
+    taps = int(2 * lobes * scale) + 2
+    at = np.floor(centre - lobes * scale).astype(int)[:, None] + np.arange(taps)
+    x = (at + 0.5 - centre[:, None]) / scale
+    weights = np.where((np.abs(x) < lobes) & (at >= 0) & (at < size), np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return np.clip(at, 0, size - 1), weights / weights.sum(axis=1, keepdims=True)
 
 
 def resampled(gray: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Lanczos resampling, columns before rows, rounded after each."""
-    step = np.clip(np.rint(gray.astype(np.float64) @ _lanczos(gray.shape[1], width).T), 0, 255)
-    return np.clip(np.rint(_lanczos(gray.shape[0], height) @ step), 0, 255).astype(np.uint8)
+    """Lanczos resampling, columns before rows, rounded after each. What it needs grows with the image, not with its square."""
+    step = gray.astype(np.float64)
+    for axis, wanted in ((1, width), (0, height)):
+        at, weights = _lanczos(gray.shape[axis], wanted)
+        own = weights if axis else weights[:, :, None]
+        step = sum(np.take(step, at[:, k], axis) * own[:, k] for k in range(at.shape[1]))
+        step = np.clip(np.rint(step), 0, 255)
+    return step.astype(np.uint8)
 
 
-def resized_to_height(gray: np.ndarray, target: int, most: int = 10_000) -> np.ndarray:
+def resized_to_height(image: np.ndarray, target: int, most: int = 10_000) -> np.ndarray:
     """Keeps the aspect ratio by Lanczos resampling; the width is cut to a whole number, from 1 to most."""
-    rows, columns = gray.shape
-    return resampled(gray, target, min(most, max(1, int(target * (columns / rows)))))
+    rows, columns = image.shape[:2]
+    return channelwise(lambda c: resampled(c, target, min(most, max(1, int(target * (columns / rows))))), image)
 
 
 def rotated(gray: np.ndarray, degrees: float, fill: int = 0) -> np.ndarray:
@@ -254,14 +291,48 @@ def equalised(gray: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray
     return np.clip(np.rint(mixed), 0, 255).astype(np.uint8)
 
 
+#: From linear RGB to XYZ relative to daylight white (D65); the constants of CIE L*a*b*; fixed values.
+RGB_TO_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+WHITE_POINT = np.array([0.950456, 1.0, 1.088754])
+SMALL, SLOPE, SHIFT = 0.008856, 7.787, 16 / 116
+
+
+def lab_of(rgb: np.ndarray) -> np.ndarray:
+    """L*a*b* of colours from 0 to 255: lightness from 0 to 100 in the first channel."""
+    c = rgb / 255.0
+    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    f = linear @ RGB_TO_XYZ.T / WHITE_POINT
+    f = np.where(f > SMALL, np.cbrt(f), SLOPE * f + SHIFT)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
+
+
+def rgb_of(lab: np.ndarray) -> np.ndarray:
+    """Colours from 0 to 255 of L*a*b*, rounded; colours that a screen has not are cut to the next one."""
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], axis=-1)
+    xyz = np.where(f > np.cbrt(SMALL), f**3, (f - SHIFT) / SLOPE) * WHITE_POINT
+    linear = np.clip(xyz @ np.linalg.inv(RGB_TO_XYZ).T, 0, 1)
+    c = np.where(linear <= 0.0031308, 12.92 * linear, 1.055 * linear ** (1 / 2.4) - 0.055)
+    return np.clip(np.rint(c * 255), 0, 255).astype(np.uint8)
+
+
+def equalised_colour(rgb: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited equalisation of a colour image: its lightness is equalised, in 256 steps, its hues stay."""
+    lab = lab_of(rgb)
+    steps = np.clip(np.rint(lab[..., 0] * 2.55), 0, 255).astype(np.uint8)
+    lab[..., 0] = equalised(steps, clip, tiles) / 2.55
+    return rgb_of(lab)
+
+
 def line_images(lines: DataFrame, images: DataFrame, target_height: int | None = None, mask: bool = False, deskew: bool = False, equalise: bool = False, pad: int = 5) -> DataFrame:
     """(page, line_id, height, width, pixels): crops of lines (page, line_id, x1, y1, x2, y2, coords, angle) from their
     page's pixels, page by page. mask fills what is outside coords, white, or black where lines are turned upright; deskew
     turns by angles of more than half a degree before the mask, and cuts to the mask. Empty crops, and upright ones of
-    fewer than 5 pixels either way, give no row."""
+    fewer than 5 pixels either way, give no row. Pages of three bytes to a pixel give colour crops, whose lightness is
+    what equalise equalises."""
     names = ["page", "line_id", "height", "width", "pixels"]
 
-    def one(gray: np.ndarray, line) -> np.ndarray:
+    def cut(gray: np.ndarray, line) -> np.ndarray:
         polygon = [(p["x"], p["y"]) for p in line.coords] if mask and line.coords is not None and len(line.coords) > 2 else None
         box = (line.x1, line.y1, line.x2, line.y2)
         out = crop(gray, box, pad, None if deskew else polygon)
@@ -274,19 +345,23 @@ def line_images(lines: DataFrame, images: DataFrame, target_height: int | None =
                 out = np.where(inside, out, 0).astype(np.uint8)
                 out = out[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1] if len(rows) else out[:0]
             out = out if min(out.shape) >= 5 else out[:0]
+        return out
+
+    def one(image: np.ndarray, line) -> np.ndarray:
+        out = channelwise(lambda c: cut(c, line), image)
         if equalise and out.size:
-            out = equalised(out, tiles=min(8, *out.shape))
+            out = (equalised if out.ndim == 2 else equalised_colour)(out, tiles=min(8, *out.shape[:2]))
         return resized_to_height(out, target_height) if target_height and out.size else out
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(right):
             image = right.iloc[0]
-            gray = np.frombuffer(image["pixels"], np.uint8).reshape(image["height"], image["width"])
+            whole = pixels_of(image["pixels"], image["height"], image["width"])
             for line in left.itertuples(index=False):
-                out = one(gray, line)
+                out = one(whole, line)
                 if out.size:
-                    rows.append((line.page, line.line_id, *out.shape, out.tobytes()))
+                    rows.append((line.page, line.line_id, *out.shape[:2], out.tobytes()))
         return pd.DataFrame(rows, columns=names)
 
     wanted = lines.select("page", "line_id", "x1", "y1", "x2", "y2", "coords", "angle")

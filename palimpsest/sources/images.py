@@ -1,4 +1,4 @@
-"""Page images as grey pixels, turned as their EXIF tag asks; files that are no images give no row."""
+"""Page images as grey or colour pixels, turned as their EXIF tag asks; files that are no images give no row."""
 
 from __future__ import annotations
 
@@ -50,17 +50,35 @@ def pillow_gray(content: bytes) -> np.ndarray:
     return np.asarray(Image.open(io.BytesIO(content)).convert("L"))
 
 
-def _pillow() -> Callable[[bytes], np.ndarray] | None:
-    return pillow_gray if importlib.util.find_spec("PIL") else None
+def pillow_colour(content: bytes) -> np.ndarray:
+    """Red, green and blue of an image file by the Pillow package."""
+    import io
+
+    from PIL import Image
+
+    return np.asarray(Image.open(io.BytesIO(content)).convert("RGB"))
+
+
+def _pillow(colour: bool) -> Callable[[bytes], np.ndarray] | None:
+    return (pillow_colour if colour else pillow_gray) if importlib.util.find_spec("PIL") else None
+
+
+def channels_of(data: bytes, height: int, width: int, channels: int, colour: bool) -> np.ndarray:
+    """Pixels of Spark's image source, which are blue, green, red (and opacity), as colour or as grey."""
+    values = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    if colour:
+        return np.repeat(values, 3, axis=2) if channels == 1 else values[..., 2::-1]
+    return values[..., 0] if channels == 1 else (values[..., :3] @ np.array([0.114, 0.587, 0.299])).round().astype(np.uint8)
 
 
-def page_pixels(spark: SparkSession, path: str, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
-    """(page, height, width, orientation, pixels): images in grey, upright.
+def page_pixels(spark: SparkSession, path: str, decode: Callable[[bytes], np.ndarray] | None = None, colour: bool = False) -> DataFrame:
+    """(page, height, width, orientation, pixels): images in grey, or in colour with red, green and blue of each pixel,
+    upright. A decoder of one's own says itself which it gives.
 
     With a decoder (Pillow's, where that is installed) each file is read and decoded once, in Arrow batches, without a
     shuffle. Without one Spark's image source decodes; the turns, which it leaves out, are then read from JPEG files'
     beginnings and joined to the images, only those that ask for a turn."""
-    decode = decode or _pillow()
+    decode = decode or _pillow(colour)
     if decode is not None:
 
         def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,7 +91,7 @@ def page_pixels(spark: SparkSession, path: str, decode: Callable[[bytes], np.nda
                         continue
                     tag = exif_orientation(bytes(content))
                     upright = turned(gray, tag)
-                    rows.append((page, *upright.shape, tag, upright.tobytes()))
+                    rows.append((page, *upright.shape[:2], tag, upright.tobytes()))
                 yield pd.DataFrame(rows, columns=["page", "height", "width", "orientation", "pixels"])
 
         return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decoded, PIXELS)
@@ -92,10 +110,8 @@ def page_pixels(spark: SparkSession, path: str, decode: Callable[[bytes], np.nda
         for batch in batches:
             rows = []
             for page, height, width, channels, data, tag in batch.itertuples(index=False, name=None):
-                values = np.frombuffer(data, np.uint8).reshape(height, width, channels)
-                gray = values[..., 0] if channels == 1 else (values[..., :3] @ np.array([0.114, 0.587, 0.299])).round().astype(np.uint8)
-                upright = turned(gray, tag)
-                rows.append((page, *upright.shape, tag, upright.tobytes()))
+                upright = turned(channels_of(data, height, width, channels, colour), tag)
+                rows.append((page, *upright.shape[:2], tag, upright.tobytes()))
             yield pd.DataFrame(rows, columns=["page", "height", "width", "orientation", "pixels"])
 
     return joined.mapInPandas(run, PIXELS)
