@@ -74,22 +74,23 @@ def batch_lines(images: DataFrame, pages: DataFrame, segmented: DataFrame, least
     return layout.tall_enough(own.unionByName(other), least_height), sources.select("page", "line_source")
 
 
-def run_batch(work: DataFrame, transcriber: Transcriber, out: str, done: DataFrame | None = None, **about: object) -> DataFrame:
-    """Transcribes lines (page, line_id, line_idx, content) of pages that are not done and writes texts, page summaries and
-    failures under a folder; returns one row with both counts. A page of which some line failed is in both."""
+def run_batch(work: DataFrame, transcriber: Transcriber, out: str, done: DataFrame | None = None, pages_per_file: int | None = None, **about: object) -> DataFrame:
+    """Transcribes lines (page, line_id, line_idx, content) of pages that are not done and writes texts (see write_pages),
+    page summaries and failures under a folder; returns one row with both counts. A page of which some line failed is in
+    both."""
     todo = pairing.pending(work, done, "page") if done is not None else work
     results = transcribe(todo, transcriber)
     sinks.write_lines_parquet(results, f"{out}/lines")
     results = work.sparkSession.read.parquet(f"{out}/lines")
     good = results.where("error is null")
-    sinks.write_pages(page_text_of(good), f"{out}/transcriptions", "page", "text")
+    sinks.write_pages(page_text_of(good), f"{out}/transcriptions", "page", "text", pages_per_file)
     sinks.write_summary(quality.page_summary(good, "page"), results.where("error is not null"), out, **about)
     return quality.success_counts(results)
 
 
-def segmentation_batch(found: DataFrame, out: str, page: str = "page") -> DataFrame:
-    """Writes page documents and quality figures of segmented lines (see page_xml) under a folder; returns one row of totals."""
-    sinks.write_pages(sinks.page_xml(found, page, sinks.PAGE_2019, with_text=False), f"{out}/page_xml", page, "xml")
+def segmentation_batch(found: DataFrame, out: str, page: str = "page", pages_per_file: int | None = None) -> DataFrame:
+    """Writes page documents (see write_pages) and quality figures of segmented lines (see page_xml) under a folder; returns one row of totals."""
+    sinks.write_pages(sinks.page_xml(found, page, sinks.PAGE_2019, with_text=False), f"{out}/page_xml", page, "xml", pages_per_file)
     figures = layout.segmentation_quality(found, page, "mode")
     figures.write.mode("overwrite").option("header", "true").csv(f"{out}/qc")
     return figures.agg(F.count("*").alias("pages"), F.avg("lines").alias("avg_lines"), F.count_if(F.col("mode") != "neural").alias("fallbacks"))

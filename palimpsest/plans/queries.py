@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import confidence, geometry, metrics, text
 from palimpsest.operators import api_log, language_model, layout, lines, numbering, pairing, quality, sequences, splits, training_log, vocabulary
+from palimpsest.plans import jobs
 from palimpsest.session import new_folder, written
 from palimpsest.sources import layout_xml, sinks
 from palimpsest.sources import lines as xml_lines
@@ -286,6 +287,46 @@ def priority_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.first_match(pages, docs, "page_id", [same, ([F.col("number")], [F.col("doc_id")])], "doc_id").select("page_id", "doc_id", "priority")
 
 
+_PART_FILES = """
+x AS (SELECT 'd' || p_partkey % 5 AS dir, 's' || p_partkey AS stem, 'n' || (p_partkey + 1) AS named FROM part),
+i AS (SELECT 'd' || p_partkey % 5 || '/page' AS dir, 'n' || (p_partkey + 1) AS stem, 'jpg' AS ext FROM part WHERE p_partkey % 2 = 0
+      UNION ALL SELECT 'd' || p_partkey % 5 || '/page', 's' || p_partkey, 'png' FROM part WHERE p_partkey % 3 = 0
+      UNION ALL SELECT 'd' || p_partkey % 5, 's' || p_partkey, 'tif' FROM part WHERE p_partkey % 5 < 2)
+"""
+
+
+def _part_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Layout files (path, image_name, error) of parts, and images in the same folder, under either name, or one above."""
+    p = F.col("p_partkey")
+    text_of = lambda *x: F.concat(*[c if isinstance(c, Column) else F.lit(c) for c in x])
+    folder, own, named = text_of("d", (p % 5).cast("string")), text_of("s", p.cast("string")), text_of("n", (p + 1).cast("string"))
+    part = table(spark, sf_dir, "part")
+    pages = part.select(text_of(folder, "/page/", own, ".xml").alias("path"), text_of(named, ".tif").alias("image_name"), F.lit(None).cast("string").alias("error"))
+    images = [F.when(p % 2 == 0, text_of(folder, "/page/", named, ".jpg")), F.when(p % 3 == 0, text_of(folder, "/page/", own, ".png")), F.when(p % 5 < 2, text_of(folder, "/", own, ".tif"))]
+    return pages, part.select(F.explode(F.array_compact(F.array(*images))).alias("path"))
+
+
+@query(f"""
+WITH {_PART_FILES}, m AS (
+    SELECT x.dir || '/page/' || x.stem || '.xml' AS xml_path, i.dir || '/' || i.stem || '.' || i.ext AS image_path, k.priority FROM x, (VALUES (0), (1), (2)) k(priority)
+    JOIN i ON i.dir = CASE WHEN k.priority < 2 THEN x.dir || '/page' ELSE x.dir END AND i.stem = CASE WHEN k.priority = 0 THEN x.named ELSE x.stem END)
+SELECT xml_path, arg_min(image_path, priority) AS image_path, CAST(min(priority) AS INTEGER) AS priority FROM m GROUP BY xml_path
+""")
+def alto_image_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout files with the image that they name, else that of their own stem, else that one folder above."""
+    return pairing.alto_with_images(*_part_files(spark, sf_dir))
+
+
+@query(f"""
+WITH {_PART_FILES} SELECT x.dir || '/page/' || x.stem || '.xml' AS xml_path, i.dir || '/' || i.stem || '.' || i.ext AS image_path, CASE WHEN i.stem IS NULL THEN 'no image ' || x.named || '.jpg' END AS error
+FROM x LEFT JOIN i ON i.stem = x.named AND i.ext = 'jpg'
+""")
+def named_image_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout files with the image of the name that they give, wherever it is, and what is missing."""
+    pages, images = _part_files(spark, sf_dir)
+    return pairing.xml_with_named_images(pages.withColumn("image_name", F.regexp_replace("image_name", "tif$", "jpg")), images)
+
+
 @query("""
 SELECT u.conv_id, u.turn, len(u.text) AS reference_chars, len(a.text) AS hypothesis_chars FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'
@@ -860,6 +901,25 @@ def page_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.substring_index("path", "/", -1).alias("file")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
 
 
+@query(f"SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM ({_PART_LINES})) WHERE ch <> '' GROUP BY ch")
+def page_parquet_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page documents with images turned into a Parquet set of lines, and the counts of its characters."""
+    folder, out = new_folder(spark, "export"), new_folder(spark, "lines")
+    sinks.write_files(sinks.page_xml(_part_lines(spark, sf_dir)).select(F.concat("page", F.lit(".xml")).alias("name"), "xml"), folder, "name", "xml")
+    images = layout_xml.read_xml(spark, folder).select(F.regexp_replace("path", "xml$", "png").alias("path"))
+    return jobs.page_to_parquet(spark, folder, images, out)[1]
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS image, count(*) AS line_count, CAST(sum(len(replace(text, chr(10), ''))) AS BIGINT) AS char_count FROM conversations GROUP BY conv_id")
+def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch transcription from lines to its files, and the summary that it wrote."""
+    from palimpsest.operators.transcribe import EchoTranscriber
+
+    out = new_folder(spark, "batch")
+    jobs.run_batch(_line_images(spark, sf_dir), EchoTranscriber(), out, pages_per_file=100)
+    return spark.read.option("header", "true").csv(f"{out}/batch_results.csv").select("image", F.col("line_count").cast("bigint").alias("line_count"), F.col("char_count").cast("bigint").alias("char_count"))
+
+
 @query(f"SELECT path, region_id, line_id, text, x1, y1, x2, y2 FROM ({_PART_LINES}) WHERE text <> '' AND x2 - x1 >= 20")
 def alto_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ALTO documents, their words apart."""
