@@ -53,12 +53,19 @@ def _document_lines(spark: SparkSession, sf_dir: str, *keep: str, name: str = "d
     return docs.select(id_col, *keep, F.posexplode(F.split("text", "\n")).alias("line_idx", "line")).where(text.strip(F.col("line")) != "")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a small file gives fewer tasks than there are cores, ahead of work that costs far more
+    than the rows' way; larger inputs, which have more tasks, stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 @query()
 def cer_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of whole lines against a hypothesis with shifted vowels, by language: mean of lines, and micro.
     The oracle takes more than ten minutes for the distances of whole lines, so there is no SQL."""
     r = F.col("line")
-    pairs = _document_lines(spark, sf_dir, "lang").select("lang", r.alias("reference"), F.translate(r, "aeiou", "eioua").alias("hypothesis"))
+    pairs = _spread(_document_lines(spark, sf_dir, "lang")).select("lang", r.alias("reference"), F.translate(r, "aeiou", "eioua").alias("hypothesis"))
     counted = pairs.select("lang", metrics.edit_distance(F.col("reference"), F.col("hypothesis")).alias("d"), F.length("reference").alias("n"))
     rated = counted.withColumn("cer", metrics.rate(F.col("d"), F.col("n")))
     return rated.groupBy("lang").agg(F.count("*").alias("lines"), F.round(F.avg("cer"), 6).alias("cer"), F.sum("d").alias("edits"), F.round(F.sum("d") / F.sum("n"), 6).alias("micro_cer"))
@@ -69,7 +76,7 @@ def wer_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word error rate of whole lines, by source. The oracle's distance is of bytes, of which there are too few for the
     words of long lines, so there is no SQL."""
     r = F.col("line")
-    pairs = _document_lines(spark, sf_dir, "source").select("source", r.alias("r"), F.translate(r, "aeiou", "eioua").alias("h"))
+    pairs = _spread(_document_lines(spark, sf_dir, "source")).select("source", r.alias("r"), F.translate(r, "aeiou", "eioua").alias("h"))
     counted = pairs.select("source", metrics.word_distance(F.col("r"), F.col("h")).alias("d"), F.size(text.words(F.col("r"))).alias("n"))
     rated = counted.withColumn("wer", metrics.rate(F.col("d"), F.col("n")))
     return rated.groupBy("source").agg(F.count("*").alias("lines"), F.round(F.avg("wer"), 6).alias("wer"), F.sum("d").alias("edits"))
@@ -772,7 +779,7 @@ def document_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents aligned with what is left without one letter: as many edits as letters are gone, and both texts again
     from the operations."""
     body = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").repartition("doc_id").select("doc_id", metrics.diff_operations(body, F.replace(body, F.lit("e"), F.lit(""))).alias("ops"))
+    rows = _spread(table(spark, sf_dir, "documents")).select("doc_id", metrics.diff_operations(body, F.replace(body, F.lit("e"), F.lit(""))).alias("ops"))
     joined = lambda name: F.md5(F.array_join(F.transform("ops", lambda o: o[name]), ""))
     equal = F.aggregate("ops", F.lit(0).cast("bigint"), lambda s, o: s + F.when(o["op"] == "equal", F.length(o["reference"])).otherwise(0))
     edits = F.size(F.filter("ops", lambda o: o["op"] != "equal")).cast("bigint")
