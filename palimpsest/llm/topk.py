@@ -173,7 +173,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     squared = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x)
     class_of = lambda square: F.least(F.lit(63 * CLASSES), F.floor(F.log2(square + 1) * CLASSES)).cast("int")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), integer_vector(F.col(vector_col), scale).alias("vector"), is_query.alias("asks"), F.monotonically_increasing_id().alias("row")).where("vec_id is not null and vector is not null")
-    rows = rows.withColumn("square", squared).withColumn("class", class_of(F.col("square")))
+    # Written once: both sides of the search must see one number for each row, however often the input is read.
+    scratch = Scratch(spark, "topk")
+    rows = scratch.cut(rows.withColumn("square", squared).withColumn("class", class_of(F.col("square"))))
     # At most 63 * CLASSES + 1 rows.
     classes = {r["class"]: (r.n, r.asked) for r in rows.groupBy("class").agg(F.count("*").alias("n"), F.count_if("asks").alias("asked")).collect()}
     n, asked = (sum(c[i] for c in classes.values()) for i in (0, 1))
@@ -209,7 +211,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     first = asks.withColumn("least", F.lit(_NONE)).select("*", every(F.lit(0), F.lit(max(0, lead - 1))))
     best = ranked(met(first, have.where(F.col("h") < lead), max(groups, min(tasks // max(1, lead), asked // 256))))
     if strips > lead:
-        scratch = Scratch(spark, "topk")
         best = scratch.cut(best.drop("rank"))
         least = best.groupBy("row").agg(F.when(F.count("*") == k, F.min("score")).alias("least")).where("least is not null")
         least = asks.join(least, "row", "left")
