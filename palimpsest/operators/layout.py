@@ -153,6 +153,19 @@ def regions_by_id(lines: DataFrame, page: str = "page") -> DataFrame:
     return lines.join(ranked, [page, "region_id"]).withColumn("line_number", number)
 
 
+def grouped_regions(lines: DataFrame, page: str, page_width: Column, most_columns: int = 4, least_height: int = 8, crowded: int = 30) -> DataFrame:
+    """Lines that a model found (region_id as region_of_lines or region_key give it; null: one region) as regions in order: adds
+    region (r_1, r_2 ... by the region ids as texts) and line_number, top to bottom. Where all lines of a page are in one
+    region and there are `crowded` or more, as when two pages were taken for one, its columns are the regions. Small
+    lines are dropped."""
+    kept = tall_enough(lines, least_height).withColumn("region_id", F.coalesce(F.col("region_id").cast("string"), F.lit("r_1")))
+    single = kept.groupBy(page).agg(F.count("*").alias("_n"), F.min("region_id").alias("_first"), F.max("region_id").alias("_last"))
+    single = single.where((F.col("_n") >= crowded) & (F.col("_first") == F.col("_last"))).select(page)
+    columns = columns_of_lines(kept.join(single, page, "left_semi"), page, page_width, most_columns)
+    columns = columns.withColumn("region_id", F.concat(F.lit("col_"), F.col("column").cast("string"))).drop("column")
+    return regions_by_id(columns.unionByName(kept.join(single, page, "left_anti")), page)
+
+
 def region_key(kind: Column, number: Column) -> Column:
     """type_number of a region that a model found, col_number where it has no type."""
     return F.concat(F.coalesce(kind, F.lit("col")), F.lit("_"), number.cast("string"))

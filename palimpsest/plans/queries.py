@@ -815,6 +815,21 @@ def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", "line_id", "region", "line_number")
 
 
+_EVEN_PAGES = SQL["page_columns"].partition("r AS (")[0].rstrip().rstrip(",")
+_EVEN_PAGES = _EVEN_PAGES.replace("WITH b AS (", "WITH every_line AS (").replace("AS cx FROM", "AS cx, region_id FROM").replace("WHERE y2 - y1 >= 10),", "WHERE y2 - y1 >= 10), b AS (SELECT * FROM every_line WHERE page % 2 = 0),", 1)
+
+
+@query(f"""
+{_EVEN_PAGES}, g AS (SELECT page, line_id, x1, y1, 'col_' || c AS rid FROM a UNION ALL SELECT page, line_id, x1, y1, 'text_' || region_id FROM every_line WHERE page % 2 = 1)
+SELECT page, line_id, 'r_' || dense_rank() OVER (PARTITION BY page ORDER BY rid) AS region, CAST(row_number() OVER (PARTITION BY page, rid ORDER BY y1, x1, line_id) AS INTEGER) AS line_number FROM g
+""")
+def model_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the regions that a model gave them on odd pages; even pages, all lines of which are in one, by columns."""
+    named = F.when(F.col("page") % 2 == 1, F.concat(F.lit("text_"), F.col("region_id").cast("string")))
+    boxes = _boxes(spark, sf_dir).withColumn("page", F.col("page") % 50).withColumn("line_id", F.concat_ws("_", "x1", "y1", "line_id")).withColumn("region_id", named)
+    return layout.grouped_regions(boxes, "page", F.lit(520), least_height=10).select("page", "line_id", "region", "line_number")
+
+
 def _line_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_bytes = F.encode("text", "UTF-8").alias("content")
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("page"), F.col("turn").cast("string").alias("line_id"), F.col("turn").cast("int").alias("line_idx"), text_bytes)

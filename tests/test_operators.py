@@ -138,3 +138,14 @@ def test_upserts(spark):
     store = spark.createDataFrame([("a", 1, "old"), ("b", 1, "stays")], "name string, at int, value string")
     changes = spark.createDataFrame([("a", 1, "new"), ("c", 2, "more")], "name string, at int, value string")
     assert rows(pairing.upserted(store, changes, "name", "at"), "name", "value") == [("a", "new"), ("b", "stays"), ("c", "more")]
+
+
+def test_grouped_regions(spark):
+    rows = [("many", f"l{k:02}", 10 + 300 * (k % 2), 20 * (k // 2), 90 + 300 * (k % 2), 20 * (k // 2) + 15, None) for k in range(40)]
+    rows += [("few", "a", 0, 50, 9, 70, None), ("few", "b", 0, 10, 9, 30, None), ("two", "c", 0, 50, 9, 70, "text_1"), ("two", "d", 0, 10, 9, 30, "note_0"), ("two", "flat", 0, 0, 9, 7, "note_0")]
+    df = spark.createDataFrame(rows, "page string, line_id string, x1 int, y1 int, x2 int, y2 int, region_id string")
+    got = {(r.page, r.line_id): (r.region, r.line_number) for r in layout.grouped_regions(df, "page", F.lit(400)).collect()}
+    want = {("many", f"l{k:02}"): (f"r_{k % 2 + 1}", k // 2 + 1) for k in range(40)} | {("few", "b"): ("r_1", 1), ("few", "a"): ("r_1", 2), ("two", "d"): ("r_1", 1), ("two", "c"): ("r_2", 1)}
+    assert got == want
+    whole = {(r.page, r.region) for r in layout.grouped_regions(df, "page", F.lit(400), crowded=41).where("page = 'many'").collect()}
+    assert whole == {("many", "r_1")}
