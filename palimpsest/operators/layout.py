@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,18 +32,31 @@ def convex_hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return half(points) + half(points[::-1])
 
 
-def _hull(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> list:
-    corners = [p for a, b, c, d in zip(x1, y1, x2, y2, strict=True) for p in ((a, b), (c, b), (c, d), (a, d))]
-    return [{"x": int(x), "y": int(y)} for x, y in convex_hull(corners)]
+def _half_hull(points: Column) -> Column:
+    """Monotone chain over points struct<x,y>, each x once, in the order in which they come: what a point's line of sight
+    passes goes, which is all behind the last corner that turns left towards it."""
+    part = lambda p, k: p[k].cast("bigint")
+
+    def turns_left(a: Column, b: Column, p: Column) -> Column:
+        return (part(b, "x") - part(a, "x")) * (part(p, "y") - part(a, "y")) > (part(b, "y") - part(a, "y")) * (part(p, "x") - part(a, "x"))
+
+    def added(chain: Column, p: Column) -> Column:
+        good = F.filter(F.sequence(F.lit(1), F.size(chain)), lambda i: (i == 1) | turns_left(F.get(chain, i - 2), F.get(chain, i - 1), p))
+        return F.concat(F.slice(chain, 1, F.array_max(good)), F.array(p))
+
+    start = F.slice(points, 1, 1)
+    return F.aggregate(F.slice(points, 2, F.size(points)), start, added)
 
 
 def region_hulls(lines: DataFrame, *by: str) -> DataFrame:
-    """(by..., hull): convex hull of the lines' boxes. For each x only the lowest and highest corner can be on the hull,
-    so those are what the regions' groups hold."""
+    """(by..., hull): convex hull of the lines' boxes, as convex_hull gives it. For each x only the lowest and highest corner
+    can be on the hull, so those are what the regions' groups hold; the chains along both are SQL functions."""
     sides = lines.select(*by, F.explode(F.array(F.struct(F.col("x1").alias("x"), "y1", "y2"), F.struct(F.col("x2").alias("x"), "y1", "y2"))).alias("s")).select(*by, "s.*")
     reduced = sides.groupBy(*by, "x").agg(F.min("y1").alias("y1"), F.max("y2").alias("y2"))
-    hull = F.pandas_udf(_hull, "array<struct<x:int,y:int>>")
-    return reduced.groupBy(*by).agg(hull("x", "y1", "x", "y2").alias("hull"))
+    held = reduced.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col("y1").cast("int").alias("y1"), F.col("y2").cast("int").alias("y2")))).alias("_s"))
+    at = lambda side: F.transform("_s", lambda s: F.struct(s["x"].alias("x"), s[side].alias("y")))
+    hull = F.array_distinct(F.concat(_half_hull(at("y1")), _half_hull(F.reverse(at("y2")))))
+    return held.select(*by, hull.alias("hull"))
 
 
 def column_histogram(lines: DataFrame, page: str, page_width: Column, bins: int = BINS) -> DataFrame:
