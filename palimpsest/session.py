@@ -39,11 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that goes when the driver ends."""
-    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return where
+    """A path in the shared folder that goes when the driver ends. It has its scheme, also where spark.checkpoint.dir has none:
+    what writes files by other means than Spark's takes a local path without one for a folder on each executor's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(path)
+    return fs.makeQualified(path).toString()
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

@@ -30,3 +30,10 @@ def test_region_hulls_are_sql_and_follow_the_plain_chain(spark):
     assert {r.page: [tuple(p) for p in r.hull] for r in hulls.collect()} == {k: layout.convex_hull(v) for k, v in corners.items()}
     assert "Pandas" not in plan_of(hulls) and "Python" not in plan_of(hulls)
     assert hulls.schema["hull"].dataType.simpleString() == "array<struct<x:int,y:int>>"
+
+
+@pytest.mark.parametrize("name", ["page_parquet_chars"])
+def test_files_go_to_the_shared_folder_on_a_cluster(spark, monkeypatch, name):
+    """spark.checkpoint.dir without a scheme, as a cluster's sessions may have it, is shared all the same."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert "//" not in spark.conf.get("spark.checkpoint.dir") and __spark_entry__.queries()[name](spark, SF).count() > 0
