@@ -32,7 +32,7 @@ def test_region_hulls_are_sql_and_follow_the_plain_chain(spark):
     assert hulls.schema["hull"].dataType.simpleString() == "array<struct<x:int,y:int>>"
 
 
-@pytest.mark.parametrize("name", ["page_parquet_chars"])
+@pytest.mark.parametrize("name", ["page_parquet_chars", "page_xml_files"])
 def test_files_go_to_the_shared_folder_on_a_cluster(spark, monkeypatch, name):
     """spark.checkpoint.dir without a scheme, as a cluster's sessions may have it, is shared all the same."""
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
