@@ -10,6 +10,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,15 +135,34 @@ def overall(lines: DataFrame, *by: str, reference: str = "reference", hypothesis
     return rated.groupBy(*by).agg(F.count("*").alias("lines"), mean("cer", 0.0).alias("cer"), mean("wer", 0.0).alias("wer"), mean("match", 100.0).alias("match"), F.sum("d").alias("edits"), (F.sum("d") / F.sum(F.greatest(F.lit(1), F.col("n")))).alias("micro_cer"))
 
 
+def _greedy_path(longer: Sequence, shorter: Sequence, gap: bytes) -> bytes | None:
+    """The path where the shorter one is left when elements of the longer one go; null where it is not. Then no cell on the
+    way back costs more than the difference in length, so that the path keeps what is equal and else takes a gap."""
+    out, j = bytearray(gap * len(longer)), len(shorter)
+    if not j:
+        return bytes(out)
+    x = shorter[j - 1]
+    for i in range(len(longer) - 1, -1, -1):
+        if longer[i] == x:
+            out[i] = 101  # e
+            j -= 1
+            if not j:
+                return bytes(out)
+            x = shorter[j - 1]
+    return None
+
+
 def edit_path(a: Sequence, b: Sequence) -> bytes:
     """One letter for each step of an alignment, from the beginning: e (equal), r (replace), d (delete), i (insert). Where
     alignments tie, going back from the end keeps or replaces, then deletes, then inserts.
 
     Columns are bit strings as for the distance. About the square root of their number are kept; going back, those between
-    two of them are made again. So a pair of 30,000 characters takes some megabytes, not a table of 900 million cells."""
+    two of them are made again. So a pair of 30,000 characters takes some megabytes, not a table of 900 million cells. A pair
+    of which one is a part of the other, with gaps, needs no columns: its path takes time in proportion to its length."""
     n, m = len(a), len(b)
-    if not n or not m:
-        return b"d" * n + b"i" * m
+    plain = _greedy_path(a, b, b"d") if n >= m else _greedy_path(b, a, b"i")
+    if plain is not None:
+        return plain
     places, full, width = _places(a), (1 << n) - 1, (n + 7) // 8
     every = max(1, int(m**0.5))
     kept = [(full, 0)]
@@ -195,11 +215,18 @@ def edit_operations(reference: str, hypothesis: str) -> list[tuple[str, str, str
     return out
 
 
-def _operations(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+def _operations(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """Lists of operations, pair by pair, so that of one batch no more than its Arrow arrays is held."""
     keys = ("op", "reference", "hypothesis")
-    return pd.Series([[dict(zip(keys, op, strict=True)) for op in edit_operations(r or "", h or "")] for r, h in zip(reference, hypothesis, strict=True)])
+    kind = pa.list_(pa.struct([(k, pa.string()) for k in keys]))
+    out = []
+    for r, h in zip(reference, hypothesis, strict=True):
+        columns = list(zip(*edit_operations(r.as_py() or "", h.as_py() or ""), strict=True)) or [()] * len(keys)
+        parts = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], keys)
+        out.append(pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts))
+    return pa.concat_arrays(out).cast(kind) if out else pa.array([], kind)
 
 
 def diff_operations(reference: Column | str, hypothesis: Column | str) -> Column:
     """Edit operations of each pair, whole documents too; null texts count as empty."""
-    return F.pandas_udf(_operations, "array<struct<op:string,reference:string,hypothesis:string>>")(reference, hypothesis)
+    return F.arrow_udf(_operations, "array<struct<op:string,reference:string,hypothesis:string>>")(reference, hypothesis)

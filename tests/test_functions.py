@@ -119,3 +119,18 @@ def test_hull_holds_all_points(points):
     if len(hull) > 2:
         for x, y in points:
             assert all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= 0 for a, b in zip(hull, hull[1:] + hull[:1], strict=True))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcé", max_size=40), st.lists(st.booleans(), min_size=40, max_size=40))
+def test_edit_path_of_a_part_goes_the_way_of_a_full_table(a, kept):
+    b = "".join(c for c, k in zip(a, kept, strict=False) if k)
+    assert metrics.edit_path(a, b).decode() == whole_table(a, b) and metrics.edit_path(b, a).decode() == whole_table(b, a)
+
+
+def test_edit_path_of_a_part_takes_no_columns(monkeypatch):
+    monkeypatch.setattr(metrics, "_column", None)
+    a = "some letters are gone, others stay where they were; " * 20_000
+    b = a.replace("e", "")
+    path = metrics.edit_path(a, b)
+    assert len(path) == len(a) and path.count(b"e") == len(b) and metrics.edit_path(b, a) == path.replace(b"d", b"i")
