@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions.geometry import center_x, points_box, polyline_length
 
 BINS = 40
+#: Widths of the cells that boxes are cut into: 1, 4 ... 4096 pixels; wider boxes take more of the widest.
+LEVELS = 7
 
 
 def region_boxes(lines: DataFrame, *by: str) -> DataFrame:
@@ -89,17 +91,39 @@ def order_columns(lines: DataFrame, page: str) -> DataFrame:
     return lines.join(ranked, [page, "column"]).withColumn("region", F.concat(F.lit("col_"), F.col("_rank").cast("string"))).withColumn("line_number", number).drop("_rank")
 
 
-def region_of_lines(lines: DataFrame, regions: DataFrame, page: str, default: str = "r_1", cell: int = 256) -> DataFrame:
-    """Adds region_id: the first region (by region_idx) whose box holds the line's centre, or the default.
-
-    Both sides meet by page and by the column of `cell` pixels that the centre lies in and the box spans, so that a page
-    with many regions is no nested loop; of a line's matches only the first is kept, by partial aggregation."""
-    lines = lines.withColumn("_cx", center_x(F.col("x1"), F.col("x2"))).withColumn("_cy", center_x(F.col("y1"), F.col("y2"))).withColumn("_cell", F.floor(F.col("_cx") / cell))
-    spans = F.sequence(F.floor(F.col("rx1") / cell), F.floor(F.col("rx2") / cell))
-    boxes = regions.select(page, "region_id", "region_idx", *[F.col(c).alias(f"r{c}") for c in ("x1", "y1", "x2", "y2")]).where("rx1 <= rx2").withColumn("_cell", F.explode(spans))
-    inside = F.col("_cx").between(F.col("rx1"), F.col("rx2")) & F.col("_cy").between(F.col("ry1"), F.col("ry2"))
-    hits = lines.join(boxes, [page, "_cell"]).where(inside).groupBy(page, "line_id").agg(F.min_by("region_id", "region_idx").alias("_r"))
-    return lines.join(hits, [page, "line_id"], "left").withColumn("region_id", F.coalesce("_r", F.lit(default))).drop("_r", "_cx", "_cy", "_cell")
+def _pieces(low: Column, high: Column, levels: int = LEVELS) -> Column:
+    """array<struct<level,cell>>: the whole numbers low to high as few cells of widths 1, 4, 16 ...: of each width those that
+    no wider cell holds."""
+    first = [F.ceil(low / 4**k) for k in range(levels)]
+    end = [F.floor((high + 1) / 4**k) for k in range(levels)]
+
+    def level(k: int) -> Column:
+        cells = F.when(first[k] < end[k], F.sequence(first[k], end[k] - 1)).otherwise(F.array().cast("array<bigint>"))
+        if k + 1 < levels:
+            wider = first[k + 1] < end[k + 1]
+            cells = F.filter(cells, lambda c: ~(wider & (c >= first[k + 1] * 4) & (c < end[k + 1] * 4)))
+        return F.transform(cells, lambda c: F.struct(F.lit(k).alias("level"), c.alias("cell")))
+
+    return F.flatten(F.array(*map(level, range(levels))))
+
+
+def region_of_lines(lines: DataFrame, regions: DataFrame, page: str, default: str = "r_1") -> DataFrame:
+    """Adds region_id: the first region (by region_idx, then region_id) whose box holds the line's centre, or the default.
+
+    No line meets all regions of its page: a box is cut by both axes into cells of widths 1, 4, 16 ..., some hundred at most for
+    a box of a page, and of each cell only the first region stays. A centre lies in one cell of each pair of widths, so it
+    asks for LEVELS squared cells by an equi-join. Equal boxes are cut once, equal centres ask once."""
+    at = lines.withColumn("_cx", center_x(F.col("x1"), F.col("x2"))).withColumn("_cy", center_x(F.col("y1"), F.col("y2")))
+    boxes = regions.where("region_idx is not null").select(page, "region_idx", "region_id", *[f(c).cast("bigint").alias(f"_{c}") for f, c in ((F.ceil, "x1"), (F.ceil, "y1"), (F.floor, "x2"), (F.floor, "y2"))])
+    boxes = boxes.groupBy(page, "_x1", "_y1", "_x2", "_y2").agg(F.min(F.struct("region_idx", "region_id")).alias("_r"))
+    cut = boxes.select(page, "_r", F.explode(_pieces(F.col("_x1"), F.col("_x2"))).alias("_x"), "_y1", "_y2").select(page, "_r", "_x", F.explode(_pieces(F.col("_y1"), F.col("_y2"))).alias("_y"))
+    cells = cut.groupBy(page, "_x", "_y").agg(F.min("_r").alias("_r"))
+    asked = lambda c: F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col(c) / 4**k).alias("cell")) for k in range(LEVELS)]))
+    centers = at.select(page, "_cx", "_cy").distinct()
+    asks = centers.withColumn("_x", asked("_cx")).withColumn("_y", asked("_cy"))
+    hits = asks.join(cells, [page, "_x", "_y"]).groupBy(page, "_cx", "_cy").agg(F.min("_r")["region_id"].alias("_region"))
+    rest = [c for c in lines.columns if c not in (page, "line_id")]
+    return at.join(hits, [page, "_cx", "_cy"], "left").select(page, "line_id", *rest, F.coalesce("_region", F.lit(default)).alias("region_id"))
 
 
 def order_regions(regions: DataFrame, order: DataFrame, page: str = "page") -> DataFrame:

@@ -37,3 +37,31 @@ def test_files_go_to_the_shared_folder_on_a_cluster(spark, monkeypatch, name):
     """spark.checkpoint.dir without a scheme, as a cluster's sessions may have it, is shared all the same."""
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     assert "//" not in spark.conf.get("spark.checkpoint.dir") and __spark_entry__.queries()[name](spark, SF).count() > 0
+
+
+def test_regions_of_lines_on_a_crowded_page(spark):
+    """Four thousand lines and regions of one page, against a plain search; the lines' rows don't meet the regions'."""
+    rng = random.Random(8)
+    regions = [(1, f"r{i}", i // 2, *(x := sorted(rng.choices(range(-40, 5000), k=2))), *(y := sorted(rng.choices(range(0, 300), k=2)))) for i in range(400)]
+    regions = [(p, n, i, x1 + 0.5 * (i % 3), y1 * 1.0, x2 * 1.0, y2 + 0.25) for p, n, i, x1, x2, y1, y2 in regions]
+    regions += [(1, "over all", 900, -50.0, -50.0, 20000.0, 400.0), (1, "turned", 0, 90.0, 0.0, 10.0, 300.0), (2, "other", 0, 0.0, 0.0, 9000.0, 900.0), (1, "no number", None, 0.0, 0.0, 9000.0, 900.0)]
+    lines = [(1, i, x, y, x + 3, y + 5) for i, (x, y) in enumerate((rng.randint(-60, 5100), rng.randint(-20, 320)) for _ in range(4000))] + [(None, 5000, 1, 1, 2, 2), (1, 5001, 21000, 10, 21002, 12), (1, 5002, 19990, 10, 19992, 12)]
+    box = lambda kind: ", ".join(f"{c} {kind}" for c in ("x1", "y1", "x2", "y2"))
+    found = layout.region_of_lines(spark.createDataFrame(lines, f"page int, line_id int, {box('int')}"), spark.createDataFrame(regions, f"page int, region_id string, region_idx int, {box('double')}"), "page")
+    assert found.columns == ["page", "line_id", "x1", "y1", "x2", "y2", "region_id"]
+    got = {r.line_id: r.region_id for r in found.collect()}
+    for page, n, x1, y1, x2, y2 in lines:
+        cx, cy = (x1 + x2) // 2, (y1 + y2) // 2
+        hits = [(i, name) for p, name, i, a, b, c, d in regions if p == page and i is not None and a <= cx <= c and b <= cy <= d]
+        assert got[n] == (min(hits)[1] if hits else "r_1"), n
+    joins = [x for x in plan_of(found).splitlines() if "Join" in x]
+    assert len(got) == len(lines) and joins and not [x for x in joins if "=" in x.replace("==", "")]
+
+
+def test_equal_centres_ask_once(spark):
+    """A hundred times the lines and regions in the same places: what is joined stays as it was."""
+    part = spark.range(20_000).selectExpr("1 AS page", "id AS line_id", "int(id % 20) AS x1", "0 AS y1", "int(id % 20) + 2 AS x2", "4 AS y2")
+    regions = spark.range(20_000).selectExpr("1 AS page", "string(id) AS region_id", "id AS region_idx", "int(id % 5) AS x1", "0 AS y1", "int(id % 5) + 9 AS x2", "9 AS y2")
+    found = layout.region_of_lines(part, regions, "page")
+    got = found.groupBy("region_id").agg(F.count("*")).collect()
+    assert {r[0]: r[1] for r in got} == {"0": 9000, "1": 1000, "2": 1000, "3": 1000, "4": 1000, "r_1": 7000}
