@@ -26,11 +26,16 @@ def _whole(parts: list[Column]) -> Column:
 def first_match(left: DataFrame, right: DataFrame, key: str, alternatives: Sequence[tuple[list[Column], list[Column]]], value: str, ties: Sequence[str] = (), how: str = "left") -> DataFrame:
     """Adds value and priority from the first alternative that finds a row: each is a list of key columns of left and
     one of right. Among equal priorities the smallest by `ties`, then by value, wins. One equi-join over the
-    alternatives, and a partial aggregation by left's key."""
-    probes = left.select(F.col(key).alias("_key"), F.explode(F.array(*[F.struct(F.lit(i).alias("priority"), _whole(ls).alias("on")) for i, (ls, _) in enumerate(alternatives)])).alias("_p")).select("_key", "_p.*")
-    found = right.select(F.explode(F.array(*[F.struct(F.lit(i).alias("priority"), _whole(rs).alias("on")) for i, (_, rs) in enumerate(alternatives)])).alias("_p"), F.col(value), *[F.col(t).alias(f"_t{t}") for t in ties]).select("_p.*", value, *[f"_t{t}" for t in ties])
-    best = probes.join(found, ["priority", "on"]).groupBy("_key").agg(F.min(F.struct("priority", *[f"_t{t}" for t in ties], value)).alias("_b"))
-    joined = left.join(best, F.col(key) == F.col("_key"), how)
+    alternatives, in which a row of right stands once for each way to take its keys, and a partial aggregation by left's
+    key. Both joins are of shuffled rows: keys made up from a narrow table's numbers are many times what Spark takes the table
+    to be, and would be sent whole to every task."""
+    ways = [str(rs) for _, rs in alternatives]
+    probe = [F.struct(F.lit(i).alias("priority"), F.lit(ways.index(ways[i])).alias("way"), _whole(ls).alias("on")) for i, (ls, _) in enumerate(alternatives)]
+    own = [F.struct(F.lit(i).alias("way"), _whole(rs).alias("on")) for i, (_, rs) in enumerate(alternatives) if ways.index(ways[i]) == i]
+    probes = left.select(F.col(key).alias("_key"), F.explode(F.array(*probe)).alias("_p")).select("_key", "_p.*").where("`on` is not null")
+    found = right.select(F.explode(F.array(*own)).alias("_p"), F.col(value), *[F.col(t).alias(f"_t{t}") for t in ties]).select("_p.*", value, *[f"_t{t}" for t in ties]).where("`on` is not null")
+    best = probes.join(found.hint("merge"), ["way", "on"]).groupBy("_key").agg(F.min(F.struct("priority", *[f"_t{t}" for t in ties], value)).alias("_b"))
+    joined = left.join(best.hint("merge"), F.col(key) == F.col("_key"), how)
     return joined.withColumn(value, F.col(f"_b.{value}")).withColumn("priority", F.col("_b.priority")).drop("_key", "_b")
 
 
@@ -68,7 +73,7 @@ def xml_with_named_images(pages: DataFrame, images: DataFrame) -> DataFrame:
     x = pages.select(F.col("path").alias("xml_path"), "image_name", F.col("error").alias("_broken"))
     i = images.groupBy(path_parts(F.col("path"))["name"].alias("image_name")).agg(F.min("path").alias("image_path"))
     error = F.when(F.col("_broken").isNotNull(), F.col("_broken")).when(F.coalesce("image_name", F.lit("")) == "", "no image name").when(F.col("image_path").isNull(), F.concat(F.lit("no image "), F.col("image_name")))
-    return x.join(i, "image_name", "left").select("xml_path", F.when(F.col("_broken").isNull(), F.col("image_path")).alias("image_path"), error.alias("error"))
+    return x.join(i.hint("merge"), "image_name", "left").select("xml_path", F.when(F.col("_broken").isNull(), F.col("image_path")).alias("image_path"), error.alias("error"))
 
 
 def images_with_xml(images: DataFrame, xml: DataFrame, xml_folder: str | None = None, suffix: str = ".xml") -> DataFrame:

@@ -65,3 +65,20 @@ def test_equal_centres_ask_once(spark):
     found = layout.region_of_lines(part, regions, "page")
     got = found.groupBy("region_id").agg(F.count("*")).collect()
     assert {r[0]: r[1] for r in got} == {"0": 9000, "1": 1000, "2": 1000, "3": 1000, "4": 1000, "r_1": 7000}
+
+
+@pytest.mark.parametrize("name", ["alto_image_pairs", "named_image_pairs", "priority_pairing"])
+def test_pairs_are_not_sent_whole_to_every_task(spark, name):
+    """Names made up from a narrow table's numbers: the sides' estimated sizes are far below what they are."""
+    found = __spark_entry__.queries()[name](spark, SF)
+    assert "BroadcastHashJoin" not in plan_of(found) and "SortMergeJoin" in plan_of(found)
+
+
+def test_ways_with_the_same_right_keys_take_one_row_each(spark):
+    from palimpsest.operators.pairing import first_match
+
+    left = spark.createDataFrame([(1, "a", "b"), (2, None, "b"), (3, "b", "a"), (4, "x", None)], "k int, s string, t string")
+    right = spark.createDataFrame([("a", "A", 2), ("a", "A2", 1), ("b", "B", 1), (None, "N", 0), ("y", "x", 9)], "o string, v string, r int")
+    ways = [([F.col("s")], [F.col("o")]), ([F.col("t")], [F.col("o")]), ([F.col("s")], [F.col("v")])]
+    found = first_match(left, right, "k", ways, "v", ["r"])
+    assert sorted((r.k, r.v, r.priority) for r in found.collect()) == [(1, "A2", 0), (2, "B", 1), (3, "B", 0), (4, "x", 2)]
