@@ -134,3 +134,22 @@ def test_edit_path_of_a_part_takes_no_columns(monkeypatch):
     b = a.replace("e", "")
     path = metrics.edit_path(a, b)
     assert len(path) == len(a) and path.count(b"e") == len(b) and metrics.edit_path(b, a) == path.replace(b"d", b"i")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("abcé😀", max_size=90), st.text("abcé\x00", max_size=90)), max_size=12))
+def test_distances_side_by_side(pairs):
+    assert metrics.distances(pairs) == [metrics.sequence_distance(a, b) for a, b in pairs]
+    words = [(list(a), tuple(b)) for a, b in pairs]
+    assert metrics.distances(words) == [metrics.sequence_distance(a, b) for a, b in words]
+
+
+def test_distances_of_many_lengths_take_few_steps(monkeypatch):
+    import random
+
+    rng, steps = random.Random(2), []
+    pairs = [("".join(rng.choices("abc \ud800", k=rng.choice([0, 1, 7, 8, 63, 64, 65, 300, 900]))), "".join(rng.choices("abcd", k=rng.randint(0, 400)))) for _ in range(300)] + [("ab" * 3000, "ba" * 3000)]
+    whole = metrics._side_by_side
+    monkeypatch.setattr(metrics, "_side_by_side", lambda own, letters: steps.append(len(own)) or whole(own, letters))
+    assert metrics.distances(pairs) == [metrics.sequence_distance(a, b) for a, b in pairs]
+    assert len(steps) < 40 and sum(steps) < 300
