@@ -82,3 +82,13 @@ def test_ways_with_the_same_right_keys_take_one_row_each(spark):
     ways = [([F.col("s")], [F.col("o")]), ([F.col("t")], [F.col("o")]), ([F.col("s")], [F.col("v")])]
     found = first_match(left, right, "k", ways, "v", ["r"])
     assert sorted((r.k, r.v, r.priority) for r in found.collect()) == [(1, "A2", 0), (2, "B", 1), (3, "B", 0), (4, "x", 2)]
+
+
+def test_word_lists_are_made_once_and_compared_in_batches(spark):
+    from palimpsest.functions import metrics
+
+    space = "a b\x1cc d\x85e  f"
+    rows = spark.createDataFrame([(space, "a b c d e f"), (None, "x y"), ("", None), (" w " * 700, "w v " * 350)], "r string, h string")
+    found = rows.select(metrics.word_distance(F.col("r"), F.col("h")).alias("d"))
+    assert [r.d for r in found.collect()] == [0, 2, 0, 350]
+    assert "split" not in plan_of(found).replace("_word_distances", "")
