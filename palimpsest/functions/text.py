@@ -15,6 +15,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def has_text(text: Column) -> Column:
+    """Whether strip() leaves something, found at the first character that is no white space."""
+    return F.rlike(text, F.lit("[^" + SPACE[1:]))
+
+
 def words(text: Column) -> Column:
     """Split on runs of white space, no empty words; [] for null."""
     return F.coalesce(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""), F.array().cast("array<string>"))

@@ -13,62 +13,146 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import SPACE_TOKEN, strip
+from palimpsest.functions.text import SPACE_TOKEN
 from palimpsest.session import written
 
 #: Characters that stand for an unknown character, the begin and the end of a line; texts must not hold them, so they are
 #: taken out of lines. As tokens they have names; fixed values.
 UNKNOWN, BEGIN, END = "\x01", "\x02", "\x03"
 TOKENS = {UNKNOWN: "<unk>", BEGIN: "<s>", END: "</s>", " ": SPACE_TOKEN}
+#: Characters that are counted at a time.
+PIECE = 500_000
 #: Discounts where counts are too few to tell; fixed values.
 FALLBACK = (0.5, 1.0, 1.5)
 #: Logarithm of the begin mark's probability, which nothing asks for; fixed value.
 NEVER = -99.0
 
 
-def marked_lines(lines: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
-    """(keep..., line): stripped lines between their marks, blank ones left out."""
-    line = strip(F.translate(F.col(text_col).cast("string"), UNKNOWN + BEGIN + END, ""))
-    return lines.select(*keep, line.alias("line")).where("line <> ''").withColumn("line", F.concat(F.lit(BEGIN), "line", F.lit(END)))
-
-
-def _grams(lines: DataFrame, order: int, *by: str, most: int = 200_000) -> DataFrame:
-    """(by..., gram, count): of each character and end mark the n-gram of the order that ends with it, or all that stands
-    before it where that is less. A task counts up to `most` different ones at a time."""
-    schema = lines.select(*by, F.col("line").alias("gram"), F.lit(0).cast("bigint").alias("count")).schema
+def marked(text: str) -> str:
+    """A stripped line between its marks; empty for a blank one."""
+    if UNKNOWN in text or BEGIN in text or END in text:
+        text = text.translate(_NO_MARKS)
+    text = text.strip()
+    return text and BEGIN + text + END
+
+
+_NO_MARKS = dict.fromkeys(map(ord, (UNKNOWN, BEGIN, END)))
+
+
+class _Counts:
+    """Counts of the n-grams of one order in lines, each a whole number of its characters' own numbers, sorted piece by piece;
+    lines of more different characters than such a number has room for are counted as texts."""
+
+    def __init__(self, order: int):
+        self.order, self.bits = order, 63 // order
+        self.number, self.symbols = np.zeros(0x110000, np.int64), np.zeros(0, np.uint32)
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.texts: Counter = Counter()
+        self.waiting: list[str] = []
+        self.chars = 0
+
+    def add(self, line: str) -> None:
+        self.texts.update(line[:k] for k in range(2, min(self.order - 1, len(line)) + 1))
+        if len(line) >= self.order:
+            self.waiting.append(line)
+            self.chars += len(line)
+            if self.chars >= PIECE:
+                self.count()
+
+    def count(self) -> None:
+        lines, self.waiting, self.chars = self.waiting, [], 0
+        if not lines:
+            return
+        points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+        own = self.number[points]
+        new = np.unique(points[own == 0])
+        if len(new) + len(self.symbols) >= 1 << self.bits:
+            for t in lines:
+                self.texts.update(t[i : i + self.order] for i in range(len(t) - self.order + 1))
+            return
+        if len(new):
+            self.number[new] = np.arange(len(new)) + len(self.symbols) + 1
+            self.symbols = np.concatenate([self.symbols, new])
+            own = self.number[points]
+        sizes = np.array([len(t) for t in lines])
+        n = len(points) - self.order + 1
+        left = np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n)
+        gram = own[:n]
+        for k in range(1, self.order):
+            gram = gram << self.bits | own[k : n + k]
+        self.found.append(np.unique(gram[left >= self.order], return_counts=True))
+
+    def size(self) -> int:
+        return len(self.texts) + sum(len(g) for g, _ in self.found)
+
+    def merge(self) -> None:
+        self.count()
+        if len(self.found) > 1:
+            grams, at = np.unique(np.concatenate([g for g, _ in self.found]), return_inverse=True)
+            self.found = [(grams, np.bincount(at, np.concatenate([c for _, c in self.found])).astype(np.int64))]
+
+    def rows(self) -> tuple[list[str], list[int]]:
+        """All n-grams and their counts."""
+        self.merge()
+        grams, counts = list(self.texts), list(self.texts.values())
+        for own, n in self.found:
+            shifts = self.bits * np.arange(self.order - 1, -1, -1)
+            points = self.symbols[(own[:, None] >> shifts & ((1 << self.bits) - 1)) - 1]
+            text = points.astype("<u4").tobytes().decode("utf-32-le")
+            grams += [text[i : i + self.order] for i in range(0, len(text), self.order)]
+            counts += n.tolist()
+        return grams, counts
+
+
+def _grams(lines: DataFrame, order: int, *by: str, text_col: str = "text", most: int = 200_000) -> DataFrame:
+    """(by..., gram, count) of marked lines: of each character and end mark the n-gram of the order that ends with it, or all that stands
+    before it where that is less. A task holds up to about `most` different ones at a time, and those of one piece."""
+    lines = lines.select(*by, F.col(text_col).cast("string").alias("gram")).where("gram is not null")
+    schema = lines.select(*by, "gram", F.lit(0).cast("bigint").alias("count")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, Counter] = {}
+        found: dict[tuple, _Counts] = {}
 
-        def out() -> pa.RecordBatch:
-            rows = [(*key, g, n) for key, counts in found.items() for g, n in counts.items()]
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, own in found.items():
+                grams, counts = own.rows()
+                values = [*[[v] * len(grams) for v in key], grams, counts]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], schema.names)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], schema.names)
+
+        def full() -> bool:
+            if sum(own.size() for own in found.values()) <= most:
+                return False
+            for own in found.values():
+                own.merge()
+            return sum(own.size() for own in found.values()) > most // 2
 
         for batch in batches:
             *keys, own = (batch.column(k).to_pylist() for k in range(batch.num_columns))
             kinds = [*[batch.column(k).type for k in range(len(keys))], pa.string(), pa.int64()]
             for key, t in zip(zip(*keys, strict=True) if keys else [()] * len(own), own, strict=True):
-                counts = found.setdefault(key, Counter())
-                counts.update(t[i : i + order] for i in range(len(t) - order + 1))
-                counts.update(t[:k] for k in range(2, min(order - 1, len(t)) + 1))
-                if sum(map(len, found.values())) > most:
-                    yield out()
-        if found:
-            yield out()
+                if not (t := marked(t)):
+                    continue
+                if key not in found:
+                    found[key] = _Counts(order)
+                found[key].add(t)
+                if not found[key].chars and full():
+                    yield from out()
+        yield from out()
 
-    return lines.select(*by, "line").mapInArrow(run, schema).where(F.col("gram") != BEGIN).groupBy(*by, "gram").agg(F.sum("count").alias("count"))
+    return lines.mapInArrow(run, schema).where(F.col("gram") != BEGIN).groupBy(*by, "gram").agg(F.sum("count").alias("count"))
 
 
 def adjusted_counts(lines: DataFrame, order: int = 5, text_col: str = "text") -> DataFrame:
     """(n, gram, count): occurrences of n-grams of the highest order and of those that begin with the begin mark, for others
     the number of different characters before them. The begin mark alone is not among them."""
     size = F.length("gram")
-    raw = written(_grams(marked_lines(lines, text_col), order).withColumn("n", size), "grams", "n")
+    raw = written(_grams(lines, order, text_col=text_col).withColumn("n", size), "grams", "n")
     level = raw.where(F.col("n") == order).select("gram", "count")
     levels = [level]
     for n in range(order - 1, 0, -1):
@@ -139,7 +223,7 @@ def perplexity(lines: DataFrame, model: DataFrame, *by: str, order: int = 5, tex
     characters. Each position asks for its longest n-gram that the model has, at the price of the contexts' backoffs; equal
     positions are counted first, so what meets the model is a table of different n-grams."""
     never = model.where((F.col("n") == 1) & (F.col("gram") == UNKNOWN)).first()
-    seen = written(_grams(marked_lines(lines, text_col, *by), order, *by), "seen")
+    seen = written(_grams(lines, order, *by, text_col=text_col), "seen")
     sizes = F.sequence(F.lit(1), F.length("gram"))
     asked = seen.select("gram").distinct().select("gram", F.explode(sizes).alias("k")).withColumn("own", F.right("gram", F.col("k")))
     asks = F.explode(F.array(F.struct(F.lit(True).alias("whole"), F.col("own").alias("key")), F.struct(F.lit(False).alias("whole"), F.expr("left(own, k - 1)").alias("key"))))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import strip
+from palimpsest.functions.text import has_text
 
 
 def text_lines(docs: DataFrame, id_col: str, text_col: str = "text", keep_blank: bool = False) -> DataFrame:
     """(id, line_idx from 0, text) for each line; line numbers count blank lines even where those are left out."""
     lines = docs.select(id_col, F.posexplode(F.split(F.regexp_replace(text_col, "\r\n?", "\n"), "\n")).alias("line_idx", "text"))
-    return lines if keep_blank else lines.where(strip(F.col("text")) != "")
+    return lines if keep_blank else lines.where(has_text(F.col("text")))
 
 
 def page_text(lines: DataFrame, page_col: str, order_col: str, text_col: str = "text", end: str = "") -> DataFrame:

@@ -50,7 +50,7 @@ _HYP = "translate({}, 'aeiou', 'eioua')"
 
 def _document_lines(spark: SparkSession, sf_dir: str, *keep: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
     docs = table(spark, sf_dir, name)
-    return docs.select(id_col, *keep, F.posexplode(F.split("text", "\n")).alias("line_idx", "line")).where(text.strip(F.col("line")) != "")
+    return docs.select(id_col, *keep, F.posexplode(F.split("text", "\n")).alias("line_idx", "line")).where(text.has_text(F.col("line")))
 
 
 def _spread(rows: DataFrame) -> DataFrame:

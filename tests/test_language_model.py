@@ -154,3 +154,22 @@ def test_numbers_of_a_long_list_of_samples(spark, tmp_path):
     assert got.where(F.col("text") != F.col("number").cast("string")).count() == 0 and got.count() == 120_000
     names = sinks.line_list_rows(got, "number")
     assert names.distinct().count() == 120_000 and names.where("value = 'images/119999.png 119999'").count() == 1
+
+
+@pytest.mark.parametrize("order", [1, 3, 5, 9, 70])
+def test_counts_of_pieces_are_those_of_texts(order, monkeypatch):
+    """N-grams as numbers, in pieces of a few lines, against a plain count; of order nine and more some characters don't fit."""
+    rng = random.Random(order)
+    monkeypatch.setattr(lm, "PIECE", 300)
+    texts = ["".join(rng.choices("abc d\0é😀" + ("".join(map(chr, range(300, 520))) if k % 3 == 0 else ""), k=rng.choice([0, 1, 2, 4, 30, 90]))) for k in range(200)] + [" \x01 ", "\x02a\x03 \x1c", " b c"]
+    counts, want = lm._Counts(order), Counter()
+    for t in map(lm.marked, texts):
+        if t:
+            counts.add(t)
+            want.update(t[i : i + order] for i in range(len(t) - order + 1))
+            want.update(t[:k] for k in range(2, min(order - 1, len(t)) + 1))
+    got = Counter()
+    for gram, n in zip(*counts.rows(), strict=True):
+        got[gram] += n
+    assert got == want
+    assert [lm.marked(t) for t in texts[-3:]] == ["", "\x02a\x03", "\x02b c\x03"]
