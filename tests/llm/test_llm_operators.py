@@ -499,6 +499,20 @@ def test_both_agendas_agree():
         assert codec._short(word) == codec._long(word)
 
 
+def test_words_are_encoded_side_by_side(monkeypatch):
+    with open(piece_model(), "rb") as f:
+        codec = sentencepiece_codec.PieceCodec(f.read())
+    rng = random.Random(22)
+    words = {"".join(rng.choices(" theaionrs", k=rng.randint(0, 3))) + "".join(rng.choices("theaionrsTHEé日1,.-", k=rng.randint(1, 45))) for _ in range(5000)} | {"\n", " ", "   ", "a", " " * 48}
+    own = {w: codec.agenda(w.replace(" ", "▁")) for w in words}
+    odd = {" 🎉🎉x\x00", "b" * 49, " " + "the" * 40}
+    known = dict(codec.learn(words | odd, True))
+    assert all(known[w][0] == ",".join(map(str, own[w] if w in own else codec.agenda(w.replace(" ", "▁")))) for w in words | odd)
+    monkeypatch.setattr(codec, "agenda", lambda text: pytest.fail(text) if text != "\n" else [codec.bytes[10]])
+    codec.new, codec.long = {}, []
+    assert {w: known[w] for w in words} == {w: codec.learn(words, True)[w] for w in words}
+
+
 # --- 9 WARC
 
 
