@@ -10,8 +10,9 @@ what comes to the driver is a row of counts for each order.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,47 +46,80 @@ _NO_MARKS = dict.fromkeys(map(ord, (UNKNOWN, BEGIN, END)))
 
 
 class _Counts:
-    """Counts of the n-grams of one order in lines, each a whole number of its characters' own numbers, sorted piece by piece;
-    lines of more different characters than such a number has room for are counted as texts."""
+    """Counts of the n-grams of one order in marked lines, and of the shorter beginnings of lines, each a whole number of its
+    characters' own numbers from 1 up, sorted piece by piece; where there are more different characters than such a number has
+    room for, they are counted as texts."""
 
     def __init__(self, order: int):
         self.order, self.bits = order, 63 // order
-        self.number, self.symbols = np.zeros(0x110000, np.int64), np.zeros(0, np.uint32)
+        self.number, self.symbols = np.zeros(0x110000, np.uint32), np.zeros(0, np.uint32)
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
         self.texts: Counter = Counter()
         self.waiting: list[str] = []
         self.chars = 0
 
-    def add(self, line: str) -> None:
-        self.texts.update(line[:k] for k in range(2, min(self.order - 1, len(line)) + 1))
-        if len(line) >= self.order:
-            self.waiting.append(line)
-            self.chars += len(line)
-            if self.chars >= PIECE:
-                self.count()
+    def add(self, *lines: str) -> None:
+        self.waiting += lines
+        self.chars += sum(map(len, lines))
+        if self.chars >= PIECE:
+            self.count()
 
     def count(self) -> None:
         lines, self.waiting, self.chars = self.waiting, [], 0
         if not lines:
             return
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        ends = np.cumsum(sizes)
         points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+        size = -(-len(points) // max(1, len(points) // PIECE))
+        for at in range(0, len(points), size):  # what begins here; a line may be longer than a piece
+            own = points[at : at + size + self.order - 1]
+            whole = np.ones(min(size, len(points) - at), bool)
+            near = slice(*np.searchsorted(ends, [at + 1, at + len(own) + 1]))
+            for k in range(1, self.order):
+                last = (ends[near] - k)[sizes[near] >= k] - at
+                whole[last[(last >= 0) & (last < len(whole))]] = False
+            begins = slice(*np.searchsorted(ends - sizes, [at, at + len(whole)]))
+            self._count(own, whole, (ends - sizes)[begins] - at, sizes[begins])
+
+    def _count(self, points: np.ndarray, whole: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
+        """Counts of the n-grams from where `whole` says, and of the beginnings of lines."""
         own = self.number[points]
         new = np.unique(points[own == 0])
         if len(new) + len(self.symbols) >= 1 << self.bits:
-            for t in lines:
-                self.texts.update(t[i : i + self.order] for i in range(len(t) - self.order + 1))
+            text = points.tobytes().decode("utf-32-le")
+            self.texts.update(text[i : i + self.order] for i in np.flatnonzero(whole).tolist())
+            self.texts.update(text[i : i + k] for i, n in zip(begins.tolist(), sizes.tolist(), strict=True) for k in range(2, min(self.order - 1, n) + 1))
             return
         if len(new):
             self.number[new] = np.arange(len(new)) + len(self.symbols) + 1
             self.symbols = np.concatenate([self.symbols, new])
             own = self.number[points]
-        sizes = np.array([len(t) for t in lines])
-        n = len(points) - self.order + 1
-        left = np.repeat(np.cumsum(sizes), sizes)[:n] - np.arange(n)
-        gram = own[:n]
-        for k in range(1, self.order):
-            gram = gram << self.bits | own[k : n + k]
-        self.found.append(np.unique(gram[left >= self.order], return_counts=True))
+        # up to 32 bits hold an n-gram of few different characters, which sorts faster; they are spread after that
+        bits, kind = (32 // self.order, np.uint32) if len(self.symbols) < 1 << 32 // self.order else (self.bits, np.int64)
+        own = own.astype(kind, copy=False)
+        n = min(len(whole), len(points) - self.order + 1)
+        found = []
+        if n > 0:
+            gram = own[:n].copy()
+            for k in range(1, self.order):
+                gram <<= bits
+                gram |= own[k : n + k]
+            found.append(gram[whole[:n]])
+        gram = own[begins]
+        for k in range(1, self.order - 1):
+            longer = sizes > k
+            begins, sizes = begins[longer], sizes[longer]
+            gram = gram[longer] << bits | own[begins + k]
+            found.append(gram)
+        if found:
+            grams, counts = np.unique(np.concatenate(found), return_counts=True)
+            if bits < self.bits:
+                spread = np.zeros(len(grams), np.int64)
+                for k in range(self.order - 1, -1, -1):
+                    spread = spread << self.bits | (grams >> bits * k & ((1 << bits) - 1))
+                grams = spread
+            self.found.append((grams.astype(np.int64, copy=False), counts))
 
     def size(self) -> int:
         return len(self.texts) + sum(len(g) for g, _ in self.found)
@@ -102,13 +136,21 @@ class _Counts:
         grams, counts = list(self.texts), list(self.texts.values())
         for own, n in self.found:
             shifts = self.bits * np.arange(self.order - 1, -1, -1)
-            points = self.symbols[(own[:, None] >> shifts & ((1 << self.bits) - 1)) - 1]
-            text = points.astype("<u4").tobytes().decode("utf-32-le")
-            grams += [text[i : i + self.order] for i in range(0, len(text), self.order)]
+            numbers = own[:, None] >> shifts & ((1 << self.bits) - 1)
+            text = self.symbols[numbers[numbers > 0] - 1].astype("<u4").tobytes().decode("utf-32-le")
+            ends = np.cumsum((numbers > 0).sum(axis=1)).tolist()
+            grams += [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
             counts += n.tolist()
         return grams, counts
 
 
+def _pieces(lines: list[str]) -> Iterator[list[str]]:
+    """Lines in runs of about PIECE characters."""
+    at = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines))) // PIECE
+    for i, j in pairwise([0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(lines)]):
+        yield lines[i:j]
+
+
 def _grams(lines: DataFrame, order: int, *by: str, text_col: str = "text", most: int = 200_000) -> DataFrame:
     """(by..., gram, count) of marked lines: of each character and end mark the n-gram of the order that ends with it, or all that stands
     before it where that is less. A task holds up to about `most` different ones at a time, and those of one piece."""
@@ -133,14 +175,17 @@ def _grams(lines: DataFrame, order: int, *by: str, text_col: str = "text", most:
             return sum(own.size() for own in found.values()) > most // 2
 
         for batch in batches:
-            *keys, own = (batch.column(k).to_pylist() for k in range(batch.num_columns))
-            kinds = [*[batch.column(k).type for k in range(len(keys))], pa.string(), pa.int64()]
-            for key, t in zip(zip(*keys, strict=True) if keys else [()] * len(own), own, strict=True):
-                if not (t := marked(t)):
-                    continue
+            *keys, own = batch.columns
+            kinds = [*[k.type for k in keys], pa.string(), pa.int64()]
+            keys, own = [k.to_pylist() for k in keys], own.to_numpy(zero_copy_only=False).tolist()
+            rows: dict[tuple, list[str]] = defaultdict(list)
+            for key, t in zip(zip(*keys, strict=True) if keys else [()] * len(own), map(marked, own), strict=True):
+                if t:
+                    rows[key].append(t)
+            for key, piece in ((key, piece) for key, own in rows.items() for piece in _pieces(own)):
                 if key not in found:
                     found[key] = _Counts(order)
-                found[key].add(t)
+                found[key].add(*piece)
                 if not found[key].chars and full():
                     yield from out()
         yield from out()

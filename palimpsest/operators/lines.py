@@ -10,7 +10,8 @@ from palimpsest.functions.text import has_text
 
 def text_lines(docs: DataFrame, id_col: str, text_col: str = "text", keep_blank: bool = False) -> DataFrame:
     """(id, line_idx from 0, text) for each line; line numbers count blank lines even where those are left out."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.regexp_replace(text_col, "\r\n?", "\n"), "\n")).alias("line_idx", "text"))
+    text = F.when(F.contains(F.col(text_col), F.lit("\r")), F.regexp_replace(text_col, "\r\n?", "\n")).otherwise(F.col(text_col))
+    lines = docs.select(id_col, F.posexplode(F.split(text, "\n")).alias("line_idx", "text"))
     return lines if keep_blank else lines.where(has_text(F.col("text")))
 
 

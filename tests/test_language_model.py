@@ -173,3 +173,37 @@ def test_counts_of_pieces_are_those_of_texts(order, monkeypatch):
         got[gram] += n
     assert got == want
     assert [lm.marked(t) for t in texts[-3:]] == ["", "\x02a\x03", "\x02b c\x03"]
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 50])
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 5, 16, 21])
+def test_counts_of_lines_longer_than_a_piece(order, piece, monkeypatch):
+    """Lines cut into pieces lose no n-gram and gain none, also where pieces are counted in narrow and in wide numbers."""
+    rng = random.Random(order * 100 + piece)
+    monkeypatch.setattr(lm, "PIECE", piece)
+    lines = [lm.BEGIN + "".join(rng.choices("ab é😀" + ("".join(map(chr, range(300, 400))) if k > 6 else ""), k=rng.choice([1, 2, 3, 9, 160]))) + lm.END for k in range(14)]
+    counts, want = lm._Counts(order), Counter()
+    assert [t for own in lm._pieces(lines) for t in own] == lines
+    for own in lm._pieces(lines):
+        counts.add(*own)
+    for t in lines:
+        want.update(t[i : i + order] for i in range(len(t) - order + 1))
+        want.update(t[:k] for k in range(2, min(order - 1, len(t)) + 1))
+    got = Counter()
+    for gram, n in zip(*counts.rows(), strict=True):
+        got[gram] += n
+    assert got == want
+
+
+def test_a_long_line_is_counted_in_little_memory():
+    """A line of 8 million characters: beside its 4 bytes a character, what is held is some arrays of a piece."""
+    import tracemalloc
+
+    line = lm.BEGIN + "abcd efg" * 1_000_000 + lm.END
+    counts = lm._Counts(4)
+    tracemalloc.start()
+    counts.add(line)
+    counts.merge()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and dict(zip(*counts.rows(), strict=True))["abcd"] == 1_000_000

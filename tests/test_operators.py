@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from palimpsest.operators import api_log, images, layout, pairing, quality, sequences, splits, training_log, vocabulary
+from palimpsest.operators import api_log, images, layout, lines, pairing, quality, sequences, splits, training_log, vocabulary
 from palimpsest.operators.transcribe import EchoTranscriber, available, transcribe
 
 
@@ -149,3 +149,9 @@ def test_grouped_regions(spark):
     assert got == want
     whole = {(r.page, r.region) for r in layout.grouped_regions(df, "page", F.lit(400), crowded=41).where("page = 'many'").collect()}
     assert whole == {("many", "r_1")}
+
+
+def test_lines_end_at_every_kind_of_line_break(spark):
+    docs = spark.createDataFrame([(1, "a\r\nb\rc\n\r\r\nd"), (2, "e\nf"), (3, None), (4, ""), (5, "\r")], "id int, text string")
+    assert rows(lines.text_lines(docs, "id"), "id", "line_idx", "text") == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (1, 5, "d"), (2, 0, "e"), (2, 1, "f")]
+    assert rows(lines.text_lines(docs, "id", keep_blank=True).where("id > 2"), "id", "line_idx", "text") == [(4, 0, ""), (5, 0, ""), (5, 1, "")]
