@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,6 +46,9 @@ def free_name(df: DataFrame, name: str) -> str:
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation of what came before them."""
 
+    #: Seconds between two requests to collect garbage, and when the last one was made, of all scratches of the driver.
+    collects_after, collected = 10.0, -math.inf
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, new_folder(spark, name), 0
         self.held: list[DataFrame] = []
@@ -60,14 +65,17 @@ class Scratch:
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables that cut() returned and that nothing reads any more. What is left goes when the driver ends. The
-        shuffles behind them keep files on the executors' disks until the driver collects its garbage, so it is asked to."""
+        shuffles behind them keep files on the executors' disks until the driver collects its garbage, so it is asked to;
+        not after every short step, as the JVM takes a larger heap where its pauses are a large share of the time."""
         gone = {id(t) for t in tables}
         for table, path in self.written:
             if id(table) in gone:
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
         self.written = [(t, p) for t, p in self.written if id(t) not in gone]
-        self.spark._jvm.System.gc()
+        if time.monotonic() - Scratch.collected >= self.collects_after:
+            self.spark._jvm.System.gc()
+            Scratch.collected = time.monotonic()
 
     def hold(self, df: DataFrame) -> DataFrame:
         """Keeps a table in the executors' memory and on their disks for a few uses; what is lost is computed again from

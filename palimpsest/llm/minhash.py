@@ -172,23 +172,24 @@ def _similar(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFra
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root): the smallest node of each connected component, for every node that has an edge. Each round, nodes
-    take the smallest root among their neighbours' and then their root's root, until nothing changes. What a node or root
-    of many neighbours meets is dealt anew, so that these can be split."""
-    edges = scratch.hold(edges)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = dealt_anew(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "node")
-    last = None
+    """(node, root): the smallest node of each connected component, for every node that has an edge, as a table of scratch.
+    Each round, nodes take the smallest root among their neighbours' and, if that changes any, their root's root. Edges,
+    roots and steps are written, so that no plan holds another round's or the edges' own, all of which the driver would
+    keep and plan again while it runs, and so that what a node or root of many neighbours meets can be split."""
+    edges = scratch.cut(edges.select("a", "b"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    roots = scratch.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    over = [edges]
     while True:
         near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = dealt_anew(step.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("top")), "root")
-        new = scratch.cut(step.join(jump, "root", "left").select("node", "old", F.coalesce("top", "root").alias("root")))
-        if last is not None:
-            scratch.drop(last)
-        roots, last = new.select("node", "root"), new
-        if new.where("root <> old").isEmpty():
+        step = scratch.cut(roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")))
+        over.append(step)
+        if step.where("root <> old").isEmpty():
+            scratch.drop(*over)
             return roots
+        jump = step.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        over.append(roots)
+        roots = scratch.cut(step.join(jump, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def _pack(signature: np.ndarray) -> np.ndarray:
@@ -254,7 +255,7 @@ def linked_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold
     shingles = scratch.cut(_shingle_table(texts.join(central.select("node"), "node").select("node", "text")))
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9) & _may_agree("sketch", threshold, coordinates)
     roots = central.select("node", F.col("node").alias("root"))
-    state, known, tried = members.withColumn("root", F.col("node")), members, []
+    state, known, tried, over = members.withColumn("root", F.col("node")), members, [], []
     before = math.inf
     while True:
         heads = state.groupBy("key").agg(F.max_by("root", F.struct("central", "node")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "head")
@@ -280,14 +281,16 @@ def linked_roots(nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold
             pairs = scratch.cut(pairs)
             tried.append(pairs)
         new = _similar(pairs, shingles, threshold).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-        merged = components(new, scratch).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = scratch.cut(roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        merged = components(new, scratch)
+        over += [merged, roots]
+        tops = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = scratch.cut(roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
         scratch.release()
         if last:
             break
         state = state.drop("root", "minor").join(roots, "node")
         before = count
-    scratch.drop(known, shingles, *tried)
+    scratch.drop(known, shingles, *tried, *over)
     return roots
 
 
